@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import unify
+from quillspark.llm import pairs, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -22,6 +22,11 @@ def p1_equal_looking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.equal_looking(table(spark, sf_dir, "experiment_results"), "id", QUERY_FIELDS)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective runs of experiment_results with their defect."""
+    return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
