@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import pairs, unify
+from quillspark.llm import mojibake, pairs, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -27,6 +27,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a character garbled by a wrong encoding."""
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their text restored as far as it can be told."""
+    return mojibake.restored_text(table(spark, sf_dir, "documents")).filter("garbled").select("doc_id", "restored")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
