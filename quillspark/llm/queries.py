@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mojibake, pairs, unify
+from quillspark.llm import leakage, mojibake, pairs, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -27,6 +27,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an evaluation item, and the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a character garbled by a wrong encoding."""
     return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
