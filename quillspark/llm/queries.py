@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import leakage, mojibake, pairs, unify
+from quillspark.llm import annotators, leakage, mojibake, pairs, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -22,6 +22,26 @@ def p1_equal_looking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.equal_looking(table(spark, sf_dir, "experiment_results"), "id", QUERY_FIELDS)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items to be revised or rejected and reviewers who can't be relied on."""
+    return annotators.disputed(table(spark, sf_dir, "human_query_review_sheet"))
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus decision of every item with its probabilities."""
+    return annotators.consensus(annotators.review_labels(table(spark, sf_dir, "human_query_review_sheet"))).items
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of every reviewer with its posterior interval."""
+    return annotators.reliability(annotators.consensus(annotators.review_labels(table(spark, sf_dir, "human_query_review_sheet"))))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of decisions and of scores."""
+    return annotators.krippendorff(annotators.review_labels(table(spark, sf_dir, "human_query_review_sheet")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective runs of experiment_results with their defect."""
     return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
