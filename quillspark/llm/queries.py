@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import annotators, leakage, mojibake, pairs, unify
+from quillspark.llm import annotators, leakage, mojibake, pairs, splitting, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -47,6 +47,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks that aren't valid pieces, and documents without chunks."""
+    return splitting.audit_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "source_documents"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid pieces of every document."""
+    return splitting.split_documents(table(spark, sf_dir, "source_documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of an evaluation item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -62,9 +72,27 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored_text(table(spark, sf_dir, "documents")).filter("garbled").select("doc_id", "restored")
 
 
+P4_FOUND = r"""
+with d as (select document_id, max_by(text, ingestion_timestamp) as text from source_documents group by document_id),
+c as (select distinct document_id, chunk_index, chunk_text, char_start, char_end from chunks),
+j as (
+  select c.*, d.text, length(d.text) as n,
+    lag(char_end) over w as before, row_number() over w as rn, lead(chunk_index) over w is null as is_last
+  from c join d using (document_id) window w as (partition by c.document_id order by chunk_index, char_start, char_end, chunk_text))
+select document_id, chunk_index from j
+where not coalesce(0 <= char_start and char_start < char_end and char_end <= n and char_end - char_start <= 500 and length(chunk_text) <= 500
+  and chunk_text = trim(substring(text, char_start + 1, char_end - char_start), E' \n\r\t')
+  and case when rn = 1 then char_start = 0 else char_start = before - 100 end
+  and (not is_last or char_end = n)
+  and (char_end = n or not regexp_matches(substring(text, char_start + 101, 400), '\s') or regexp_matches(substring(text, char_end, 1), '\s')), false)
+union all
+select document_id, -1 from d where document_id not in (select document_id from c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND}
