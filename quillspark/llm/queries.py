@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import annotators, leakage, mojibake, pairs, splitting, unify
+from quillspark.llm import annotators, leakage, mojibake, packing, pairs, splitting, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -57,6 +57,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "source_documents"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or part of one."""
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(packing.containers(table(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of an evaluation item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
