@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import annotators, leakage, mojibake, packing, pairs, splitting, unify
+from quillspark.llm import annotators, languages, leakage, mojibake, packing, pairs, splitting, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -57,6 +57,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "source_documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the texts whose language label is missing or wrong, or that mix languages."""
+    return languages.mislabelled(table(spark, sf_dir, "experiment_results"), table(spark, sf_dir, "query_records"))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every segment of every run's query."""
+    runs = table(spark, sf_dir, "experiment_results")
+    tagger = languages.train(languages.training_rows(runs, table(spark, sf_dir, "query_records")))
+    return languages.text_segments(runs, "id", "original_query", tagger).drop("label")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document or part of one."""
     return packing.containers(table(spark, sf_dir, "documents"))
