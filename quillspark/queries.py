@@ -1,19 +1,507 @@
-"""The queries of the core and their SQL."""
+"""The queries of the core over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.config import Settings
+from quillspark.functions import text as tx
+from quillspark.functions.stats import benjamini_hochberg
+from quillspark.functions.vectors import l2_normalize
+from quillspark.operators import analytics as an
+from quillspark.operators import chunking, detection, judging, quality, retrieval
+from quillspark.operators import experiment as ex
+from quillspark.plans import rag
+from quillspark.streaming import incremental
+from quillspark.tables import cut, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "experiment_results")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "query_records")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "source_documents")
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chunks")
+
+
+def _sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "human_query_review_sheet")
+
+
+def _valid(spark: SparkSession, sf: str) -> DataFrame:
+    return an.valid_records(_runs(spark, sf))
+
+
+# --- analytics -------------------------------------------------------------------------------------------------
+
+CONDITION = "language || case when mitigation_enabled then '_mitigated' else '_baseline' end"
+CONDITIONS = "(select unnest(['english_baseline', 'english_mitigated', 'tamil_english_baseline', 'tamil_english_mitigated', 'hindi_english_baseline', 'hindi_english_mitigated']) as condition)"
+VALIDATED = f"""
+with g as (
+  select *, case when experiment_id is null or experiment_id = '' then 'unknown' else experiment_id end as exp,
+    case when question_id is null or question_id = '' then 'missing question_id' when language is null or language = '' then 'missing language'
+      when mitigation_enabled is null then 'missing mitigation condition' when faithfulness_score is null then 'missing faithfulness score'
+      when hallucination_flag is null then 'missing hallucination flag' when generated_answer is null or generated_answer = '' then 'missing answer'
+      when retrieved_context is null or retrieved_context = '' then 'missing retrieved context' end as gap
+  from experiment_results),
+k as (select *, row_number() over (partition by exp, question_id, language, mitigation_enabled, gap is null order by id) as rn from g),
+v as (
+  select * exclude (exp, gap, rn, experiment_id), exp as experiment_id, {CONDITION} as condition,
+    coalesce(gap, case when rn > 1 then 'duplicate record' end, case when not isnan(faithfulness_score) and (faithfulness_score < 0 or faithfulness_score > 1) then 'invalid faithfulness score outside [0.0, 1.0]' end) as exclusion_reason
+  from k),
+valid as (select * from v where exclusion_reason is null)
+"""
+NUMBER = "case when not isnan(faithfulness_score) then faithfulness_score end"
+LAST = f"{VALIDATED}, s as (select question_id, condition, max_by(faithfulness_score, id) as score from valid where not isnan(faithfulness_score) group by 1, 2)"
+PLANNED = """(values ('english_baseline', 'tamil_english_baseline'), ('english_baseline', 'hindi_english_baseline'), ('tamil_english_baseline', 'tamil_english_mitigated'),
+  ('hindi_english_baseline', 'hindi_english_mitigated'), ('tamil_english_mitigated', 'english_baseline'), ('hindi_english_mitigated', 'english_baseline')) p(cond1, cond2)"""
+PAIRED = f"{LAST}, d as (select a.question_id, p.cond1, p.cond2, a.score as score1, b.score as score2, a.score - b.score as diff from {PLANNED} join s a on a.condition = p.cond1 join s b on b.condition = p.cond2 and a.question_id = b.question_id)"
+
+
+@_query(f"select id, {CONDITION} as condition from experiment_results where language is not null and mitigation_enabled is not null")
+def condition_name(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf).filter("language is not null and mitigation_enabled is not null")
+    return rows.select("id", an.condition_name(F.col("language"), F.col("mitigation_enabled")).alias("condition"))
+
+
+@_query(f"{VALIDATED} select id, exclusion_reason from v")
+def validate_records(spark: SparkSession, sf: str) -> DataFrame:
+    return an.validate_records(_runs(spark, sf)).select("id", "exclusion_reason")
+
+
+@_query(f"{VALIDATED} select coalesce(exclusion_reason, 'valid') as reason, count(*) as n from v group by 1")
+def exclusion_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return an.exclusion_reasons(_runs(spark, sf))
+
+
+STATS = f"""{VALIDATED}, n as (select condition, {NUMBER} as s, hallucination_flag as h from valid), t as (
+  select condition, count(*) as n, round(avg(s), 4) as mean, round(median(s), 4) as median, round(coalesce(stddev_samp(s), 0), 4) as std, round(avg(h::int), 4) as hallucination_rate, min(s) as min, max(s) as max
+  from n where s is not null group by 1),
+st as (select c.condition, coalesce(n, 0) as n, mean, median, std, hallucination_rate, min, max from {CONDITIONS} c left join t using (condition))"""
+
+
+@_query(f"{STATS} select * from st")
+def condition_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return an.condition_stats(_valid(spark, sf))
+
+
+@_query(f"""{VALIDATED} select c.condition, round(avg(recall_at_1), 4) as mean_recall_at_1, round(avg(recall_at_3), 4) as mean_recall_at_3, round(avg(recall_at_5), 4) as mean_recall_at_5, count(recall_at_1) as n_with_recall
+from {CONDITIONS} c left join valid using (condition) group by 1""")
+def recall_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return an.recall_stats(_valid(spark, sf))
+
+
+@_query(f"""{VALIDATED} select count(distinct question_id) as questions, count(*) as records, coalesce(round(avg({NUMBER}), 4), 0.0) as mean_score, coalesce(round(avg(hallucination_flag::int), 4), 0.0) as hallucination_rate,
+case when count(*) = 0 then 'empty' else 'ok' end as status from valid""")
+def dashboard_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return an.dashboard_overview(_valid(spark, sf))
+
+
+@_query(f"{VALIDATED} select id, condition, hallucination_flag from valid where language = 'tamil_english' and mitigation_enabled and hallucination_flag")
+def dashboard_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return an.dashboard_filter(_valid(spark, sf), "tamil_english", True, True).select("id", "condition", "hallucination_flag")
+
+
+@_query(f"{PAIRED} select question_id, cond1, cond2, round(diff, 6) as diff from d")
+def paired_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    return an.paired_diffs(an.last_scores(_valid(spark, sf))).select("question_id", "cond1", "cond2", F.round("diff", 6).alias("diff"))
+
+
+@_query(f"""{LAST}, q as (select distinct question_id from s)
+select q.question_id, p.cond1, p.cond2, case when a.score is null then 'missing_cond1' else 'missing_cond2' end as missing
+from q cross join {PLANNED} left join s a on a.question_id = q.question_id and a.condition = p.cond1 left join s b on b.question_id = q.question_id and b.condition = p.cond2
+where (a.score is null) <> (b.score is null)""")
+def missing_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return an.missing_pairs(an.last_scores(_valid(spark, sf)))
+
+
+@_query(f"""{PAIRED}, r as (select cond1, cond2, diff, rank() over w + (count(*) over (partition by cond1, cond2, round(abs(diff), 9)) - 1) / 2.0 as rank
+  from d where round(abs(diff), 9) > 0 window w as (partition by cond1, cond2 order by round(abs(diff), 9)))
+select cond1, cond2, count(*) as n_nonzero, round(coalesce(sum(rank) filter (diff > 0), 0), 1) as w_plus, round(coalesce(sum(rank) filter (diff < 0), 0), 1) as w_minus from r group by 1, 2""")
+def wilcoxon_w(spark: SparkSession, sf: str) -> DataFrame:
+    w = an.rank_sums(an.paired_diffs(an.last_scores(_valid(spark, sf))))
+    return w.select("cond1", "cond2", "n_nonzero", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"))
+
+
+@_query()
+def paired_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    diffs = cut(an.paired_diffs(an.last_scores(_valid(spark, sf))))
+    return benjamini_hochberg(an.paired_comparisons(diffs))
+
+
+@_query(f"""{STATS}, e as (select mean as english_mean from st where condition = 'english_baseline')
+select condition, english_mean, mean, english_mean - mean as difference, case when english_mean - mean is null then 'INSUFFICIENT DATA' when english_mean - mean <= 0.10 then 'MET' else 'NOT MET' end as status
+from st, e where condition in ('tamil_english_mitigated', 'hindi_english_mitigated')""")
+def success_criterion(spark: SparkSession, sf: str) -> DataFrame:
+    return an.success_criterion(an.condition_stats(_valid(spark, sf)))
+
+
+@_query("select case when coalesce(bool_or(coalesce(contains(question_id, 'SMOKE'), false) or coalesce(contains(experiment_id, 'test'), false)), false) then 'mock' else 'real' end as classification from experiment_results")
+def data_classification(spark: SparkSession, sf: str) -> DataFrame:
+    return an.data_classification(_runs(spark, sf))
+
+
+@_query(f"select count(s) as n, round(avg(s), 4) as mean, min(s) as min, max(s) as max, round(sum(s), 2) as total from (select {NUMBER} as s from experiment_results)")
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return an.eval_summary(_runs(spark, sf))
+
+
+@_query()
+def chart_data(spark: SparkSession, sf: str) -> DataFrame:
+    return an.chart_data(an.condition_stats(_valid(spark, sf)))
+
+
+@_query("""with h as (select language, list_position(list_transform(retrieved_document_ids, r -> len(list_filter(expected_document_ids, e -> starts_with(r, e) or starts_with(e, r))) > 0), true) as hit
+  from experiment_results where retrieved_document_ids is not null)
+select language, round(avg(coalesce(1.0 / nullif(hit, 0), 0.0)), 4) as mrr, count(*) as n from h group by 1""")
+def mean_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return an.reciprocal_ranks(_runs(spark, sf))
+
+
+# --- experiment ------------------------------------------------------------------------------------------------
+
+MATRIX = """with q as (select question_id, min(english) as english, min(tamil_english) as tamil_english, min(hindi_english) as hindi_english from query_records group by 1),
+u as (select question_id, unnest([{'language': 'english', 'query': english}, {'language': 'tamil_english', 'query': tamil_english}, {'language': 'hindi_english', 'query': hindi_english}]) as x from q),
+m as (select x.language || case when mitigation_enabled then '_mitigated' else '_baseline' end as experiment_id, question_id, x.language as language, mitigation_enabled, x.query as query
+  from u cross join (select unnest([true, false]) as mitigation_enabled)),
+done as (select distinct experiment_id, question_id, language, mitigation_enabled from experiment_results where error is null and completed_at is not null)
+"""
+
+
+@_query(f"{MATRIX} select * from m")
+def experiment_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.experiment_matrix(_asked(spark, sf))
+
+
+@_query(f"{MATRIX} select * from m where language in ('english', 'hindi_english') and mitigation_enabled")
+def matrix_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.experiment_matrix(_asked(spark, sf), ["english", "hindi_english"], True)
+
+
+@_query("select question_id, unnest(['english', 'tamil_english', 'hindi_english']) as language, unnest([english, tamil_english, hindi_english]) as query from query_records")
+def language_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.language_variants(_asked(spark, sf))
+
+
+@_query(f"{MATRIX} select * from done")
+def completed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.completed_keys(_runs(spark, sf))
+
+
+@_query(f"{MATRIX} select m.* from m anti join done using (experiment_id, question_id, language, mitigation_enabled)")
+def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.resume_pending(ex.experiment_matrix(_asked(spark, sf)), _runs(spark, sf))
+
+
+@_query(f"""{MATRIX} select m.experiment_id, count(*) as total, count(*) filter (d.question_id is null) as pending, count(*) filter (d.question_id is not null) as skipped
+from m left join done d on (m.experiment_id, m.question_id, m.language, m.mitigation_enabled) = (d.experiment_id, d.question_id, d.language, d.mitigation_enabled) group by 1""")
+def dry_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.dry_run_summary(ex.experiment_matrix(_asked(spark, sf)), _runs(spark, sf))
+
+
+_HIT = "len(list_filter(coalesce(retrieved_document_ids, [])[1:{k}], r -> len(list_filter(coalesce(expected_document_ids, []), e -> starts_with(r, e) or starts_with(e, r))) > 0)) > 0"
+
+
+@_query("select id, " + ", ".join(f"case when error is null then case when {_HIT.format(k=k)} then 1.0 else 0.0 end end::double as recall_at_{k}" for k in (1, 3, 5)) + " from experiment_results")
+def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.recall_at_k(_runs(spark, sf))
+
+
+@_query("select id, regexp_matches(lower(error), 'rate limit|ratelimit|rate_limit|too many requests|429|connection|timeout|503|502') as transient from experiment_results where error is not null")
+def transient_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.transient_errors(_runs(spark, sf))
+
+
+@_query(f"""select experiment_id, count(*) as executed, count(*) filter (error is null) as completed, count(*) filter (error is not null) as failed, round(avg({NUMBER}), 4) as mean_score,
+count(*) filter (hallucination_flag) as hallucinations from experiment_results group by 1""")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.run_summary(_runs(spark, sf))
+
+
+@_query("select run_id, min(id) as id from experiment_results group by 1")
+def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.latest_runs(_runs(spark, sf)).select("run_id", "id")
+
+
+@_query("select id, question_id, coalesce(retrieved_document_ids, []) as retrieved_document_ids from experiment_results where experiment_id = 'english_baseline'")
+def scan_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).filter("experiment_id = 'english_baseline'").select("id", "question_id", F.coalesce("retrieved_document_ids", F.array().cast("array<string>")).alias("retrieved_document_ids"))
+
+
+@_query(f"""select time_bucket(interval 1 hour, started_at) as window_start, language, mitigation_enabled, count(*) as runs, count(*) filter (error is not null) as failed, round(avg({NUMBER}), 4) as mean_score
+from experiment_results where started_at is not null group by 1, 2, 3""")
+def windowed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.windowed_runs(_runs(spark, sf))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------
+
+
+@_query("""with p as (select q.vec_id as query_id, c.vec_id as id, list_inner_product(q.embedding::double[], c.embedding::double[]) as s from embeddings q, embeddings c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by s desc, id) as rank from p)
+select query_id, id, round(s, 5) as score, rank from r where rank <= 5""")
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = retrieval.top_k(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 5)
+    return hits.withColumn("score", F.round("score", 5))
+
+
+@_query("select vec_id, list_transform(embedding, x -> round(x::double / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10), 6)) as unit from embeddings")
+def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@_query()
+def embed_text(spark: SparkSession, sf: str) -> DataFrame:
+    return rag.build_index(_chunks(spark, sf)).select("chunk_id", "embedding")
+
+
+@_query()
+def rag_answer(spark: SparkSession, sf: str) -> DataFrame:
+    asked = ex.experiment_matrix(_asked(spark, sf), mitigation=False).select(F.concat_ws("|", "question_id", "language").alias("query_id"), "query")
+    return rag.answer(asked, cut(rag.build_index(_chunks(spark, sf))))
+
+
+@_query("select id, array_to_string(list_transform(retrieved_document_ids, (t, i) -> '--- Document ' || i || ' ---' || chr(10) || t), chr(10) || chr(10)) as context from experiment_results where retrieved_document_ids is not null")
+def build_context(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).filter("retrieved_document_ids is not null").select("id", rag.build_context(F.col("retrieved_document_ids")).alias("context"))
+
+
+@_query("""select id, sha256('Answer only from the context.' || chr(10) || chr(10) || '<context>' || chr(10) || retrieved_context || chr(10) || '</context>' || chr(10) || chr(10) || 'Query: ' || original_query || chr(10)) as prompt_hash
+from experiment_results where retrieved_context is not null and original_query is not null""")
+def prompt_hash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf).filter("retrieved_context is not null and original_query is not null")
+    return rows.select("id", rag.prompt_hash(rag.build_prompt(F.col("original_query"), F.col("retrieved_context"))).alias("prompt_hash"))
+
+
+@_query("select distinct unnest([document_id, chunk_id]) as id from chunks")
+def indexed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from quillspark.sources.datasets import index_ids
+
+    return index_ids(_chunks(spark, sf))
+
+
+# --- question understanding ------------------------------------------------------------------------------------
+
+_LEXICON = {k: "[" + ", ".join(f"'{w}'" for w in words) + "]" for k, words in (("tamil", detection.TAMIL_WORDS), ("hindi", detection.HINDI_WORDS))}
+DETECTED = f"""with t as (select id, original_query as q, list_distinct(regexp_extract_all(lower(coalesce(original_query, '')), '[a-z]+')) as w, list_transform(regexp_extract_all(original_query, '[\\p{{L}}\\p{{N}}_]+'), x ->
+    case when regexp_matches(x, '[\\x{{0900}}-\\x{{097F}}]') then 'Hindi' when regexp_matches(x, '[\\x{{0B80}}-\\x{{0BFF}}]') then 'Tamil' when regexp_matches(x, '[a-zA-Z]') then 'English' end) as sc from experiment_results),
+f as (select id, q, list_has_any(w, {_LEXICON['tamil']}) as ta, list_has_any(w, {_LEXICON['hindi']}) as hi, list_filter(['English', 'Hindi', 'Tamil'], l -> list_contains(sc, l)) as ls from t),
+det as (select id, q, case when q is null or trim(q, E' \\n\\t\\r') = '' then 0 when ta or hi then 1 else 2 end as pass, ta, hi, ls from f)"""
+
+
+@_query(f"""{DETECTED} select id, case pass when 0 then false when 1 then true else len(ls) > 1 end as is_code_mixed,
+case pass when 0 then 'Unknown' when 1 then 'English' || case when ta then ',Tamil' else '' end || case when hi then ',Hindi' else '' end else case when len(ls) = 0 then 'Unknown' else array_to_string(ls, ',') end end as languages,
+case pass when 0 then 1.0 when 1 then 0.85 else case when len(ls) > 1 then 0.95 else 0.7 end end::double as confidence from det""")
+def detect_code_mix(spark: SparkSession, sf: str) -> DataFrame:
+    d = _runs(spark, sf).select("id", detection.detect(F.col("original_query")).alias("d"))
+    return d.select("id", "d.is_code_mixed", F.concat_ws(",", "d.languages").alias("languages"), F.col("d.confidence").cast("double").alias("confidence"))
+
+
+@_query()
+def language_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.language_spans(_runs(spark, sf), "id", "original_query")
+
+
+@_query("select id, list_distinct(regexp_extract_all(lower(coalesce(original_query, '')), '[a-z]+')).list_sort() as tokens from experiment_results")
+def tokenize_lower(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).select("id", F.sort_array(tx.tokens_lower(F.col("original_query"))).alias("tokens"))
+
+
+@_query()
+def normalize_query(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf).select("id", "original_query")
+    return detection.normalize(rows, "original_query", str.casefold).select("id", "normalized_query", "normalization_applied", "error_fallback")
+
+
+@_query("select id, case when mitigation_enabled and mitigation_applied and trim(coalesce(normalized_query, '')) <> '' then normalized_query else original_query end as used_query from experiment_results")
+def mitigation_routing(spark: SparkSession, sf: str) -> DataFrame:
+    used = detection.routed_query(F.col("original_query"), F.col("mitigation_enabled"), F.col("normalized_query"), F.col("mitigation_applied"), F.lit(False))
+    return _runs(spark, sf).select("id", used.alias("used_query"))
+
+
+@_query(f"""with r as (select id, {NUMBER} as s, faithfulness_explanation as e from experiment_results)
+select id, greatest(0.0, least(1.0, round(s, 3)))::double as score, greatest(0.0, least(1.0, round(s, 3))) < 0.8 as hallucination, coalesce(e, 'No explanation provided.') as explanation from r where s is not null and round(s, 3) >= 0 or s is null and false""")
+def parse_judge(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies rebuilt from the stored scores and read again: fenced, plain and truncated in turn."""
+    s = F.round("faithfulness_score", 3)
+    rows = _runs(spark, sf).filter("faithfulness_score is not null and not isnan(faithfulness_score)").filter(s >= 0)
+    reply = F.to_json(F.struct(s.alias("faithfulness_score"), F.col("faithfulness_explanation").alias("explanation")))
+    reply = F.when(F.col("id") % 2 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).otherwise(reply)
+    parsed = rows.select("id", judging.parse_reply(reply).alias("p"))
+    return parsed.select("id", "p.score", "p.hallucination", "p.explanation")
+
+
+@_query("select id, len(original_query) as n from experiment_results where original_query is not null")
+def query_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).filter("original_query is not null").select("id", F.length("original_query").cast("bigint").alias("n"))
+
+
+# --- corpus ----------------------------------------------------------------------------------------------------
+
+
+@_query()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk_documents(quality.latest_documents(_docs(spark, sf)))
+
+
+@_query()
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("document_id", "ingestion_timestamp", tx.clean_text(F.col("text")).alias("text"))
+
+
+@_query("select document_id, ingestion_timestamp, sha256(filename || ':' || coalesce(title, ''))[1:16] as doc_key from source_documents")
+def doc_id_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("document_id", "ingestion_timestamp", tx.document_id(F.col("filename"), F.coalesce("title", F.lit(""))).alias("doc_key"))
+
+
+@_query("select question_id, language_variant, reviewer_1_id, reviewer_2_id, list_filter(list_transform(str_split(coalesce(expected_document_ids, ''), ';'), x -> trim(x)), x -> x <> '') as ids from human_query_review_sheet")
+def parse_id_list(spark: SparkSession, sf: str) -> DataFrame:
+    return _sheet(spark, sf).select("question_id", "language_variant", "reviewer_1_id", "reviewer_2_id", tx.id_list(F.col("expected_document_ids"), ";").alias("ids"))
+
+
+@_query("""select (select count(*) from source_documents) as documents, (select count(*) from source_documents where text is null or trim(text, E' \\n\\r\\t') = '') as empty_documents, count(*) as chunks,
+count(*) filter (chunk_text is null or trim(chunk_text, E' \\n\\r\\t') = '') as empty_chunks, coalesce(round(avg(nullif(length(trim(chunk_text, E' \\n\\r\\t')), 0)), 4), 0.0) as avg_length,
+coalesce(min(nullif(length(trim(chunk_text, E' \\n\\r\\t')), 0)), 0)::int as min_length, coalesce(max(length(trim(chunk_text, E' \\n\\r\\t'))), 0)::int as max_length from chunks""")
+def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.dataset_stats(_docs(spark, sf), _chunks(spark, sf)).drop("document_types")
+
+
+@_query("select document_type, count(*) as n from source_documents group by 1")
+def doc_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.doc_type_counts(_docs(spark, sf))
+
+
+@_query("""select distinct question_id, document_id from (select question_id, unnest(expected_document_ids) as document_id from query_records) w
+where document_id not in (select document_id from chunks)""")
+def orphan_expected_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.orphan_expected_ids(_asked(spark, sf), _chunks(spark, sf))
+
+
+GOLD = """with f as (select document_id, min_by(p, (chunk_index, p)) as piece from (select document_id, chunk_index, trim(replace(substring(chunk_text, 1, 160), chr(10), ' ')) as p from chunks) group by 1),
+q as (select question_id, min(expected_document_ids) as ids from query_records group by 1),
+w as (select question_id, unnest(ids) as document_id, unnest(range(len(ids))) as pos from q),
+g as (select q.question_id, coalesce(string_agg(f.piece, ' | ' order by w.pos), 'Refer to target chunks') as evidence from q left join w using (question_id) left join f using (document_id) group by 1)"""
+
+
+@_query(f"{GOLD} select * from g")
+def gold_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.gold_evidence(_asked(spark, sf), _chunks(spark, sf))
+
+
+@_query(f"""{GOLD}, m as (select question_id, min(english) as english, min(tamil_english) as ta, min(hindi_english) as hi, min(domain) as domain, min(category) as category, min(expected_document_ids) as ids from query_records group by 1)
+select m.question_id, unnest(['Tamil-English (Tanglish)', 'Hindi-English (Hinglish)']) as language_variant, unnest([ta, hi]) as code_mixed_query, english as english_reference_query, domain, category,
+coalesce(array_to_string(ids, ';'), '') as expected_document_ids, evidence as gold_evidence_snippet from m join g using (question_id)""")
+def review_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.review_sheet(_asked(spark, sf), _chunks(spark, sf))
+
+
+_DECIDED = "upper(trim(coalesce({c}, ''))) not in ('', 'PENDING')"
+
+
+@_query(f"""select language_variant, count(*) as rows, count(*) filter ({_DECIDED.format(c='reviewer_1_decision')} and {_DECIDED.format(c='reviewer_2_decision')}) as both_decided, count(*) filter ({_DECIDED.format(c='adjudication_decision')}) as adjudicated
+from (select distinct * from human_query_review_sheet) group by 1""")
+def review_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.review_progress(_sheet(spark, sf))
+
+
+@_query(f"""with b as (select upper(trim(reviewer_1_decision)) as a, upper(trim(reviewer_2_decision)) as b from (select distinct * from human_query_review_sheet) where {_DECIDED.format(c='reviewer_1_decision')} and {_DECIDED.format(c='reviewer_2_decision')})
+select count(*) as both_decided, count(*) filter (a = b) as matches, round(100 * avg((a = b)::int), 4) as percent from b""")
+def reviewer_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.reviewer_agreement(_sheet(spark, sf))
+
+
+@_query("""with q as (select question_id, min(english) as english, min(tamil_english) as ta, min(hindi_english) as hi from query_records group by 1),
+a as (select question_id, max(trim(final_approved_query_text)) filter (contains(language_variant, 'Tamil')) as nt, max(trim(final_approved_query_text)) filter (not contains(language_variant, 'Tamil')) as nh
+  from human_query_review_sheet where trim(final_approved_query_text) <> '' group by 1)
+select question_id, english, coalesce(nt, ta) as tamil_english, coalesce(nh, hi) as hindi_english from q left join a using (question_id)""")
+def apply_review(spark: SparkSession, sf: str) -> DataFrame:
+    q = _asked(spark, sf).groupBy("question_id").agg(*(F.min(c).alias(c) for c in ("english", "tamil_english", "hindi_english")))
+    return quality.apply_review(q, _sheet(spark, sf))
+
+
+@_query("""select 'question_id' as kind, question_id as value, count(*) as n from query_records group by 2 having count(*) > 1
+union all select kind, value, count(*) from (select distinct question_id, unnest(['english', 'tamil_english', 'hindi_english']) as kind, lower(unnest([english, tamil_english, hindi_english])) as value from query_records) where value is not null group by 1, 2 having count(*) > 1""")
+def duplicate_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.duplicate_queries(_asked(spark, sf))
+
+
+@_query("select question_id, variant from (select question_id, unnest(['english', 'tamil_english', 'hindi_english']) as variant, unnest([english, tamil_english, hindi_english]) as t from query_records) where t is null or trim(t, E' \\n\\r\\t') = ''")
+def invalid_queries(spark: SparkSession, sf: str) -> DataFrame:
+    from quillspark.sources.datasets import validate_queries
+
+    return validate_queries(_asked(spark, sf))
+
+
+@_query("""select 'mock row' as "check", question_id as key from query_records where regexp_matches(upper(question_id), 'SMOKE|MOCK|TEST')
+union all select 'missing question_id', '' from query_records where question_id is null or trim(question_id) = ''
+union all select 'duplicate question_id', question_id from query_records where question_id is not null group by 2 having count(*) > 1
+union all select 'blank ' || variant, question_id from (select question_id, unnest(['english', 'tamil_english', 'hindi_english']) as variant, unnest([english, tamil_english, hindi_english]) as t from query_records) where t is null or trim(t, E' \\n\\r\\t') = ''
+union all select 'no expected documents', question_id from query_records where expected_document_ids is null or len(expected_document_ids) = 0
+union all select 'expected document not indexed', question_id || ':' || document_id from (select distinct question_id, unnest(expected_document_ids) as document_id from query_records) where document_id not in (select document_id from chunks)""")
+def preflight_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.preflight_violations(_asked(spark, sf), _chunks(spark, sf))
+
+
+@_query("""with t as (select count(*) as n, coalesce(sum(('0x' || sha256(chunk_id || ':' || document_id || ':' || chunk_text)[1:15])::hugeint), 0) as s from (select distinct chunk_id, document_id, chunk_text from chunks))
+select n, sha256(n || ':' || s) as corpus_hash from t""")
+def corpus_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.corpus_hash(_chunks(spark, sf), "chunk_id", "document_id", "chunk_text")
+
+
+@_query("select count(*) as n, count(distinct document_id) as n_unique from source_documents")
+def unique_doc_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_unique"))
+
+
+@_query("select document_id, max(ingestion_timestamp) as ingestion_timestamp from source_documents group by 1")
+def latest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.latest_documents(_docs(spark, sf)).select("document_id", "ingestion_timestamp")
+
+
+@_query("select document_id, ingestion_timestamp, len(list_filter(str_split(text, chr(10)), l -> trim(l) <> '')) as lines from source_documents")
+def line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("document_id", "ingestion_timestamp", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("lines"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Questions in three languages answered over the chunk corpus and judged."""
+    asked = ex.experiment_matrix(_asked(spark, sf_dir), mitigation=False).select(F.concat_ws("|", "question_id", "language").alias("query_id"), "query")
+    return rag.answer(asked, rag.build_index(_chunks(spark, sf_dir)), options=Settings())
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    """The core's queries by name."""
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the core's queries that SQL can express."""
+    return dict(_SQL)
