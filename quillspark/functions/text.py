@@ -74,7 +74,7 @@ def document_id(path: Column, differentiator: Column) -> Column:
 
 def id_list(text: Column, separator: str = ",") -> Column:
     """Trimmed non-empty parts of a separated list; null gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

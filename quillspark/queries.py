@@ -178,7 +178,7 @@ def chart_data(spark: SparkSession, sf: str) -> DataFrame:
     return an.chart_data(an.condition_stats(_valid(spark, sf)))
 
 
-@_query("""with h as (select language, list_position(list_transform(retrieved_document_ids, r -> len(list_filter(expected_document_ids, e -> starts_with(r, e) or starts_with(e, r))) > 0), true) as hit
+@_query("""with h as (select language, list_position(list_transform(retrieved_document_ids, lambda r: len(list_filter(expected_document_ids, lambda e: starts_with(r, e) or starts_with(e, r))) > 0), true) as hit
   from experiment_results where retrieved_document_ids is not null)
 select language, round(avg(coalesce(1.0 / nullif(hit, 0), 0.0)), 4) as mrr, count(*) as n from h group by 1""")
 def mean_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +226,7 @@ def dry_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ex.dry_run_summary(ex.experiment_matrix(_asked(spark, sf)), _runs(spark, sf))
 
 
-_HIT = "len(list_filter(coalesce(retrieved_document_ids, [])[1:{k}], r -> len(list_filter(coalesce(expected_document_ids, []), e -> starts_with(r, e) or starts_with(e, r))) > 0)) > 0"
+_HIT = "len(list_filter(coalesce(retrieved_document_ids, [])[1:{k}], lambda r: len(list_filter(coalesce(expected_document_ids, []), lambda e: starts_with(r, e) or starts_with(e, r))) > 0)) > 0"
 
 
 @_query("select id, " + ", ".join(f"case when error is null then case when {_HIT.format(k=k)} then 1.0 else 0.0 end end::double as recall_at_{k}" for k in (1, 3, 5)) + " from experiment_results")
@@ -255,10 +255,10 @@ def scan_results(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).filter("experiment_id = 'english_baseline'").select("id", "question_id", F.coalesce("retrieved_document_ids", F.array().cast("array<string>")).alias("retrieved_document_ids"))
 
 
-@_query(f"""select time_bucket(interval 1 hour, started_at) as window_start, language, mitigation_enabled, count(*) as runs, count(*) filter (error is not null) as failed, round(avg({NUMBER}), 4) as mean_score
+@_query(f"""select strftime(time_bucket(interval 1 hour, started_at), '%Y-%m-%d %H:%M:%S') as window_start, language, mitigation_enabled, count(*) as runs, count(*) filter (error is not null) as failed, round(avg({NUMBER}), 4) as mean_score
 from experiment_results where started_at is not null group by 1, 2, 3""")
 def windowed_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.windowed_runs(_runs(spark, sf))
+    return incremental.windowed_runs(_runs(spark, sf)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 5))
 
 
-@_query("select vec_id, list_transform(embedding, x -> round(x::double / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10), 6)) as unit from embeddings")
+@_query("select vec_id, list_transform(embedding, lambda x: round(x::double / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10), 6)) as unit from embeddings")
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.transform(l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
@@ -289,7 +289,7 @@ def rag_answer(spark: SparkSession, sf: str) -> DataFrame:
     return rag.answer(asked, cut(rag.build_index(_chunks(spark, sf))))
 
 
-@_query("select id, array_to_string(list_transform(retrieved_document_ids, (t, i) -> '--- Document ' || i || ' ---' || chr(10) || t), chr(10) || chr(10)) as context from experiment_results where retrieved_document_ids is not null")
+@_query("select id, array_to_string(list_transform(retrieved_document_ids, lambda t, i: '--- Document ' || i || ' ---' || chr(10) || t), chr(10) || chr(10)) as context from experiment_results where retrieved_document_ids is not null")
 def build_context(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).filter("retrieved_document_ids is not null").select("id", rag.build_context(F.col("retrieved_document_ids")).alias("context"))
 
@@ -311,9 +311,9 @@ def indexed_ids(spark: SparkSession, sf: str) -> DataFrame:
 # --- question understanding ------------------------------------------------------------------------------------
 
 _LEXICON = {k: "[" + ", ".join(f"'{w}'" for w in words) + "]" for k, words in (("tamil", detection.TAMIL_WORDS), ("hindi", detection.HINDI_WORDS))}
-DETECTED = f"""with t as (select id, original_query as q, list_distinct(regexp_extract_all(lower(coalesce(original_query, '')), '[a-z]+')) as w, list_transform(regexp_extract_all(original_query, '[\\p{{L}}\\p{{N}}_]+'), x ->
+DETECTED = f"""with t as (select id, original_query as q, list_distinct(regexp_extract_all(lower(coalesce(original_query, '')), '[a-z]+')) as w, list_transform(regexp_extract_all(original_query, '[\\p{{L}}\\p{{N}}_]+'), lambda x:
     case when regexp_matches(x, '[\\x{{0900}}-\\x{{097F}}]') then 'Hindi' when regexp_matches(x, '[\\x{{0B80}}-\\x{{0BFF}}]') then 'Tamil' when regexp_matches(x, '[a-zA-Z]') then 'English' end) as sc from experiment_results),
-f as (select id, q, list_has_any(w, {_LEXICON['tamil']}) as ta, list_has_any(w, {_LEXICON['hindi']}) as hi, list_filter(['English', 'Hindi', 'Tamil'], l -> list_contains(sc, l)) as ls from t),
+f as (select id, q, list_has_any(w, {_LEXICON['tamil']}) as ta, list_has_any(w, {_LEXICON['hindi']}) as hi, list_filter(['English', 'Hindi', 'Tamil'], lambda l: list_contains(sc, l)) as ls from t),
 det as (select id, q, case when q is null or trim(q, E' \\n\\t\\r') = '' then 0 when ta or hi then 1 else 2 end as pass, ta, hi, ls from f)"""
 
 
@@ -382,7 +382,7 @@ def doc_id_hash(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", "ingestion_timestamp", tx.document_id(F.col("filename"), F.coalesce("title", F.lit(""))).alias("doc_key"))
 
 
-@_query("select question_id, language_variant, reviewer_1_id, reviewer_2_id, list_filter(list_transform(str_split(coalesce(expected_document_ids, ''), ';'), x -> trim(x)), x -> x <> '') as ids from human_query_review_sheet")
+@_query("select question_id, language_variant, reviewer_1_id, reviewer_2_id, list_filter(list_transform(str_split(coalesce(expected_document_ids, ''), ';'), lambda x: trim(x)), lambda x: x <> '') as ids from human_query_review_sheet")
 def parse_id_list(spark: SparkSession, sf: str) -> DataFrame:
     return _sheet(spark, sf).select("question_id", "language_variant", "reviewer_1_id", "reviewer_2_id", tx.id_list(F.col("expected_document_ids"), ";").alias("ids"))
 
@@ -486,7 +486,7 @@ def latest_documents(spark: SparkSession, sf: str) -> DataFrame:
     return quality.latest_documents(_docs(spark, sf)).select("document_id", "ingestion_timestamp")
 
 
-@_query("select document_id, ingestion_timestamp, len(list_filter(str_split(text, chr(10)), l -> trim(l) <> '')) as lines from source_documents")
+@_query("select document_id, ingestion_timestamp, len(list_filter(str_split(text, chr(10)), lambda l: trim(l) <> '')) as lines from source_documents")
 def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", "ingestion_timestamp", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("lines"))
 
