@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.tables import spread
+
 # Boundaries in order of preference; of each kind the last in the window counts.
 BOUNDARIES = ("\n\n", "\n", ". ", "? ", "! ", "। ", " ")
 
@@ -51,7 +53,7 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 100) -> Dat
 
     carried = F.map_filter(F.create_map(*(x for c in ("title", "filename", "source", "document_type") for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
     rows = docs.select("document_id", "text", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), carried.alias("carried"))
-    made = rows.mapInPandas(run, "document_id string, metadata map<string,string>, carried map<string,string>, chunks array<struct<chunk_id string, chunk_index int, chunk_text string, char_start int, char_end int>>")
+    made = spread(rows).mapInPandas(run, "document_id string, metadata map<string,string>, carried map<string,string>, chunks array<struct<chunk_id string, chunk_index int, chunk_text string, char_start int, char_end int>>")
     one = made.select("document_id", "metadata", "carried", F.explode("chunks").alias("c")).select("document_id", "metadata", "carried", "c.*")
     over = F.map_concat("carried", F.create_map(F.lit("chunk_size_chars"), F.length("chunk_text").cast("string")))
     kept = F.map_filter("metadata", lambda k, _: ~F.array_contains(F.map_keys(over), k))

@@ -10,12 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.tables import cut
+from quillspark.tables import cut, spread
 
 #: Queries held by a task at once; more are scored block by block, each against every row.
 BLOCK = 20_000
 
 
+#: Queries of a matrix product: bounds the memory of a task whatever the block.
+SLICE = 512
+
+
+def _first(k: int, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the greatest scores, ties by key."""
+    order = np.lexsort((keys, -scores, rows))
+    rows, scores, keys = rows[order], scores[order], keys[order]
+    starts = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - starts < k
+    return rows[keep], scores[keep], keys[keep]
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "id", vector: str = "embedding", block: int = BLOCK, with_self: bool = False) -> DataFrame:
     """query_key, key, score, rank: the k rows of the corpus with the greatest inner product, ties by key.
 
@@ -40,31 +53,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "q
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best = np.full((len(ids), 0), 0.0)
-            keys = np.empty((len(ids), 0), dtype=object)
+            best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query's row, score, key
             for batch in batches:
                 batch = batch[batch["v"].map(len) == q.shape[1]]
                 if not len(batch) or not len(ids):
                     continue
-                s = q @ np.array(batch["v"].tolist(), dtype=np.float64).T
-                names = batch["c"].to_numpy()
-                if not with_self and ids.dtype == names.dtype:
-                    s[ids[:, None] == names[None, :]] = -np.inf
-                if s.shape[1] > 4 * k:  # keep ties of the k-th score, the key decides among them
-                    floor = np.partition(s, -k, axis=1)[:, -k]
-                    keep = np.flatnonzero((s >= floor[:, None]).any(axis=0))
-                    s, names = s[:, keep], names[keep]
-                best = np.concatenate((best, s), axis=1)
-                keys = np.concatenate((keys, np.broadcast_to(names.astype(object), s.shape)), axis=1)
-                if best.shape[1] > k:
-                    order = np.stack([np.lexsort((keys[r], -best[r]))[:k] for r in range(len(ids))])
-                    best, keys = np.take_along_axis(best, order, axis=1), np.take_along_axis(keys, order, axis=1)
-            for r, name in enumerate(ids):
-                live = np.isfinite(best[r])
-                if live.any():
-                    yield pd.DataFrame({"q": [name] * int(live.sum()), "c": keys[r][live], "score": best[r][live]})
+                vectors = np.array(batch["v"].tolist(), dtype=np.float64).T
+                names = np.array(batch["c"].tolist())
+                for lo in range(0, len(ids), SLICE):
+                    s = q[lo : lo + SLICE] @ vectors
+                    if not with_self and ids.dtype.kind == batch["c"].to_numpy().dtype.kind:
+                        s[ids[lo : lo + SLICE, None] == names[None, :]] = -np.inf
+                    floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    at, column = np.nonzero((s >= floor[:, None]) & np.isfinite(s))  # with the ties of the k-th
+                    found = at + lo, s[at, column], names[column]
+                    best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+                best = _first(k, *best)
+            if best is not None and len(best[0]):
+                yield pd.DataFrame({"q": ids[best[0]], "c": best[2], "score": best[1]})
 
-        part = rows.mapInPandas(score, f"q {q_kind}, c {c_kind}, score double")
+        part = spread(rows).mapInPandas(score, f"q {q_kind}, c {c_kind}, score double")
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("c").alias(key), "score", "rank")

@@ -14,6 +14,7 @@ from quillspark.functions.vectors import embedder
 from quillspark.operators.detection import normalize, routed_query
 from quillspark.operators.judging import parse_reply
 from quillspark.operators.retrieval import top_k
+from quillspark.tables import spread
 
 INSUFFICIENT = "The context does not answer this question."
 
@@ -82,7 +83,7 @@ def retrieve(queries: DataFrame, index: DataFrame, key: str, query: str, k: int)
 
 def build_index(chunks: DataFrame, dim: int = Settings.embedding_dim) -> DataFrame:
     """Distinct chunks with their unit vectors."""
-    return chunks.select("chunk_id", "document_id", "chunk_text").dropDuplicates(["chunk_id"]).withColumn("embedding", embedder(dim)(F.col("chunk_text")))
+    return spread(chunks.select("chunk_id", "document_id", "chunk_text")).dropDuplicates(["chunk_id"]).withColumn("embedding", embedder(dim)(F.col("chunk_text")))
 
 
 def answer(

@@ -29,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its plan is run once and survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions: a few small files before work that is heavy for each row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
