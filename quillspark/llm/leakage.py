@@ -24,7 +24,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import cut
+from quillspark.tables import cut, spread
 
 #: Words in a k-gram and k-grams in a window: every run of three equal words is found.
 K, WINDOW = 2, 2
@@ -38,6 +38,8 @@ REACH = 20
 MIN_PRESENT = 11
 #: Score that going on after foreign text costs; it counts as one change.
 JUMP = 3.0
+#: Cells that one step of the alignments holds.
+CELLS = 16_384
 #: Most bytes of passages broadcast at once.
 BLOCK_BYTES = 32 << 20
 
@@ -84,43 +86,52 @@ class _Item:
             self.ids += _ids(words_of(sentence)).tolist()
             self.ends.add(len(self.ids) - 1)
         self.ids = np.array(self.ids, dtype=np.uint64)
-        self.grams = _kgrams(self.ids, 3).tolist()
         self.prints = winnowed(_kgrams(self.ids, K), WINDOW).tolist()
 
 
-def contains(doc: np.ndarray, item: _Item, penalty: float) -> bool:
-    """Are ``MIN_WORDS`` words of the item in ``doc`` in order, few enough of them changed?
+def contains(pairs: list[tuple[np.ndarray, _Item]], penalty: float) -> np.ndarray:
+    """Of each (document, item): are ``MIN_WORDS`` words of the item there in order, few enough of them changed?
 
-    Local alignment with 1 a match and ``-penalty`` a change; rows are the passage's words, columns the document's.
-    Each cell carries the words and changes of its best path.  After a sentence of the passage, a path may go on at
-    any later place of the document.
+    Local alignments of all pairs at once, with 1 a match and ``-penalty`` a change; steps go along the passages' words,
+    columns are the documents'.  Each cell carries the words and changes of its best path.  After a sentence of the
+    passage, a path may go on at any later place of the document.
     """
-    n = len(doc)
-    at = np.arange(n)
-    score, words, changes = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    for i, word in enumerate(item.ids):
-        equal = doc == word
-        diagonal = score[:-1] + np.where(equal, 1.0, -penalty)
-        above = score[1:] - penalty
-        over = above > diagonal
-        best = np.where(over, above, diagonal)
-        w = np.where(over, words[1:], words[:-1]) + 1
-        c = np.where(over, changes[1:], changes[:-1]) + np.where(over | ~equal, 1.0, 0.0)
-        lifted = best + penalty * at  # words added in the document
-        top = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted >= top, at, 0))
-        best, w, c = top - penalty * at, w[source], c[source] + (at - source)
-        if i in item.ends:
-            top = np.maximum.accumulate(best)
-            source = np.maximum.accumulate(np.where(best >= top, at, 0))
-            jump = top - JUMP > best
-            best, w, c = np.where(jump, top - JUMP, best), np.where(jump, w[source], w), np.where(jump, c[source] + 1, c)
-        dead = best <= 0
-        best[dead] = w[dead] = c[dead] = 0
-        if ((w >= MIN_WORDS) & (c <= MAX_CHANGED * w + 1e-9)).any():
-            return True
-        score[1:], words[1:], changes[1:] = best, w, c
-    return False
+    p, n, m = len(pairs), max(len(d) for d, _ in pairs), max(len(i.ids) for _, i in pairs)
+    docs, passages, ends = np.zeros((p, n), np.uint64), np.ones((p, m), np.uint64), np.zeros((p, m), bool)
+    for r, (doc, item) in enumerate(pairs):
+        docs[r, : len(doc)], passages[r, : len(item.ids)] = doc, item.ids
+        ends[r, [e for e in item.ends if e >= 0]] = True
+    lengths = np.array([len(i.ids) for _, i in pairs])
+    at = np.arange(n)[None, :]
+    score, words, changes = (np.zeros((p, n + 1), np.float32) for _ in range(3))
+    found = np.zeros(p, bool)
+
+    def furthest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running maximum and the place it comes from."""
+        top = np.maximum.accumulate(values, axis=1)
+        return top, np.maximum.accumulate(np.where(values >= top, at, 0), axis=1)
+
+    for i in range(m):
+        equal = docs == passages[:, i, None]
+        best = score[:, :-1] + np.where(equal, np.float32(1), np.float32(-penalty))
+        above = score[:, 1:] - np.float32(penalty)
+        over = above > best
+        best = np.where(over, above, best)
+        w = np.where(over, words[:, 1:], words[:, :-1]) + 1
+        c = np.where(over, changes[:, 1:], changes[:, :-1]) + (over | ~equal)
+        top, source = furthest(best + np.float32(penalty) * at)  # words added in the document
+        best = top - np.float32(penalty) * at
+        w, c = np.take_along_axis(w, source, 1), np.take_along_axis(c, source, 1) + (at - source)
+        if ends[:, i].any():
+            top, source = furthest(best)
+            jump = (top - JUMP > best) & ends[:, i, None]
+            best = np.where(jump, top - JUMP, best)
+            w, c = np.where(jump, np.take_along_axis(w, source, 1), w), np.where(jump, np.take_along_axis(c, source, 1) + 1, c)
+        live = best > 0.01
+        score[:, 1:], words[:, 1:], changes[:, 1:] = np.where(live, best, 0), np.where(live, w, 0), np.where(live, c, 0)
+        if i + 1 >= MIN_WORDS:
+            found |= ((words[:, 1:] >= MIN_WORDS) & (changes[:, 1:] <= MAX_CHANGED * words[:, 1:] + 1e-4)).any(axis=1) & (i < lengths)
+    return found
 
 
 class LeakFinder:
@@ -129,40 +140,66 @@ class LeakFinder:
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self._items = [x for k, p in items if len((x := _Item(k, p)).ids) >= MIN_WORDS]
         self._by_print: dict[int, list[int]] = {}
+        self._by_gram: dict[int, list[tuple[int, list[int]]]] = {}
         for i, item in enumerate(self._items):
             for h in item.prints:
                 self._by_print.setdefault(h, []).append(i)
-
-    def find(self, text: str) -> list[object]:
-        """Keys of the items that ``text`` contains."""
+            places: dict[int, list[int]] = {}
+            for j, g in enumerate(_kgrams(item.ids, 3).tolist()):
+                places.setdefault(g, []).append(j)
+            for g, js in places.items():
+                self._by_gram.setdefault(g, []).append((i, js))
+
+    def _candidates(self, text: str) -> list[tuple[np.ndarray, _Item]]:
+        """(part of the document, item) of the items that may be in ``text``."""
         ids = _ids(words_of(text))
         hits: Counter[int] = Counter()
         for h in winnowed(_kgrams(ids, K), WINDOW).tolist():
             if (some := self._by_print.get(h)) is not None:
                 hits.update(some)
+        hits = {i: n for i, n in hits.items() if n >= MIN_HITS}
         if not hits:
             return []
-        grams: dict[int, int] = {}
-        last: dict[int, int] = {}
+        at: dict[int, set[int]] = {}  # item -> places of its triples that the document has
+        span: dict[int, tuple[int, int]] = {}
         for j, g in enumerate(_kgrams(ids, 3).tolist()):
-            grams.setdefault(g, j)
-            last[g] = j
-        found = []
-        for i, n in hits.items():
-            if n < MIN_HITS:
+            for i, places in self._by_gram.get(g, ()):
+                if i in hits:
+                    at.setdefault(i, set()).update(places)
+                    span[i] = (span.get(i, (j, j))[0], j)
+        out = []
+        for i, places in at.items():
+            if len(places) < MIN_GRAMS:
                 continue
-            item = self._items[i]
-            at = [j for j, g in enumerate(item.grams) if g in grams]
-            if not any(at[k + MIN_GRAMS - 1] - at[k] < REACH for k in range(len(at) - MIN_GRAMS + 1)):
+            item, places = self._items[i], sorted(places)
+            if not any(y - x < REACH for x, y in zip(places, places[MIN_GRAMS - 1 :])):
                 continue
             # outside the triples' reach in the document nothing can add to a path
-            span = slice(max(0, min(grams[item.grams[j]] for j in at) - REACH), max(last[item.grams[j]] for j in at) + 3 + REACH)
-            near = ids[span]
+            near = ids[max(0, span[i][0] - REACH) : span[i][1] + 3 + REACH]
             there = np.concatenate(([0], np.cumsum(np.isin(item.ids, near))))
-            if (there[MIN_WORDS:] - there[:-MIN_WORDS]).max() < MIN_PRESENT:
-                continue
-            if any(contains(near, item, p) for p in (3.0, 4.0, 2.0)):
-                found.append(item.key)
+            if (there[MIN_WORDS:] - there[:-MIN_WORDS]).max() >= MIN_PRESENT:
+                out.append((near, item))
+        return out
+
+    def find(self, texts: list[str]) -> list[list[object]]:
+        """For each text the keys of the items that it contains."""
+        found: list[list[object]] = [[] for _ in texts]
+        open_ = [(k, near, item) for k, text in enumerate(texts) for near, item in self._candidates(text)]
+        for penalty in (3.0, 4.0, 2.0):
+            open_.sort(key=lambda x: len(x[1]))
+            left, start = [], 0
+            while start < len(open_):  # pairs of like length, of a bounded number of cells
+                stop = start + 1
+                while stop < len(open_) and (stop - start + 1) * len(open_[stop][1]) <= CELLS:
+                    stop += 1
+                some = open_[start:stop]
+                start = stop
+                for x, yes in zip(some, contains([(d, i) for _, d, i in some], penalty), strict=True):
+                    if yes:
+                        found[x[0]].append(x[2].key)
+                    else:
+                        left.append(x)
+            open_ = left
         return found
 
 
@@ -188,9 +225,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             finder = LeakFinder(shared.value)
             for batch in batches:
-                rows = [(d, i) for d, t in zip(batch["doc"], batch["text"], strict=True) for i in finder.find(t)]
+                rows = [(d, i) for d, some in zip(batch["doc"], finder.find(batch["text"].tolist()), strict=True) for i in some]
                 yield pd.DataFrame(rows, columns=["doc", "item"])
 
-        part = corpus.mapInPandas(run, f"doc {kinds[0]}, item {kinds[1]}")
+        part = spread(corpus).mapInPandas(run, f"doc {kinds[0]}, item {kinds[1]}")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
