@@ -26,7 +26,7 @@ NUMBER_WORDS = ("ONE", "TWO", "THREE", "FOUR", "FIVE")
 DECISION_PRIOR = ((3.0, 1.0, 1.0), (1.0, 3.0, 1.0), (1.0, 1.0, 3.0))
 SCORE_PRIOR = ((0.5, 0.5, 1.0, 2.0, 2.0), (0.5, 1.0, 2.0, 1.0, 0.5), (2.0, 2.0, 1.0, 0.5, 0.5))
 #: Rounds at most, and the change of the class shares at which they end.
-ROUNDS, TOLERANCE = 25, 1e-5
+ROUNDS, TOLERANCE = 25, 1e-4
 #: Rows of (annotator, label) up to which they are broadcast; beyond, Spark shuffles them.
 BROADCAST_ROWS = 200_000
 #: Mean share of right decisions over the classes: 1/3 tells nothing; under this bound, an annotator tells next to nothing.

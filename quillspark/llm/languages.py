@@ -3,8 +3,8 @@
 A linear-chain conditional random field labels every word as English, Tamil or Hindi.  Features are the word, its
 affixes, character n-grams, script and its entry in lexicons counted from the training texts; transitions between
 neighbours are learned with them.  Training texts have a label as a whole only, so forward-backward runs twice: free,
-and over the paths that agree with the text's label (English words anywhere, words that the lexicon gives to the mixed
-language in that language).  A sentence with a Tamil or Hindi word is a mix, one wholly in native script Tamil or
+and over the paths that agree with the text's label: English words anywhere, words that the lexicon gives to the mixed
+language in that language, and not all of a mixed text English.  A sentence with a Tamil or Hindi word is a mix, one wholly in native script Tamil or
 Hindi itself.  The model is fitted on a bounded sample; texts whose given label the first fit firmly contradicts are
 left out of the second.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.unify import plain_text
+from quillspark.tables import spread
 
 ENGLISH, TAMIL_MIX, HINDI_MIX, TAMIL, HINDI = "english", "tamil_english", "hindi_english", "tamil", "hindi"
 LABELS = (ENGLISH, TAMIL_MIX, HINDI_MIX)
@@ -67,26 +68,43 @@ def _features(word: str) -> list[str]:
     return out + [f"g {framed[i : i + 3]}" for i in range(len(framed) - 2)]
 
 
-def _marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over padded sequences, on the allowed labels only: marginals (B, T, K) and expected moves (K, K)."""
+def _marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, allowed: np.ndarray | None = None, mixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded sequences: marginals (B, T, K) and expected moves (K, K).
+
+    ``allowed``: the labels that each word may have.  ``mixed``: sequences that are not all English, for which that one
+    path is taken out.
+    """
     t = scores.shape[1]
-    psi = np.exp(scores - scores.max(axis=2, keepdims=True)) + 1e-12
+    top = scores.max(axis=2, keepdims=True)
+    psi = np.exp(scores - top) + 1e-12
     if allowed is not None:
         psi = psi * allowed
     step = np.exp(moves)
     inside = np.arange(t)[None, :] < lengths[:, None]
     alpha, beta = np.empty_like(psi), np.ones_like(psi)
-    alpha[:, 0] = psi[:, 0] / psi[:, 0].sum(axis=1, keepdims=True)
+    norm = psi[:, 0].sum(axis=1, keepdims=True)
+    alpha[:, 0] = psi[:, 0] / norm
+    log_total = np.log(norm[:, 0])
     for i in range(1, t):
         a = (alpha[:, i - 1] @ step) * psi[:, i]
-        alpha[:, i] = np.where(inside[:, i, None], a / a.sum(axis=1, keepdims=True), alpha[:, i - 1])
+        norm = a.sum(axis=1, keepdims=True)
+        alpha[:, i] = np.where(inside[:, i, None], a / norm, alpha[:, i - 1])
+        log_total += np.where(inside[:, i], np.log(norm[:, 0]), 0.0)
     for i in range(t - 2, -1, -1):
         c = (psi[:, i + 1] * beta[:, i + 1]) @ step.T
         beta[:, i] = np.where(inside[:, i + 1, None], c / c.sum(axis=1, keepdims=True), 1.0)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
+    english = np.zeros(len(scores))
+    if mixed is not None:
+        path = np.where(inside, scores[:, :, 0] - top[:, :, 0], 0.0).sum(axis=1) + (lengths - 1) * moves[0, 0]
+        english = np.where(mixed, np.exp(np.minimum(path - log_total, -1e-3)), 0.0)
+        gamma = np.maximum(0.0, gamma - english[:, None, None] * np.eye(_K)[0]) / (1 - english)[:, None, None]
     x, y = alpha[:, :-1][inside[:, 1:]], (psi * beta)[:, 1:][inside[:, 1:]]
-    return gamma, step * ((x / ((x @ step) * y).sum(axis=1, keepdims=True)).T @ y)
+    weight = np.broadcast_to((1 / (1 - english))[:, None], inside[:, 1:].shape)[inside[:, 1:]]
+    expected = step * ((x * (weight / ((x @ step) * y).sum(axis=1))[:, None]).T @ y)
+    expected[0, 0] -= ((lengths - 1) * english / (1 - english)).sum()
+    return gamma, expected
 
 
 def _words(sentence: str) -> list[str]:
@@ -232,7 +250,7 @@ def _fit(texts: list[tuple[list[list[str]], int]]) -> Tagger:
         allowed = np.ones((*ids.shape, _K))
         for r, (s, label) in enumerate(some):
             allowed[r, : len(s)] = [_allowed(w, label, lexicon) for w in s]
-        blocks.append((ids, allowed, lengths, np.arange(lengths.max())[None, :] < lengths[:, None]))
+        blocks.append((ids, allowed, np.array([label > 0 for _, label in some]), lengths, np.arange(lengths.max())[None, :] < lengths[:, None]))
     weights, moves = np.zeros((len(index), _K)), np.zeros((_K, _K))
     m = [np.zeros_like(weights), np.zeros_like(moves)]
     v = [np.zeros_like(weights), np.zeros_like(moves)]
@@ -240,9 +258,9 @@ def _fit(texts: list[tuple[list[list[str]], int]]) -> Tagger:
         rate = RATE * 0.5 * (1 + np.cos(np.pi * (step - 1) / ROUNDS))
         scores = np.stack([np.bincount(rows, weights[cols, k], minlength=len(types)) for k in range(_K)], axis=1)
         of_types, of_moves = np.zeros_like(scores), np.zeros_like(moves)
-        for ids, allowed, lengths, inside in blocks:
+        for ids, allowed, mixed, lengths, inside in blocks:
             free, of_free = _marginals(scores[ids], lengths, moves)
-            told, of_told = _marginals(scores[ids], lengths, moves, allowed)
+            told, of_told = _marginals(scores[ids], lengths, moves, allowed, mixed)
             flat, difference = ids[inside], (told - free)[inside]
             for k in range(_K):
                 of_types[:, k] += np.bincount(flat, difference[:, k], minlength=len(types))
@@ -277,8 +295,8 @@ def train(rows: list[tuple[str, str]]) -> Tagger:
 
 def training_rows(runs: DataFrame, questions: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """A bounded sample of labelled texts: of the runs by label, of the questions by column."""
-    long = questions.select(F.col("question_id").cast("string").alias("k"), F.explode(F.array(*(F.struct(F.col(c).alias("text"), F.lit(c).alias("label")) for c in LABELS))).alias("x")).select("k", "x.text", "x.label", F.lit("question").alias("source"))
-    rows = long.unionByName(runs.select(F.col("id").cast("string").alias("k"), F.col("original_query").alias("text"), F.col("language").alias("label"), F.lit("run").alias("source"))).filter(F.col("label").isin(*LABELS) & F.col("text").isNotNull())
+    long = questions.select(F.coalesce(F.col("question_id").cast("string"), F.lit("")).alias("k"), F.explode(F.array(*(F.struct(F.col(c).alias("text"), F.lit(c).alias("label")) for c in LABELS))).alias("x")).select("k", "x.text", "x.label", F.lit("question").alias("source"))
+    rows = long.unionByName(runs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("original_query").alias("text"), F.col("language").alias("label"), F.lit("run").alias("source"))).filter(F.col("label").isin(*LABELS) & F.col("text").isNotNull())
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("source", "label").count().collect()}
     if not counts:
         return []
@@ -309,7 +327,7 @@ def text_segments(df: DataFrame, key: str, text: str, tagger: Tagger, label: str
             yield pd.DataFrame(rows, columns=["key", "label", "segment_no", "language", "confidence", "segment", "n_segments"])
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None)).cast("string").alias("label")).filter(F.col("text").isNotNull())
-    return texts.mapInPandas(run, f"key {kind}, label string, segment_no int, language string, confidence double, segment string, n_segments int").withColumnRenamed("key", key)
+    return spread(texts).mapInPandas(run, f"key {kind}, label string, segment_no int, language string, confidence double, segment string, n_segments int").withColumnRenamed("key", key)
 
 
 def mislabelled(runs: DataFrame, questions: DataFrame) -> DataFrame:

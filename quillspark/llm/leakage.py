@@ -38,6 +38,8 @@ REACH = 20
 MIN_PRESENT = 11
 #: Score that going on after foreign text costs; it counts as one change.
 JUMP = 3.0
+#: Scores of a change, one alignment each: the high one for parts beside like text, the low ones for changes soon after the start.
+PENALTIES = (3.0, 1.0, 0.7)
 #: Cells that one step of the alignments holds.
 CELLS = 16_384
 #: Most bytes of passages broadcast at once.
@@ -121,6 +123,7 @@ def contains(pairs: list[tuple[np.ndarray, _Item]], penalty: float) -> np.ndarra
         c = np.where(over, changes[:, 1:], changes[:, :-1]) + (over | ~equal)
         top, source = furthest(best + np.float32(penalty) * at)  # words added in the document
         best = top - np.float32(penalty) * at
+        whole = equal & ~over & (source == at)  # the path ends in a word that is there
         w, c = np.take_along_axis(w, source, 1), np.take_along_axis(c, source, 1) + (at - source)
         if ends[:, i].any():
             top, source = furthest(best)
@@ -130,7 +133,7 @@ def contains(pairs: list[tuple[np.ndarray, _Item]], penalty: float) -> np.ndarra
         live = best > 0.01
         score[:, 1:], words[:, 1:], changes[:, 1:] = np.where(live, best, 0), np.where(live, w, 0), np.where(live, c, 0)
         if i + 1 >= MIN_WORDS:
-            found |= ((words[:, 1:] >= MIN_WORDS) & (changes[:, 1:] <= MAX_CHANGED * words[:, 1:] + 1e-4)).any(axis=1) & (i < lengths)
+            found |= (whole & (words[:, 1:] >= MIN_WORDS) & (changes[:, 1:] <= MAX_CHANGED * words[:, 1:] + 1e-4)).any(axis=1) & (i < lengths)
     return found
 
 
@@ -185,7 +188,7 @@ class LeakFinder:
         """For each text the keys of the items that it contains."""
         found: list[list[object]] = [[] for _ in texts]
         open_ = [(k, near, item) for k, text in enumerate(texts) for near, item in self._candidates(text)]
-        for penalty in (3.0, 4.0, 2.0):
+        for penalty in PENALTIES:
             open_.sort(key=lambda x: len(x[1]))
             left, start = [], 0
             while start < len(open_):  # pairs of like length, of a bounded number of cells

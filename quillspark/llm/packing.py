@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import cut
+from quillspark.tables import cut, spread
 
 CAPACITY = 2048
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -103,7 +103,7 @@ def token_items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
                 rows += [(k, p, a, min(n, a + capacity)) for p, a in enumerate(range(0, max(n, 1), capacity))]
             yield pd.DataFrame(rows, columns=["key", "part", "token_start", "token_end"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, part int, token_start bigint, token_end bigint")
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(run, f"key {kind}, part int, token_start bigint, token_end bigint")
 
 
 def _packed(items: DataFrame, count: int, capacity: int, columns: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.unify import plain_text
-from quillspark.tables import cut
+from quillspark.tables import cut, spread
 
 # What stands for no answer, as letters and digits in lower case.
 PLACEHOLDERS = ["", "na", "none", "null", "nil", "nan", "undefined", "noanswer", "noresponse", "noreply", "empty", "blank", "tbd", "todo", "answer"]
@@ -77,7 +77,7 @@ _ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])(?:\s|$)")
 _SENTENCE = re.compile(r"(?<=[.!?।。]['\")”’]?)(?<!\b(?:Rs|No|Mr|Ms|Dr)\.) +(?=[\p{Lu}\p{Lo}\"“'])")
 _NOT_LETTERS = re.compile(r"[^\p{L}\p{N}\p{M}]+")
 _NOT_WORDS = re.compile(r"[^\p{L}\p{M}']+")
-_MASKS = [(re.compile(x), y) for x, y in ((r"Rs\.\s*", "Rs "), (r"\d", "9"), (r"\b\p{Lu}{2}-(?=9|$)", "@-"), (r"(?<=[\p{Ll}9%,;:.@] )\p{Lu}[\p{L}'’]*(?:[ -]\p{Lu}[\p{L}'’]*)*(?= )", "@"), (r"\s+", " "), (r"[.!?।。]['\")\]”’]*$", ""))]
+_MASKS = [(re.compile(x), y) for x, y in ((r"Rs\.\s*", "rs "), (r"\d", "9"), (r"\b\p{Lu}{2}-(?=9|$)", "@-"), (r"(?<=[\p{Ll}9%,;:.@] )\p{Lu}[\p{L}'’]*(?:[ -]\p{Lu}[\p{L}'’]*)*(?= )", "@"), (r"\s+", " "), (r"[.!?।。]['\")\]”’]*$", ""))]
 
 
 def _letters(text: str | None) -> str:
@@ -282,6 +282,6 @@ def defective_pairs(
     make no copy or error; repeated rows come out once; an empty table gives no rows; other columns are not read.
     """
     base = df.select(F.col(key).alias("id"), F.coalesce(F.col(generator), F.lit("")).alias("generator"), F.col(prompt).alias("p"), F.col(other_prompt).alias("q"), F.col(response).alias("a"), F.col(error).alias("e"))
-    rows = cut(base.mapInPandas(_judged, _ROW.format(key=df.schema[key].dataType.simpleString())))
+    rows = cut(spread(base).mapInPandas(_judged, _ROW.format(key=df.schema[key].dataType.simpleString())))
     short = _truncated(rows).select("id", F.lit("truncated").alias("defect"))
     return rows.filter("defect is not null").select("id", "defect").unionByName(short).select(F.col("id").alias(key), "defect").distinct()
