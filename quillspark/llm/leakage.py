@@ -3,8 +3,10 @@
 Winnowing keeps, of every window of k-gram hashes, the least one, in the items and in the documents alike, so any run
 of ``K + WINDOW - 1`` equal words leaves a common fingerprint.  A passage part of 15 words of which a fifth is changed
 still has at least ``MIN_HITS`` common fingerprints, whatever the places of the changes, and ``MIN_GRAMS`` common
-word triples.  What has both is extended: a local alignment by words decides whether 15 words of the passage stand
-there in order with at most a fifth changed, dropped or added, text between the passage's sentences being free.
+word triples.  What has both is extended: local alignments by words decide whether 15 words of the passage stand there
+in order with at most a fifth changed, dropped or added, text between the passage's sentences being free.  The
+alignments are heuristic at the very bound: with a full fifth changed from the second word on, about one part in a
+hundred is missed.
 
 The items are the small side.  Their size is checked: blocks of at most ``BLOCK_BYTES`` are broadcast, one after the
 other, so each block costs one pass over the documents and no shuffle; every block meets every document.
@@ -39,7 +41,7 @@ MIN_PRESENT = 11
 #: Score that going on after foreign text costs; it counts as one change.
 JUMP = 3.0
 #: Scores of a change, one alignment each: the high one for parts beside like text, the low ones for changes soon after the start.
-PENALTIES = (3.0, 1.0, 0.7)
+PENALTIES = (3.0, 1.0, 0.4)
 #: Cells that one step of the alignments holds.
 CELLS = 16_384
 #: Most bytes of passages broadcast at once.
