@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -39,7 +40,7 @@ def extractive_answer(query: str, context: str) -> str:
     wanted = {w for w in query.lower().split() if len(w) > 2}
     best, most = INSUFFICIENT, 1
     for line in context.split("\n"):
-        for sentence in line.split(". "):
+        for sentence in re.split(r"(?<!\bRs)\. ", line):
             n = len(wanted & set(sentence.lower().split()))
             if n > most and not line.startswith("--- Document"):
                 best, most = sentence.strip(), n

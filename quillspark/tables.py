@@ -31,7 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A partition of this size is what Spark itself makes of small files.
+SMALL = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions: a few small files before work that is heavy for each row."""
+    """``df`` over all cores if its estimated size is under ``SMALL`` a core: a few small files before work that is heavy for each row.
+
+    Only the plan's statistics are asked; larger inputs and streams keep their partitions.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= n * SMALL:
+        return df
+    return df.repartition(n)
