@@ -252,7 +252,7 @@ def _truncated(rows: DataFrame) -> DataFrame:
     judged = (
         beginnings.withColumn("pair", pair)
         .join(closing.distinct().withColumn("closes", F.lit(True)), "pair", "left")
-        .filter(F.col("shortened") | (F.col("closes").isNull() & (F.col("alone") < MIN_TERSE) & (F.size(words) > 3)))
+        .filter(F.col("shortened") | (F.col("closes").isNull() & (F.col("alone") < MIN_TERSE) & ((F.size(words) > 3) | (F.col("alone") == 0))))
         .select("unit", F.lit(True).alias("broken"))
     )
 
