@@ -31,7 +31,7 @@ def validate_records(results: DataFrame, seq: str = "id") -> DataFrame:
 
     The first missing field names the reason.  Of the complete records of one (experiment, question, language,
     mitigation), the first by ``seq`` holds the key, even if its score is out of bounds, and all later ones are
-    duplicates, whatever their score.  NaN is within bounds.  A missing experiment counts as 'unknown'.
+    duplicates, whatever their score; ``seq`` is unique.  NaN is within bounds.  A missing experiment counts as 'unknown'.
     """
     gap = F.coalesce(*(F.when(test, F.lit(f"missing {what}")) for what, test in (
         ("question_id", _missing("question_id")), ("language", _missing("language")), ("mitigation condition", F.col("mitigation_enabled").isNull()),
@@ -40,11 +40,14 @@ def validate_records(results: DataFrame, seq: str = "id") -> DataFrame:
     )))
     experiment = F.when(_missing("experiment_id"), "unknown").otherwise(F.col("experiment_id"))
     rows = results.withColumn("experiment_id", experiment).withColumn("_gap", gap)
-    # Incomplete records share one key apart from the others, spread by seq: they are never ranked together.
-    key = Window.partitionBy("experiment_id", "question_id", "language", "mitigation_enabled", F.when(F.col("_gap").isNotNull(), F.col(seq))).orderBy(seq)
+    # The first of each key comes from a group-by that combines before it shuffles; rows meet it again by their unique
+    # ``seq``, so a key that holds a third of all rows never comes to one task.
+    key = ["experiment_id", "question_id", "language", "mitigation_enabled"]
+    first = rows.filter("_gap is null").groupBy(*key).agg(F.min(seq).alias(seq)).select(seq, F.lit(True).alias("_first"))
+    rows = rows.join(first, seq, "left")
     score = F.col("faithfulness_score")
-    reason = F.coalesce("_gap", F.when(F.row_number().over(key) > 1, "duplicate record"), F.when(~F.isnan(score) & ((score < 0) | (score > 1)), "invalid faithfulness score outside [0.0, 1.0]"))
-    return rows.withColumn("exclusion_reason", reason).drop("_gap").withColumn("condition", condition_name(F.col("language"), F.col("mitigation_enabled")))
+    reason = F.coalesce("_gap", F.when(F.col("_first").isNull(), "duplicate record"), F.when(~F.isnan(score) & ((score < 0) | (score > 1)), "invalid faithfulness score outside [0.0, 1.0]"))
+    return rows.withColumn("exclusion_reason", reason).drop("_gap", "_first").withColumn("condition", condition_name(F.col("language"), F.col("mitigation_enabled")))
 
 
 def valid_records(results: DataFrame, seq: str = "id") -> DataFrame:
@@ -143,10 +146,12 @@ def paired_comparisons(diffs: DataFrame) -> DataFrame:
 
 def success_criterion(stats: DataFrame) -> DataFrame:
     """Does each mitigated mix come within ``GAP`` of the English baseline?  Rounded means, unrounded double difference."""
-    base = stats.filter(F.col("condition") == "english_baseline").select(F.col("mean").alias("english_mean"))
-    mixes = stats.filter(F.col("condition").isin(*(f"{x}_mitigated" for x in _MIXES))).select("condition", "mean")
+    of = lambda c: F.max(F.when(F.col("condition") == c, F.col("mean")))
+    mixes = [f"{x}_mitigated" for x in _MIXES]
+    row = stats.agg(of("english_baseline").alias("english_mean"), *(of(m).alias(m) for m in mixes))
+    rows = row.select("english_mean", F.explode(F.array(*(F.struct(F.lit(m).alias("condition"), F.col(m).alias("mean")) for m in mixes))).alias("x")).select("x.condition", "english_mean", "x.mean")
     gap = F.col("english_mean") - F.col("mean")
-    return mixes.crossJoin(F.broadcast(base)).select("condition", "english_mean", "mean", gap.alias("difference"), F.when(gap.isNull(), "INSUFFICIENT DATA").when(gap <= GAP, "MET").otherwise("NOT MET").alias("status"))
+    return rows.select("condition", "english_mean", "mean", gap.alias("difference"), F.when(gap.isNull(), "INSUFFICIENT DATA").when(gap <= GAP, "MET").otherwise("NOT MET").alias("status"))
 
 
 def dashboard_overview(valid: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def dataset_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count("*").alias("chunks"), F.count_if(is_blank(F.col("chunk_text"))).alias("empty_chunks"), F.coalesce(F.round(F.avg(some), 4), F.lit(0.0)).alias("avg_length"),
         F.coalesce(F.min(some), F.lit(0)).alias("min_length"), F.coalesce(F.max(some), F.lit(0)).alias("max_length"),
     )
-    return d.crossJoin(c).crossJoin(types)  # one row each
+    rows = d.unionByName(c, allowMissingColumns=True).unionByName(types, allowMissingColumns=True)  # one row each
+    return rows.agg(*(F.first(x, ignorenulls=True).alias(x) for x in rows.columns))
 
 
 def doc_type_counts(docs: DataFrame) -> DataFrame:
