@@ -31,8 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: A partition of this size is what Spark itself makes of small files.
-SMALL = 4 << 20
+#: Bytes a core under which rows are spread: files too small to be split.
+SMALL = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
