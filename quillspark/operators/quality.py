@@ -82,6 +82,19 @@ def reviewer_agreement(sheet: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("both_decided"), F.count_if(F.col("a") == F.col("b")).alias("matches"), F.round(100 * F.avg((F.col("a") == F.col("b")).cast("int")), 4).alias("percent"))
 
 
+def cohen_kappa(sheet: DataFrame) -> DataFrame:
+    """Agreement of the two reviewers beyond chance, decisions as they are written (an extension)."""
+    a, b = (F.upper(F.trim(f"reviewer_{n}_decision")) for n in (1, 2))
+    both = sheet.distinct().select(a.alias("a"), b.alias("b")).filter("a is not null and b is not null and a not in ('', 'PENDING') and b not in ('', 'PENDING')")
+    cells = both.groupBy("a", "b").agg(F.count("*").alias("n"))
+    sides = cells.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("n").alias("x"), F.lit(0).alias("y")), F.struct(F.col("b").alias("c"), F.lit(0).alias("x"), F.col("n").alias("y")))).alias("s")).groupBy("s.c").agg(F.sum("s.x").alias("x"), F.sum("s.y").alias("y"))
+    seen = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
+    rows = seen.unionByName(sides.agg(F.sum(F.col("x") * F.col("y")).alias("chance")), allowMissingColumns=True)
+    one = rows.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n", "same", "chance")))
+    by_chance = F.col("chance") / (F.col("n") * F.col("n"))
+    return one.select("n", F.round(F.try_divide(F.col("same") / F.col("n") - by_chance, 1 - by_chance), 4).alias("kappa"))
+
+
 def apply_review(queries: DataFrame, sheet: DataFrame) -> DataFrame:
     """Queries with the approved texts of the sheet in place of the mixed variants they were given for."""
     done = sheet.filter(F.trim("final_approved_query_text") != "").select("question_id", F.when(F.col("language_variant").contains("Tamil"), "tamil_english").otherwise("hindi_english").alias("column"), F.trim("final_approved_query_text").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import Settings
@@ -15,6 +15,7 @@ from quillspark.operators import analytics as an
 from quillspark.operators import chunking, detection, judging, quality, retrieval
 from quillspark.operators import experiment as ex
 from quillspark.plans import rag
+from quillspark.sources import files
 from quillspark.streaming import incremental
 from quillspark.tables import cut, table
 
@@ -377,6 +378,50 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", "ingestion_timestamp", tx.clean_text(F.col("text")).alias("text"))
 
 
+def _as_files(df: DataFrame, key: Column, extension: str, content: Column) -> DataFrame:
+    """Rows as the scanned files that a loader gets."""
+    name = F.concat(key, F.lit(f".{extension}"))
+    return df.select(name.alias("path"), name.alias("filename"), F.lit(f".{extension}").alias("extension"), F.encode(content, "UTF-8").alias("content"))
+
+
+@_query()
+def load_txt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text as a text file, loaded again."""
+    docs = _docs(spark, sf)
+    return files.documents(files.load_files(_as_files(docs, F.col("document_id"), "txt", F.col("text")))).drop("ingestion_timestamp")
+
+
+@_query()
+def load_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a JSON file of title, content and metadata, loaded again."""
+    docs = _docs(spark, sf)
+    content = F.to_json(F.struct("title", F.col("text").alias("content"), "document_type"))
+    return files.documents(files.load_files(_as_files(docs, F.col("document_id"), "json", content))).drop("ingestion_timestamp")
+
+
+@_query()
+def load_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question with its English form as a CSV file, loaded again."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))
+    content = F.concat(F.lit("question,answer,domain\n"), quoted("tamil_english"), F.lit(","), quoted("english"), F.lit(","), quoted("domain"), F.lit("\n"))
+    return files.documents(files.load_files(_as_files(_asked(spark, sf), F.col("question_id"), "csv", content))).drop("ingestion_timestamp")
+
+
+@_query()
+def ingest_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Files to cleaned documents to chunks."""
+    docs = quality.latest_documents(_docs(spark, sf))
+    return chunking.chunk_documents(files.documents(files.load_files(_as_files(docs, F.col("document_id"), "txt", F.col("text")))))
+
+
+@_query("select id, faithfulness_explanation as payload from experiment_results where faithfulness_explanation is not null")
+def extract_fenced_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Explanations put into a fence and taken out again."""
+    rows = _runs(spark, sf).filter("faithfulness_explanation is not null")
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.col("faithfulness_explanation"), F.lit("\n```\nDone."))
+    return rows.select("id", tx.fenced_json(fenced).alias("payload"))
+
+
 @_query("select document_id, ingestion_timestamp, sha256(filename || ':' || coalesce(title, ''))[1:16] as doc_key from source_documents")
 def doc_id_hash(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", "ingestion_timestamp", tx.document_id(F.col("filename"), F.coalesce("title", F.lit(""))).alias("doc_key"))
@@ -438,6 +483,14 @@ def reviewer_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return quality.reviewer_agreement(_sheet(spark, sf))
 
 
+@_query(f"""with b as (select upper(trim(reviewer_1_decision)) as a, upper(trim(reviewer_2_decision)) as b from (select distinct * from human_query_review_sheet) where {_DECIDED.format(c='reviewer_1_decision')} and {_DECIDED.format(c='reviewer_2_decision')}),
+t as (select count(*)::double as n, count(*) filter (a = b)::double as same from b),
+c as (select sum(x * y)::double as chance from (select c, count(*) filter (s = 1) as x, count(*) filter (s = 2) as y from (select a as c, 1 as s from b union all select b, 2 from b) group by 1))
+select n::bigint as n, round((same / n - chance / (n * n)) / (1 - chance / (n * n)), 4) as kappa from t, c""")
+def cohen_kappa(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.cohen_kappa(_sheet(spark, sf))
+
+
 @_query("""with q as (select question_id, min(english) as english, min(tamil_english) as ta, min(hindi_english) as hi from query_records group by 1),
 a as (select question_id, max(trim(final_approved_query_text)) filter (contains(language_variant, 'Tamil')) as nt, max(trim(final_approved_query_text)) filter (not contains(language_variant, 'Tamil')) as nh
   from human_query_review_sheet where trim(final_approved_query_text) <> '' group by 1)
