@@ -1,12 +1,12 @@
 """Problem 7: passages of evaluation items inside training documents.
 
 Winnowing keeps, of every window of k-gram hashes, the least one, in the items and in the documents alike, so any run
-of ``K + WINDOW - 1`` equal words leaves a common fingerprint.  A passage part of 15 words of which a fifth is changed
-still has at least ``MIN_HITS`` common fingerprints, whatever the places of the changes, and ``MIN_GRAMS`` common
-word triples.  What has both is extended: local alignments by words decide whether 15 words of the passage stand there
-in order with at most a fifth changed, dropped or added, text between the passage's sentences being free.  The
-alignments are heuristic at the very bound: with a full fifth changed from the second word on, about one part in a
-hundred is missed.
+of ``K + WINDOW - 1`` equal words leaves a common fingerprint.  With a window of one every word pair is kept, as changes
+and foreign sentences together may leave no longer runs.  Of a passage part of n words with c changes and b sentence
+ends inside, n - c words are left in at most c + 1 + b runs within sentences, so at least n - 2 c - 1 - b pairs: no
+fewer than ``PAIRS - b`` among ``REACH`` words.  What has them is extended: local alignments by words decide whether 15
+words of the passage stand there in order with at most a fifth changed, dropped or added.  Whole sentences of the
+document between the passage's sentences cost score, but are no change.  The alignments are heuristic at the very bound.
 
 The items are the small side.  Their size is checked: blocks of at most ``BLOCK_BYTES`` are broadcast, one after the
 other, so each block costs one pass over the documents and no shuffle; every block meets every document.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import html
 import math
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -28,20 +27,22 @@ from pyspark.sql import functions as F
 
 from quillspark.tables import cut, spread
 
-#: Words in a k-gram and k-grams in a window: every run of three equal words is found.
-K, WINDOW = 2, 2
+#: Words in a k-gram and k-grams in a window: every run of two equal words is found.
+K, WINDOW = 2, 1
 #: Words of the passage that must be there, and the share of them that may be changed, dropped or added.
 MIN_WORDS, MAX_CHANGED = 15, 0.2
-#: 12 of 15 words left by 3 changes lie in at most 4 runs; such runs have so many fingerprints and triples at least.
-MIN_HITS, MIN_GRAMS = 2, 4
-#: Passage words among which so many triples must begin.
+#: 12 of 15 words left by 3 changes lie in at most 4 runs, and in one more for each sentence end: pairs without sentence ends, and the least asked for.
+PAIRS, MIN_PAIRS = 8, 2
+#: Passage words among which so many pairs must begin.
 REACH = 20
 #: Of 15 consecutive words of a passage part, so many must occur at all (a changed part of more words has one word of slack).
 MIN_PRESENT = 11
-#: Score that going on after foreign text costs; it counts as one change.
+#: Score that going on after foreign text costs.
 JUMP = 3.0
-#: Scores of a change, one alignment each: the high one for parts beside like text, the low ones for changes soon after the start.
-PENALTIES = (3.0, 1.0, 0.4)
+#: Words of the passage that a part beside foreign sentences has: fewer may stand in any text.
+MIN_PART = 2
+#: Scores of a change and of a jump, one alignment each: the high ones for parts beside like text, the low ones for changes soon after the start and short sentences.
+PENALTIES = ((3.0, JUMP), (1.0, JUMP), (0.4, JUMP), (0.4, 0.8))
 #: Cells that one step of the alignments holds.
 CELLS = 16_384
 #: Most bytes of passages broadcast at once.
@@ -51,12 +52,34 @@ _MARKUP = re.compile(r"<[^<>]{1,200}>|\[\d+\]|&(?:[a-zA-Z]+|#\d+);")
 _SPLIT_WORD = re.compile(r"(?<=\p{L})[-­]\s*\n\s*(?=\p{Ll})")
 _WORD = re.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 _SENTENCE_END = re.compile(r"[.!?;:।]+(?=\s|$)|\n")
+_BREAK = re.compile(r"[.!?;:।…\n]")
+
+
+def _plain(text: str) -> str:
+    text = _MARKUP.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
+    return _SPLIT_WORD.sub("", text).lower()
+
+
+def _word(w: str) -> str:
+    return w.replace(",", "").replace("’", "'") if w[0].isdigit() else w
 
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; layout, punctuation and markup dropped."""
-    text = _MARKUP.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
-    return [w.replace(",", "").replace("’", "'") if w[0].isdigit() else w for w in _WORD.findall(_SPLIT_WORD.sub("", text).lower())]
+    return [_word(w) for w in _WORD.findall(_plain(text))]
+
+
+def _words_and_breaks(text: str) -> tuple[list[str], np.ndarray]:
+    """:func:`words_of`, and after which of them a sentence may end; in a text that shows no ends, after any."""
+    text = _plain(text)
+    found = list(_WORD.finditer(text))
+    stops = np.array([m.start() for m in _BREAK.finditer(text)], dtype=np.int64)
+    after = np.searchsorted(stops, [m.end() for m in found])
+    before = np.searchsorted(stops, [*(m.start() for m in found[1:]), len(text)][: len(found)])
+    breaks = before > after
+    if not breaks[:-1].any():
+        breaks[:] = True
+    return [_word(m[0]) for m in found], breaks
 
 
 def _ids(words: list[str]) -> np.ndarray:
@@ -90,24 +113,24 @@ class _Item:
             self.ids += _ids(words_of(sentence)).tolist()
             self.ends.add(len(self.ids) - 1)
         self.ids = np.array(self.ids, dtype=np.uint64)
-        self.prints = winnowed(_kgrams(self.ids, K), WINDOW).tolist()
 
 
-def contains(pairs: list[tuple[np.ndarray, _Item]], penalty: float) -> np.ndarray:
-    """Of each (document, item): are ``MIN_WORDS`` words of the item there in order, few enough of them changed?
+def contains(pairs: list[tuple[np.ndarray, np.ndarray, _Item]], penalty: float, jump_cost: float = JUMP) -> np.ndarray:
+    """Of each (document, its sentence ends, item): are ``MIN_WORDS`` words of the item there in order, few enough of them changed?
 
     Local alignments of all pairs at once, with 1 a match and ``-penalty`` a change; steps go along the passages' words,
     columns are the documents'.  Each cell carries the words and changes of its best path.  After a sentence of the
-    passage, a path may go on at any later place of the document.
+    passage, a path may go on at any later place of the document: without a change if whole sentences are passed over,
+    with one otherwise.
     """
-    p, n, m = len(pairs), max(len(d) for d, _ in pairs), max(len(i.ids) for _, i in pairs)
-    docs, passages, ends = np.zeros((p, n), np.uint64), np.ones((p, m), np.uint64), np.zeros((p, m), bool)
-    for r, (doc, item) in enumerate(pairs):
-        docs[r, : len(doc)], passages[r, : len(item.ids)] = doc, item.ids
+    p, n, m = len(pairs), max(len(d) for d, _, _ in pairs), max(len(i.ids) for _, _, i in pairs)
+    docs, passages, ends, breaks = np.zeros((p, n), np.uint64), np.ones((p, m), np.uint64), np.zeros((p, m), bool), np.zeros((p, n), bool)
+    for r, (doc, stops, item) in enumerate(pairs):
+        docs[r, : len(doc)], passages[r, : len(item.ids)], breaks[r, : len(doc)] = doc, item.ids, stops
         ends[r, [e for e in item.ends if e >= 0]] = True
-    lengths = np.array([len(i.ids) for _, i in pairs])
+    lengths = np.array([len(i.ids) for _, _, i in pairs])
     at = np.arange(n)[None, :]
-    score, words, changes = (np.zeros((p, n + 1), np.float32) for _ in range(3))
+    score, words, changes, part = (np.zeros((p, n + 1), np.float32) for _ in range(4))  # part: words since the last jump
     found = np.zeros(p, bool)
 
     def furthest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,74 +146,84 @@ def contains(pairs: list[tuple[np.ndarray, _Item]], penalty: float) -> np.ndarra
         best = np.where(over, above, best)
         w = np.where(over, words[:, 1:], words[:, :-1]) + 1
         c = np.where(over, changes[:, 1:], changes[:, :-1]) + (over | ~equal)
+        own = np.where(over, part[:, 1:], part[:, :-1]) + 1
         top, source = furthest(best + np.float32(penalty) * at)  # words added in the document
         best = top - np.float32(penalty) * at
         whole = equal & ~over & (source == at)  # the path ends in a word that is there
         w, c = np.take_along_axis(w, source, 1), np.take_along_axis(c, source, 1) + (at - source)
+        own = np.take_along_axis(own, source, 1)
+        if i + 1 >= MIN_WORDS:
+            found |= (whole & (best > 0.01) & (own >= MIN_PART) & (w >= MIN_WORDS) & (c <= MAX_CHANGED * w + 1e-4)).any(axis=1) & (i < lengths)
         if ends[:, i].any():
-            top, source = furthest(best)
-            jump = (top - JUMP > best) & ends[:, i, None]
-            best = np.where(jump, top - JUMP, best)
-            w, c = np.where(jump, np.take_along_axis(w, source, 1), w), np.where(jump, np.take_along_axis(c, source, 1) + 1, c)
+            stays, w0, c0, own0 = best, w, c, own
+            for free, cost in ((False, jump_cost + 1), (True, jump_cost)):
+                top, source = furthest(np.where(breaks & (own0 >= MIN_PART), stays, np.float32(-1)) if free else stays)
+                jump = (top - cost > best) & ends[:, i, None] & (breaks | (not free)) & (source < at)
+                best = np.where(jump, top - np.float32(cost), best)
+                w, c = np.where(jump, np.take_along_axis(w0, source, 1), w), np.where(jump, np.take_along_axis(c0, source, 1) + (not free), c)
+                own = np.where(jump, 0 if free else np.take_along_axis(own0, source, 1), own)
         live = best > 0.01
-        score[:, 1:], words[:, 1:], changes[:, 1:] = np.where(live, best, 0), np.where(live, w, 0), np.where(live, c, 0)
-        if i + 1 >= MIN_WORDS:
-            found |= (whole & (words[:, 1:] >= MIN_WORDS) & (changes[:, 1:] <= MAX_CHANGED * words[:, 1:] + 1e-4)).any(axis=1) & (i < lengths)
+        score[:, 1:], words[:, 1:], changes[:, 1:], part[:, 1:] = (np.where(live, x, 0) for x in (best, w, c, own))
     return found
 
 
 class LeakFinder:
-    """The items of one block, with their fingerprints by hash."""
+    """The items of one block, with the places of their word pairs by hash."""
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self._items = [x for k, p in items if len((x := _Item(k, p)).ids) >= MIN_WORDS]
-        self._by_print: dict[int, list[int]] = {}
-        self._by_gram: dict[int, list[tuple[int, list[int]]]] = {}
-        for i, item in enumerate(self._items):
-            for h in item.prints:
-                self._by_print.setdefault(h, []).append(i)
-            places: dict[int, list[int]] = {}
-            for j, g in enumerate(_kgrams(item.ids, 3).tolist()):
-                places.setdefault(g, []).append(j)
-            for g, js in places.items():
-                self._by_gram.setdefault(g, []).append((i, js))
-
-    def _candidates(self, text: str) -> list[tuple[np.ndarray, _Item]]:
-        """(part of the document, item) of the items that may be in ``text``."""
-        ids = _ids(words_of(text))
-        hits: Counter[int] = Counter()
-        for h in winnowed(_kgrams(ids, K), WINDOW).tolist():
-            if (some := self._by_print.get(h)) is not None:
-                hits.update(some)
-        hits = {i: n for i, n in hits.items() if n >= MIN_HITS}
-        if not hits:
+        # All items one after the other, so far apart that no window meets two.
+        self._starts = np.cumsum([0, *(len(x.ids) + 2 * REACH for x in self._items)])
+        ends = np.zeros(self._starts[-1] + 2 * REACH, np.int64)
+        hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for start, item in zip(self._starts, self._items):
+            stops = np.isin(np.arange(len(item.ids)), list(item.ends))
+            ends[start : start + len(item.ids) - 1] = stops[:-1]
+            inside = np.flatnonzero(~stops[:-1])  # no pair over a sentence end: foreign text may stand there
+            hashes.append(_kgrams(item.ids, K)[inside])
+            places.append(start + inside)
+        self._ends = np.concatenate((np.zeros(REACH + 1, np.int64), np.cumsum(ends)))  # at x: ends before place x - REACH
+        hashes, places = np.concatenate(hashes), np.concatenate(places)
+        order = np.argsort(hashes, kind="stable")
+        self._prints, self._first = np.unique(hashes[order], return_index=True)
+        self._first = np.append(self._first, len(order))
+        self._places = places[order]
+
+    def _candidates(self, text: str) -> list[tuple[np.ndarray, np.ndarray, _Item]]:
+        """(part of the document, its sentence ends, item) of the items that may be in ``text``."""
+        words, breaks = _words_and_breaks(text)
+        ids = _ids(words)
+        grams = _kgrams(ids, K)
+        if not len(grams) or not len(self._prints):
+            return []
+        known = np.minimum(np.searchsorted(self._prints, grams), len(self._prints) - 1)
+        at = np.flatnonzero(self._prints[known] == grams)
+        known, counts = known[at], self._first[known[at] + 1] - self._first[known[at]]
+        # every place of an item that has a pair of the document, and the pair's place there
+        rows = np.repeat(np.arange(len(at)), counts)
+        places = self._places[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self._first[known][rows]]
+        distinct = np.unique(places)
+        near = np.searchsorted(distinct, distinct + REACH) - np.arange(len(distinct))
+        ends = self._ends[distinct + 2 * REACH] - self._ends[distinct + REACH // 2]
+        some = np.unique(np.searchsorted(self._starts, distinct[near >= np.maximum(MIN_PAIRS, PAIRS - ends)], side="right") - 1)
+        if not len(some):
             return []
-        at: dict[int, set[int]] = {}  # item -> places of its triples that the document has
-        span: dict[int, tuple[int, int]] = {}
-        for j, g in enumerate(_kgrams(ids, 3).tolist()):
-            for i, places in self._by_gram.get(g, ()):
-                if i in hits:
-                    at.setdefault(i, set()).update(places)
-                    span[i] = (span.get(i, (j, j))[0], j)
+        owner, where = np.searchsorted(self._starts, places, side="right") - 1, at[rows]
         out = []
-        for i, places in at.items():
-            if len(places) < MIN_GRAMS:
-                continue
-            item, places = self._items[i], sorted(places)
-            if not any(y - x < REACH for x, y in zip(places, places[MIN_GRAMS - 1 :])):
-                continue
-            # outside the triples' reach in the document nothing can add to a path
-            near = ids[max(0, span[i][0] - REACH) : span[i][1] + 3 + REACH]
-            there = np.concatenate(([0], np.cumsum(np.isin(item.ids, near))))
+        for i in some.tolist():
+            item, mine = self._items[i], where[owner == i]
+            # outside the pairs' reach in the document nothing can add to a path
+            part = slice(max(0, mine.min() - REACH), mine.max() + K + REACH)
+            there = np.concatenate(([0], np.cumsum(np.isin(item.ids, ids[part]))))
             if (there[MIN_WORDS:] - there[:-MIN_WORDS]).max() >= MIN_PRESENT:
-                out.append((near, item))
+                out.append((ids[part], breaks[part], item))
         return out
 
     def find(self, texts: list[str]) -> list[list[object]]:
         """For each text the keys of the items that it contains."""
         found: list[list[object]] = [[] for _ in texts]
-        open_ = [(k, near, item) for k, text in enumerate(texts) for near, item in self._candidates(text)]
-        for penalty in PENALTIES:
+        open_ = [(k, *x) for k, text in enumerate(texts) for x in self._candidates(text)]
+        for penalty, jump_cost in PENALTIES:
             open_.sort(key=lambda x: len(x[1]))
             left, start = [], 0
             while start < len(open_):  # pairs of like length, of a bounded number of cells
@@ -199,9 +232,9 @@ class LeakFinder:
                     stop += 1
                 some = open_[start:stop]
                 start = stop
-                for x, yes in zip(some, contains([(d, i) for _, d, i in some], penalty), strict=True):
+                for x, yes in zip(some, contains([x[1:] for x in some], penalty, jump_cost), strict=True):
                     if yes:
-                        found[x[0]].append(x[2].key)
+                        found[x[0]].append(x[3].key)
                     else:
                         left.append(x)
             open_ = left

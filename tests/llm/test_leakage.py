@@ -64,6 +64,23 @@ def test_layout_markup_and_foreign_sentences_do_not_matter():
     assert _finds(passage, " An own sentence of quite another kind stands here. ".join(sentences[:2]))
 
 
+def test_changes_and_foreign_sentences_together_are_found():
+    foreign = ["An own sentence of quite another kind stands here", "Here follow other words that nobody has asked for"]
+    rng = random.Random(9)
+    for changed in ([3, 9, 12], [2, 5, 10], [4, 6, 11], [1, 6, 13]):
+        words = rng.sample(WORDS, 16)
+        passage = f"{' '.join(words[:8])}. {' '.join(words[8:])}."
+        there = [w if k not in changed else "zzz" for k, w in enumerate(words)]
+        for between in (foreign[:1], foreign):
+            text = ". ".join([" ".join(there[:8]), *between, " ".join(there[8:])]) + "."
+            assert _finds(passage, text)
+            assert not _finds(passage, text.replace(words[7], "zzz"))
+    # words added inside a sentence of the document stay changes
+    words = rng.sample(WORDS, 16)
+    there = [w if k not in (3, 9, 12) else "zzz" for k, w in enumerate(words)]
+    assert not _finds(f"{' '.join(words[:8])}. {' '.join(words[8:])}.", f"So. {' '.join(there[:8])} yyy {' '.join(there[8:])}. Then.")
+
+
 def test_frame_cases_and_blocks(spark, monkeypatch):
     rng = random.Random(8)
     passages = [_passage(rng) for _ in range(12)]
