@@ -305,9 +305,23 @@ def training_rows(runs: DataFrame, questions: DataFrame, sample: int = SAMPLE) -
     return [(r[1], r[2]) for r in sorted(chosen.select("k", "text", "label").limit(2 * sample * len(counts)).collect())]
 
 
-def text_segments(df: DataFrame, key: str, text: str, tagger: Tagger, label: str | None = None) -> DataFrame:
+def _of_text(segments: list[tuple[str, float, str]]) -> tuple[str, float]:
+    """Language of most of a text's letters, with its confidence."""
+    size: Counter[str] = Counter()
+    sure: Counter[str] = Counter()
+    for language, confidence, segment in segments:
+        n = len(re.findall(r"\p{L}", segment))
+        size[language] += n
+        sure[language] += n * confidence
+    most = max(size, key=lambda x: size[x])
+    return most, sure[most] / size.total()
+
+
+def text_segments(df: DataFrame, key: str, text: str, tagger: Tagger, label: str | None = None, whole: bool = False) -> DataFrame:
     """key, label, segment_no, language, confidence, segment, n_segments: the segments of every text.
 
+    With ``whole`` also text_language and text_confidence, the text's own.
+
     ``label`` is carried along, null if there is none.  Null, empty and letterless texts have no segments; repeated
     rows stay repeated; texts of any length are labelled whole; an empty table gives no rows; other columns are not
     read.
@@ -319,15 +333,37 @@ def text_segments(df: DataFrame, key: str, text: str, tagger: Tagger, label: str
         for batch in batches:
             distinct = {t: k for k, t in enumerate(dict.fromkeys(batch["text"]))}
             found = shared.value.segments([plain_text(t) for t in distinct])
+            texts_ = [_of_text(x) if whole and x else () for x in found]
             rows = [
-                (k, y, no, language, sure, s, len(found[distinct[t]]))
+                (k, y, no, language, sure, s, len(found[distinct[t]]), *texts_[distinct[t]])
                 for k, t, y in zip(batch["key"], batch["text"], batch["label"], strict=True)
                 for no, (language, sure, s) in enumerate(found[distinct[t]])
             ]
-            yield pd.DataFrame(rows, columns=["key", "label", "segment_no", "language", "confidence", "segment", "n_segments"])
+            yield pd.DataFrame(rows, columns=["key", "label", "segment_no", "language", "confidence", "segment", "n_segments", *own])
 
+    own = ["text_language", "text_confidence"] if whole else []
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None)).cast("string").alias("label")).filter(F.col("text").isNotNull())
-    return spread(texts).mapInPandas(run, f"key {kind}, label string, segment_no int, language string, confidence double, segment string, n_segments int").withColumnRenamed("key", key)
+    return spread(texts).mapInPandas(run, f"key {kind}, label string, segment_no int, language string, confidence double, segment string, n_segments int" + (", text_language string, text_confidence double" if whole else "")).withColumnRenamed("key", key)
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    """Each question once, whatever its repeats."""
+    return questions.filter(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.min("tamil_english").alias("tamil_english"))
+
+
+def all_segments(runs: DataFrame, questions: DataFrame) -> DataFrame:
+    """source_table, row_key, text_language, text_confidence, segment_no, language, confidence, segment, n_segments.
+
+    Every segment of every run's query and, once each, of every question's Tamil-English text.  A text has the language
+    of most of its letters' segments, the first one's of equals, and these segments' mean confidence by length times
+    their share of the text.
+    """
+    tagger = train(training_rows(runs, questions))
+    out = None
+    for name, df, key, text in (("experiment_results", runs, "id", "original_query"), ("query_records", _asked(questions), "question_id", "tamil_english")):
+        part = text_segments(df, key, text, tagger, whole=True).select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("row_key"), "text_language", "text_confidence", "segment_no", "language", "confidence", "segment", "n_segments")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mislabelled(runs: DataFrame, questions: DataFrame) -> DataFrame:
@@ -338,8 +374,7 @@ def mislabelled(runs: DataFrame, questions: DataFrame) -> DataFrame:
     tagger = train(training_rows(runs, questions))
     label = F.lower(F.btrim(F.coalesce("label", F.lit(""))))
     of_runs = text_segments(runs, "id", "original_query", tagger, "language").filter(label.isin(*NO_LABEL) | (F.col("n_segments") > 1) | (label != F.col("language")))
-    asked = questions.filter(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.min("tamil_english").alias("tamil_english"))
-    of_questions = text_segments(asked, "question_id", "tamil_english", tagger).filter((F.col("n_segments") > 1) | (F.col("language") != TAMIL_MIX))
+    of_questions = text_segments(_asked(questions), "question_id", "tamil_english", tagger).filter((F.col("n_segments") > 1) | (F.col("language") != TAMIL_MIX))
     return of_runs.select(F.lit("experiment_results").alias("source_table"), F.col("id").cast("string").alias("row_key"), "segment_no", "language").unionByName(
         of_questions.select(F.lit("query_records").alias("source_table"), F.col("question_id").cast("string").alias("row_key"), "segment_no", "language")
     )

@@ -63,10 +63,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every segment of every run's query."""
-    runs = table(spark, sf_dir, "experiment_results")
-    tagger = languages.train(languages.training_rows(runs, table(spark, sf_dir, "query_records")))
-    return languages.text_segments(runs, "id", "original_query", tagger).drop("label")
+    """Language and confidence of every text and of each of its segments, of every run and of every question."""
+    return languages.all_segments(table(spark, sf_dir, "experiment_results"), table(spark, sf_dir, "query_records"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillspark.llm.languages import ENGLISH, HINDI, HINDI_MIX, TAMIL, TAMIL_MIX, _marginals, mislabelled, sentences_of, text_segments, train
+from quillspark.llm.languages import ENGLISH, HINDI, HINDI_MIX, TAMIL, TAMIL_MIX, _marginals, all_segments, mislabelled, sentences_of, text_segments, train
 
 THINGS = ["gold loan", "family plan", "library card", "home loan", "bus pass", "hostel room"]
 PATTERNS = {
@@ -67,3 +67,17 @@ def test_frame_cases(spark, tagger):
     assert found == [("experiment_results", str(n), 0, ENGLISH), ("experiment_results", str(n + 1), 0, HINDI_MIX), ("query_records", "bad", 0, HINDI)]
     assert mislabelled(spark.createDataFrame([], RUNS), spark.createDataFrame([], ASKED)).count() == 0
     assert text_segments(spark.createDataFrame(rows[:1] * 2, RUNS), "id", "original_query", tagger).count() == 2
+
+
+def test_every_text_of_both_tables_has_its_language_and_confidence(spark):
+    runs = [(i, t, y, 0, "x") for i, (t, y) in enumerate(_rows())]
+    n = len(runs)
+    runs += [(n, "How long does the gold loan take? What is the fee for the bus pass? Mera bus pass kab tak taiyar hoga?", ENGLISH, 0, "x"), (n + 1, None, ENGLISH, 0, "x")]
+    asked = [(f"q{i}", *(PATTERNS[y][0].format("bus pass") for y in (ENGLISH, TAMIL_MIX, HINDI_MIX)), "x") for i in range(20)]
+    asked += [("bad", "a", "ऋण कार्ड कब मिलेगा?", "b", "x"), ("bad", "a", "ऋण कार्ड कब मिलेगा?", "b", "x")]
+    got = all_segments(spark.createDataFrame(runs, RUNS), spark.createDataFrame(asked, ASKED)).collect()
+    assert {r.row_key: r.text_language for r in got if r.source_table == "query_records"} == {f"q{i}": TAMIL_MIX for i in range(20)} | {"bad": HINDI}
+    assert {r.row_key for r in got if r.source_table == "experiment_results"} == {str(i) for i in range(n + 1)}
+    assert len(got) == n + 2 + 21 and all(0 < r.text_confidence <= 1 for r in got)
+    mixed = [r for r in got if r.source_table == "experiment_results" and r.row_key == str(n)]
+    assert sorted((r.segment_no, r.language) for r in mixed) == [(0, ENGLISH), (1, HINDI_MIX)] and {r.text_language for r in mixed} == {ENGLISH}
