@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 #: What Python's ``strip`` takes off; Spark's ``trim`` knows the blank only.
 _EDGES = r"(?U)^\s+|\s+$"
 
+# What cleaning takes out or puts in order, step by step.
 _STEPS = (
     (re.compile(r"\f"), "\n"),
     (re.compile(r"\r\n?"), "\n"),
@@ -62,11 +63,6 @@ def tokens_lower(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
 
 
-def script_language(word: Column) -> Column:
-    """Hindi, Tamil, English or Unknown by the scripts of a word, in this order."""
-    return F.when(word.rlike(r"[\x{0900}-\x{097F}]"), "Hindi").when(word.rlike(r"[\x{0B80}-\x{0BFF}]"), "Tamil").when(word.rlike("[a-zA-Z]"), "English").otherwise("Unknown")
-
-
 def document_id(path: Column, differentiator: Column) -> Column:
     """First 16 hex digits of the hash of 'path:differentiator'; the path is relative to the input root."""
     return F.substring(F.sha2(F.concat(path, F.lit(":"), differentiator), 256), 1, 16)
@@ -81,4 +77,10 @@ def id_list(text: Column, separator: str = ",") -> Column:
 def fenced_json(text: Column) -> Column:
     """Content of the first ``` fence, the whole text if there is none."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)```", 1)
-    return stripped(F.when(text.contains("```"), inner).otherwise(text))
+    return stripped(F.when(text.rlike(r"(?s)```.*```"), inner).otherwise(text))
+
+
+def fenced_items(text: Column, schema: str) -> Column:
+    """The JSON array in a reply, fenced or not, as an array of structs; a reply that can't be read gives an empty array."""
+    body = fenced_json(text)
+    return F.coalesce(F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), f"array<{schema}>"), F.array().cast(f"array<{schema}>"))

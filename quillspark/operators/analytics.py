@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from quillspark.functions.stats import EXACT_UP_TO, wilcoxon_p
 from quillspark.schemas import CONDITIONS, LANGUAGES
 
-#: Planned comparisons, in this direction: first minus second.
+# The planned comparisons, in this direction: first minus second.
+COMPARISONS = (
+    ("english_baseline", "tamil_english_baseline"),
+    ("english_baseline", "hindi_english_baseline"),
+    ("tamil_english_baseline", "tamil_english_mitigated"),
+    ("hindi_english_baseline", "hindi_english_mitigated"),
+    ("tamil_english_mitigated", "english_baseline"),
+    ("hindi_english_mitigated", "english_baseline"),
+)
 _MIXES = LANGUAGES[1:]
-COMPARISONS = (*(("english_baseline", f"{x}_baseline") for x in _MIXES), *((f"{x}_baseline", f"{x}_mitigated") for x in _MIXES), *((f"{x}_mitigated", "english_baseline") for x in _MIXES))
+#: Ranges of values within which counts are accumulated, so that no group's values are ordered in one task.
+RANGES = 1024
 #: Greatest loss against the English baseline that a mitigated condition may show.
 GAP = 0.10
 ALPHA = 0.05
@@ -33,6 +42,7 @@ def validate_records(results: DataFrame, seq: str = "id") -> DataFrame:
     mitigation), the first by ``seq`` holds the key, even if its score is out of bounds, and all later ones are
     duplicates, whatever their score; ``seq`` is unique.  NaN is within bounds.  A missing experiment counts as 'unknown'.
     """
+    # The reasons, in the order in which they are looked for.
     gap = F.coalesce(*(F.when(test, F.lit(f"missing {what}")) for what, test in (
         ("question_id", _missing("question_id")), ("language", _missing("language")), ("mitigation condition", F.col("mitigation_enabled").isNull()),
         ("faithfulness score", F.col("faithfulness_score").isNull()), ("hallucination flag", F.col("hallucination_flag").isNull()),
@@ -64,14 +74,43 @@ def _conditions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in CONDITIONS], "condition string")
 
 
+def counts_before(counted: DataFrame, group: list[str], value: str, width: float) -> DataFrame:
+    """Adds ``before`` to rows (group, value, t), one a distinct value: how many rows of the group have a lesser value.
+
+    Counts are added up over ranges of values, then within each range: a group that holds all rows, of however many
+    distinct values, is spread over its ranges.
+    """
+    ranged = counted.withColumn("_range", F.floor(F.col(value) * (RANGES / width)).cast("bigint"))
+    until = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy(*group, "_range").agg(F.sum("t").alias("t")).withColumn("_start", until(Window.partitionBy(*group).orderBy("_range"))).drop("t")
+    inside = ranged.withColumn("_inside", until(Window.partitionBy(*group, "_range").orderBy(value)))
+    return inside.join(starts, [*group, "_range"]).withColumn("before", F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
+
+
+def medians(counted: DataFrame, group: list[str], value: str, width: float) -> DataFrame:
+    """(group, median) of rows (group, value, t), one a distinct value with its count."""
+    totals = counted.groupBy(*group).agg(F.sum("t").alias("_all"))
+    covers = lambda at: F.max(F.when((F.col("before") <= at) & (F.col("before") + F.col("t") > at), F.col(value)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return counts_before(counted, group, value, width).join(totals, group).groupBy(*group).agg(((covers(low) + covers(high)) / 2).alias("median"))
+
+
 def condition_stats(valid: DataFrame) -> DataFrame:
-    """Description of each of the six conditions; empty ones have n 0 and nulls.  NaN scores don't count."""
+    """Description of each of the six conditions; empty ones have n 0 and nulls.  NaN scores don't count.
+
+    Records are counted by distinct score first, by a group-by that combines before it shuffles; all else comes from
+    the counts.
+    """
     score = F.when(~F.isnan("faithfulness_score"), F.col("faithfulness_score"))
-    seen = valid.withColumn("s", score).filter("s is not null").groupBy("condition").agg(
-        F.count("*").alias("n"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.median("s"), 4).alias("median"), F.round(F.coalesce(F.stddev_samp("s"), F.lit(0.0)), 4).alias("std"),
-        F.round(F.avg(F.col("hallucination_flag").cast("int")), 4).alias("hallucination_rate"), F.min("s").alias("min"), F.max("s").alias("max"),
+    counted = valid.select("condition", score.alias("s"), "hallucination_flag").filter("s is not null").groupBy("condition", "s").agg(F.count("*").alias("t"), F.count_if("hallucination_flag").alias("flagged"), F.count("hallucination_flag").alias("judged"))
+    n, s, t = F.sum("t"), F.col("s"), F.col("t")
+    spread = F.sum(s * s * t) - F.sum(s * t) * F.sum(s * t) / n
+    seen = counted.groupBy("condition").agg(
+        n.alias("n"), F.round(F.sum(s * t) / n, 4).alias("mean"), F.round(F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.when(n > 1, n - 1))).otherwise(0.0), 4).alias("std"),
+        F.round(F.try_divide(F.sum("flagged"), F.sum("judged")), 4).alias("hallucination_rate"), F.min("s").alias("min"), F.max("s").alias("max"),
     )
-    return _conditions(valid.sparkSession).join(seen, "condition", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    middle = medians(counted, ["condition"], "s", 1.0).select("condition", F.round("median", 4).alias("median"))
+    return _conditions(valid.sparkSession).join(seen, "condition", "left").join(middle, "condition", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("condition", "n", "mean", "median", "std", "hallucination_rate", "min", "max")
 
 
 def recall_stats(valid: DataFrame) -> DataFrame:
@@ -108,14 +147,12 @@ def missing_pairs(scores: DataFrame) -> DataFrame:
 def rank_sums(diffs: DataFrame) -> DataFrame:
     """Per comparison: n_nonzero, w_plus, w_minus and the tie term of the signed ranks of the non-zero differences.
 
-    Ranks come from counts per size of difference, so a comparison's differences are never sorted in one task: sizes
-    are counted first, and only the counts, one row a distinct size, are accumulated.  Sizes are rounded to 1e-9, under which
-    differences of decimal scores are equal.
+    Ranks come from counts per size of difference, added up over ranges of sizes: no comparison is sorted in one task.
+    Sizes are rounded to 1e-9, under which differences of decimal scores are equal.
     """
     size = F.round(F.abs("diff"), 9)
     counted = diffs.withColumn("size", size).filter("size > 0").groupBy("cond1", "cond2", "size").agg(F.count_if(F.col("diff") > 0).alias("up"), F.count("*").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("cond1", "cond2").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = counts_before(counted, ["cond1", "cond2"], "size", 1.0).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     return ranked.groupBy("cond1", "cond2").agg(
         F.sum("t").alias("n_nonzero"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"),
         F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie_term"),
@@ -126,8 +163,10 @@ def paired_comparisons(diffs: DataFrame) -> DataFrame:
     """One row per planned comparison: n, mean and median difference, statistic, p_value, significant, status."""
     spark = diffs.sparkSession
     planned = spark.createDataFrame([*COMPARISONS], "cond1 string, cond2 string")
-    described = diffs.groupBy("cond1", "cond2").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 4).alias("mean_diff"), F.round(F.median("diff"), 4).alias("median_diff"), F.count_if(F.col("diff") != 0).alias("n_changed"))
-    rows = planned.join(described, ["cond1", "cond2"], "left").join(rank_sums(diffs), ["cond1", "cond2"], "left")
+    pair = ["cond1", "cond2"]
+    described = diffs.groupBy(*pair).agg(F.count("*").alias("n"), F.round(F.avg("diff"), 4).alias("mean_diff"), F.count_if(F.col("diff") != 0).alias("n_changed"))
+    middle = medians(diffs.groupBy(*pair, "diff").agg(F.count("*").alias("t")), pair, "diff", 2.0).select(*pair, F.round("median", 4).alias("median_diff"))
+    rows = planned.join(described, pair, "left").join(middle, pair, "left").join(rank_sums(diffs), pair, "left")
 
     @F.pandas_udf("double")
     def p_of(w: pd.Series, n: pd.Series, ties: pd.Series, total: pd.Series) -> pd.Series:
@@ -177,10 +216,10 @@ def chart_data(stats: DataFrame) -> DataFrame:
     return stats.agg(entry("mean").alias("mean"), entry("hallucination_rate").alias("hallucination_rate"))
 
 
-def data_classification(results: DataFrame) -> DataFrame:
-    """'mock' if some record comes from a smoke or test run, else 'real'."""
+def data_classification(results: DataFrame, declared_mock: bool = False) -> DataFrame:
+    """'MOCK/TEST' if some record comes from a smoke or test run or the caller says so, else 'ACTUAL'."""
     mock = F.coalesce(F.col("question_id").contains("SMOKE"), F.lit(False)) | F.coalesce(F.col("experiment_id").contains("test"), F.lit(False))
-    return results.agg(F.when(F.coalesce(F.bool_or(mock), F.lit(False)), "mock").otherwise("real").alias("classification"))
+    return results.agg(F.when(F.coalesce(F.bool_or(mock), F.lit(False)) | F.lit(declared_mock), "MOCK/TEST").otherwise("ACTUAL").alias("classification"))
 
 
 def eval_summary(results: DataFrame) -> DataFrame:

@@ -13,12 +13,16 @@ from quillspark.functions.text import is_blank, stripped, tokens_lower
 from quillspark.schemas import SPAN
 
 # Romanized words that mark a question as mixed.
-TAMIL_WORDS = tuple(
-    "ennoda enakku naan neenga avan aval avanga namma eppadi eppo enna enga ethu yaarku panrathu panrom pannu sollu sollunga paarunga theriyuma iruku irukkum varum poiduchu aagum seiyalam aana illa illama aachu kita kku oda la ku panna evlo kudukanum venuma".split()
-)
-HINDI_WORDS = tuple(
-    "mere mera meri mujhe humara aap tum unka unke kaise kab kahan kyun kya kaisa karu karna karein karo kar hain hai tha thi chahiye milega milegi sakta sakti chahta par mein se ko ka ki ke liye bhi aur".split()
-)
+TAMIL_WORDS = (
+    "ennoda", "enakku", "naan", "neenga", "avan", "aval", "avanga", "namma", "eppadi", "eppo", "enna", "enga", "ethu", "yaarku", "panrathu", "panrom",
+    "pannu", "sollu", "sollunga", "paarunga", "theriyuma", "iruku", "irukkum", "varum", "poiduchu", "aagum", "seiyalam", "aana", "illa", "illama",
+    "aachu", "kita", "kku", "oda", "la", "ku", "panna", "evlo", "kudukanum", "venuma",
+)
+HINDI_WORDS = (
+    "mere", "mera", "meri", "mujhe", "humara", "aap", "tum", "unka", "unke", "kaise", "kab", "kahan", "kyun", "kya", "kaisa", "karu", "karna",
+    "karein", "karo", "kar", "hain", "hai", "tha", "thi", "chahiye", "milega", "milegi", "sakta", "sakti", "chahta", "par", "mein", "se", "ko", "ka",
+    "ki", "ke", "liye", "bhi", "aur",
+)
 ROMANIZED, MIXED, PLAIN = 0.85, 0.95, 0.70
 
 
@@ -78,9 +82,11 @@ def needs_normalization(detection: Column) -> Column:
 
 
 Normalizer = Callable[[str], str]
+#: A detector: a question's column to struct<is_code_mixed, languages, confidence>.
+Detector = Callable[[Column], Column]
 
 
-def normalize(df: DataFrame, query: str, normalizer: Normalizer, mixed_only: bool = False) -> DataFrame:
+def normalize(df: DataFrame, query: str, normalizer: Normalizer, mixed_only: bool = False, detector: Detector = detect) -> DataFrame:
     """Adds ``detection``, ``normalized_query``, ``normalization_applied``, ``error_fallback``.
 
     Only routed rows reach the provider.  An empty reply or an error keeps the question and sets the fallback;
@@ -101,12 +107,18 @@ def normalize(df: DataFrame, query: str, normalizer: Normalizer, mixed_only: boo
             rows.append((reply or t, not reply))
         return pd.DataFrame(rows, columns=["text", "failed"])
 
-    d = df.withColumn("detection", detect(F.col(query)))
+    d = df.withColumn("detection", detector(F.col(query)))
     routed = F.col("detection.is_code_mixed") if mixed_only else needs_normalization(F.col("detection"))
     d = d.withColumn("_routed", routed & ~is_blank(F.col(query))).withColumn("_reply", call(F.when(F.col("_routed"), F.col(query))))
     return d.select("*", F.coalesce("_reply.text", F.col(query)).alias("normalized_query"), (F.col("_routed") & ~F.col("_reply.failed")).alias("normalization_applied"), (F.col("_routed") & F.col("_reply.failed")).alias("error_fallback")).drop("_routed", "_reply")
 
 
+def content_words(query: str) -> str:
+    """The offline normalizer: the question without the Romanized words of the lexicons; '' if nothing is left."""
+    drop = {*TAMIL_WORDS, *HINDI_WORDS}
+    return " ".join(w for w in query.split() if w.lower().strip("?.!,") not in drop)
+
+
 def routed_query(query: Column, mitigation: Column, normalized: Column, applied: Column, fallback: Column) -> Column:
     """The query that is searched: the normalized one if mitigation is on and it was applied without falling back."""
     return F.when(mitigation & applied & ~fallback & (stripped(F.coalesce(normalized, F.lit(""))) != ""), normalized).otherwise(query)

@@ -12,8 +12,6 @@ from quillspark.schemas import LANGUAGES
 KEY = ["experiment_id", "question_id", "language", "mitigation_enabled"]
 # Parts of an error message that make a retry worthwhile.
 TRANSIENT = ("rate limit", "ratelimit", "rate_limit", "too many requests", "429", "connection", "timeout", "503", "502")
-#: Rows of completed keys up to which they are broadcast for the anti-join.
-BROADCAST_ROWS = 500_000
 
 
 def configs(spark: SparkSession) -> DataFrame:
@@ -42,9 +40,10 @@ def experiment_matrix(queries: DataFrame, languages: list[str] | None = None, mi
     return rows.select(condition_name(F.col("language"), F.col("mitigation_enabled")).alias("experiment_id"), "question_id", "language", "mitigation_enabled", "query")
 
 
-def completed_keys(results: DataFrame) -> DataFrame:
-    """Keys of runs that ended without an error; a run without a judge's score counts as completed."""
-    return results.filter("error is null and completed_at is not null").select(*KEY).distinct()
+def completed_keys(results: DataFrame, retry_unjudged: bool = False) -> DataFrame:
+    """Keys of runs that ended without an error; a run without a judge's score counts as completed unless ``retry_unjudged``."""
+    done = results.filter("error is null and completed_at is not null")
+    return (done.filter("faithfulness_score is not null") if retry_unjudged else done).select(*KEY).distinct()
 
 
 def resume_pending(matrix: DataFrame, results: DataFrame) -> DataFrame:
@@ -53,9 +52,10 @@ def resume_pending(matrix: DataFrame, results: DataFrame) -> DataFrame:
     return matrix.join(done, KEY, "left_anti")
 
 
-def dry_run_summary(matrix: DataFrame, results: DataFrame) -> DataFrame:
-    """Per experiment: cells, pending, skipped."""
-    flagged = matrix.join(completed_keys(results).withColumn("done", F.lit(True)), KEY, "left")
+def dry_run_summary(matrix: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Per experiment: cells, pending, skipped; without stored results every cell is pending."""
+    done = matrix.select(*KEY).limit(0) if results is None else completed_keys(results)
+    flagged = matrix.join(done.withColumn("done", F.lit(True)), KEY, "left")
     return flagged.groupBy("experiment_id").agg(F.count("*").alias("total"), F.count_if(F.col("done").isNull()).alias("pending"), F.count_if(F.col("done")).alias("skipped"))
 
 
@@ -86,11 +86,15 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 
 def latest_runs(results: DataFrame) -> DataFrame:
-    """One row per run_id, the one with the least id: a stored run may be repeated under another id."""
-    return results.groupBy("run_id").agg(F.min_by(F.struct(*results.columns), "id").alias("r")).select("r.*")
+    """One row per run_id, the first stored (least id): a stored run may be repeated under another id.
+
+    Only keys and ids meet in the group-by; rows are found again by their unique id.
+    """
+    first = results.groupBy("run_id").agg(F.min("id").alias("id")).select("id")
+    return results.join(first, "id", "left_semi")
 
 
-def append_results(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose run is not stored yet, in the stored columns: unknown ones dropped, missing ones null."""
-    fresh = new.join(stored.select("run_id").distinct(), "run_id", "left_anti")
+def insert_or_ignore(new: DataFrame, stored: DataFrame, key: str = "run_id") -> DataFrame:
+    """Rows of ``new``, one a key, whose key is not stored yet, in the stored columns: unknown ones dropped, missing ones null."""
+    fresh = new.dropDuplicates([key]).join(stored.select(key).distinct(), key, "left_anti")
     return stored.limit(0).unionByName(fresh.select(*[c for c in stored.columns if c in fresh.columns]), allowMissingColumns=True)

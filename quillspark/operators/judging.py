@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_blank, stripped
 
+# Messages of the judge.
 NO_EXPLANATION = "No explanation provided."
 RECOVERED = "[Recovered from truncated judge response] "
 
@@ -15,9 +16,11 @@ def parse_reply(reply: Column, threshold: float = 0.8) -> Column:
     """struct<score, hallucination, explanation> of a reply in JSON, fenced or not.
 
     A reply that can't be read gives nulls, never 0: an unavailable judge is no hallucination.  Scores are clamped to
-    [0, 1]; broken JSON yields the score if it still shows.
+    [0, 1], NaN to 1; broken JSON yields the score if it still shows.
     """
     body = stripped(F.regexp_replace(F.regexp_replace(stripped(reply), "^```(?:json)?", ""), "```$", ""))
+    # bare NaN and Infinity are no JSON; clamped, they are 1
+    body = F.regexp_replace(body, r'("faithfulness_score"\s*:\s*)(?:NaN|Infinity)\b', "$11.0")
     tree = F.try_parse_json(body)
     raw = F.try_variant_get(tree, "$.faithfulness_score", "string")
     has = F.get_json_object(body, "$.faithfulness_score").isNotNull()

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_blank, stripped
 from quillspark.schemas import LANGUAGES
 
 NO_EVIDENCE = "Refer to target chunks"
+# The columns of a review sheet that people fill in.
+REVIEW_FIELDS = (
+    "reviewer_1_id", "reviewer_1_semantic_preservation_1to5", "reviewer_1_naturalness_1to5", "reviewer_1_entity_constraint_preservation", "reviewer_1_decision",
+    "reviewer_1_proposed_revision", "reviewer_1_comments", "reviewer_2_id", "reviewer_2_semantic_preservation_1to5", "reviewer_2_naturalness_1to5",
+    "reviewer_2_entity_constraint_preservation", "reviewer_2_decision", "reviewer_2_proposed_revision", "reviewer_2_comments", "adjudicator_id",
+    "adjudication_decision", "final_approved_query_text", "adjudication_notes",
+)
 VARIANTS = {"tamil_english": "Tamil-English (Tanglish)", "hindi_english": "Hindi-English (Hinglish)"}
 
 
 def latest_documents(docs: DataFrame) -> DataFrame:
-    """One row a document: the one ingested last."""
-    return docs.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "document_id"]), F.struct("ingestion_timestamp", "filename")).alias("d")).select("document_id", "d.*")
+    """One row a document: the one ingested last, of several the one with the greatest file name.
+
+    Only keys, times and names meet in the group-by, which combines before it shuffles, never the texts.
+    """
+    named = docs.withColumn("_time", F.coalesce("ingestion_timestamp", F.lit(""))).withColumn("_name", F.coalesce("filename", F.lit("")))
+    last = named.groupBy("document_id").agg(F.max(F.struct("_time", "_name")).alias("l")).select("document_id", "l._time", "l._name")
+    return named.join(last, ["document_id", "_time", "_name"], "left_semi").drop("_time", "_name").dropDuplicates(["document_id"])
 
 
 def dataset_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -57,14 +69,52 @@ def gold_evidence(queries: DataFrame, chunks: DataFrame, length: int = 160) -> D
 
 
 def review_sheet(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row per question and mixed variant, with evidence; reviewers' columns are for the sheet's users to add."""
+    """One row per question and mixed variant in the 26 columns of the sheet: evidence, and the fields that reviewers and adjudicators fill in."""
     q = queries.groupBy("question_id").agg(*(F.min(c).alias(c) for c in (*LANGUAGES, "domain", "category", "expected_document_ids")))
     rows = q.unpivot(["question_id", "english", "domain", "category", "expected_document_ids"], list(VARIANTS), "variant", "code_mixed_query")
     names = F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv))
     return rows.join(gold_evidence(queries, chunks), "question_id").select(
         "question_id", names[F.col("variant")].alias("language_variant"), "code_mixed_query", F.col("english").alias("english_reference_query"), "domain", "category",
         F.concat_ws(";", "expected_document_ids").alias("expected_document_ids"), F.col("evidence").alias("gold_evidence_snippet"),
+        *(F.lit("PENDING" if c.endswith("decision") else "").alias(c) for c in REVIEW_FIELDS),
+    )
+
+
+def nested_benchmark(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row a question for a benchmark in JSON: its English reference, and each mixed variant with the state of its review."""
+    q = queries.groupBy("question_id").agg(*(F.min(c).alias(c) for c in (*LANGUAGES, "domain", "category", "difficulty", "expected_document_ids")))
+    none = F.lit(None).cast("string")
+    reviewer = F.struct(*(none.alias(c) for c in ("decision", "id", "score", "notes")))
+    pending = lambda c: F.struct(
+        F.col(c).alias("query"), F.lit("Romanized").alias("script_type"), F.lit("PENDING_HUMAN_BILINGUAL_REVIEW").alias("status"), reviewer.alias("reviewer_1"), reviewer.alias("reviewer_2"),
+        F.struct(F.lit("PENDING").alias("status"), none.alias("final_query"), none.alias("adjudicator")).alias("adjudication"),
+    )
+    return q.join(gold_evidence(queries, chunks), "question_id").select(
+        "question_id", F.coalesce("domain", F.lit("General")).alias("domain"), F.coalesce("category", F.lit("General")).alias("category"), F.coalesce("difficulty", F.lit("Medium")).alias("difficulty"),
+        "expected_document_ids", F.col("evidence").alias("gold_supporting_evidence"), F.struct(F.col("english").alias("query"), F.lit("CANONICAL_ENGLISH_REFERENCE").alias("status")).alias("english"),
+        *(pending(c).alias(c) for c in VARIANTS),
+    )
+
+
+def review_incomplete(sheet: DataFrame) -> DataFrame:
+    """question_id, language_variant, reason of each row of a sheet that is not ready to be applied; exact repeats count once."""
+    upper = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    waits = lambda c: upper(c).isin("", "PENDING")
+    reason = (
+        F.when(waits("reviewer_1_decision") | waits("reviewer_2_decision"), "reviewer decisions pending").when(waits("adjudication_decision"), "adjudication decision pending")
+        .when(upper("final_approved_query_text") == "", "missing final_approved_query_text")
     )
+    return sheet.distinct().select("question_id", "language_variant", reason.alias("reason")).filter("reason is not null")
+
+
+def documents_by_file(docs: DataFrame) -> DataFrame:
+    """filename, documents (distinct ids), rows."""
+    return docs.groupBy("filename").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("rows"))
+
+
+def of_files(docs: DataFrame, filenames: list[str]) -> DataFrame:
+    """The documents of the files named."""
+    return docs.filter(F.col("filename").isin(*filenames))
 
 
 def review_progress(sheet: DataFrame) -> DataFrame:
@@ -96,8 +146,14 @@ def cohen_kappa(sheet: DataFrame) -> DataFrame:
 
 
 def apply_review(queries: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Queries with the approved texts of the sheet in place of the mixed variants they were given for."""
+    """Queries with the approved texts of the sheet in place of the mixed variants they were given for.
+
+    An approved text for a question that isn't there raises ``KeyError``.
+    """
     done = sheet.filter(F.trim("final_approved_query_text") != "").select("question_id", F.when(F.col("language_variant").contains("Tamil"), "tamil_english").otherwise("hindi_english").alias("column"), F.trim("final_approved_query_text").alias("text"))
+    unknown = [r.question_id for r in done.select("question_id").distinct().join(queries.select("question_id"), "question_id", "left_anti").limit(5).collect()]
+    if unknown:
+        raise KeyError(f"approved texts for unknown questions: {unknown}")
     approved = done.groupBy("question_id").pivot("column", list(VARIANTS)).agg(F.max("text")).withColumnsRenamed({c: f"new_{c}" for c in VARIANTS})
     q = queries.dropDuplicates(["question_id"]).join(approved, "question_id", "left")
     return q.withColumns({c: F.coalesce(f"new_{c}", c) for c in VARIANTS}).drop(*(f"new_{c}" for c in VARIANTS))
@@ -138,8 +194,3 @@ def corpus_manifest(files: DataFrame, chunks_sha: str | None = None) -> DataFram
     listed = F.sort_array(F.collect_list(F.struct("filename", "sha256", "size_bytes")))
     folded = F.concat(F.array_join(F.transform("files", lambda f: F.concat(f["filename"], F.lit(":"), f["sha256"])), ""), F.lit(chunks_sha or ""))
     return files.agg(listed.alias("files")).select(F.size("files").alias("num_source_documents"), F.col("files").alias("source_documents"), F.sha2(folded, 256).alias("corpus_hash"))
-
-
-def first_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_n = 1").drop("_n")

@@ -29,13 +29,14 @@ def _first(k: int, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> tu
     return rows[keep], scores[keep], keys[keep]
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "id", vector: str = "embedding", block: int = BLOCK, with_self: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "id", vector: str = "embedding", block: int = BLOCK, without_self: bool = False) -> DataFrame:
     """query_key, key, score, rank: the k rows of the corpus with the greatest inner product, ties by key.
 
     Queries are the small side: their number is checked and they are broadcast in blocks of at most ``block``; each block
     meets every row of the corpus as one matrix product per Arrow batch, and a task keeps k rows a query, so what is
-    shuffled grows with queries x tasks, not with pairs.  Null vectors and vectors of another length match nothing;
-    fewer than k rows give fewer hits; ``with_self`` keeps a query's own row.
+    shuffled grows with queries x tasks, not with pairs.  Several blocks run one after the other, each written before
+    the next is broadcast.  Null vectors match nothing, others only vectors of their own length; fewer than k rows give
+    fewer hits; ``without_self`` says that queries are rows of the corpus and leaves out each one's own row, by key.
     """
     spark = corpus.sparkSession
     q_kind, c_kind = queries.schema[query_key].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
@@ -48,31 +49,37 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "q
     out = None
     for b in range(blocks):
         some = (asked.filter(F.col("b") == b) if blocks > 1 else asked).select("q", "v").toPandas()
-        matrix = np.array(some["v"].tolist(), dtype=np.float64) if len(some) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((some["q"].to_numpy(), matrix))
+        of_length = {n: (part["q"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64)) for n, part in some.groupby(some["v"].map(len))}
+        shared = spark.sparkContext.broadcast(of_length)
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query's row, score, key
+            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: query's row, score, key
+            places = {n: {key: i for i, key in enumerate(ids)} for n, (ids, _) in shared.value.items()} if without_self else {}
             for batch in batches:
-                batch = batch[batch["v"].map(len) == q.shape[1]]
-                if not len(batch) or not len(ids):
-                    continue
-                vectors = np.array(batch["v"].tolist(), dtype=np.float64).T
-                names = np.array(batch["c"].tolist())
-                for lo in range(0, len(ids), SLICE):
-                    s = q[lo : lo + SLICE] @ vectors
-                    if not with_self and ids.dtype.kind == batch["c"].to_numpy().dtype.kind:
-                        s[ids[lo : lo + SLICE, None] == names[None, :]] = -np.inf
-                    floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                    at, column = np.nonzero((s >= floor[:, None]) & np.isfinite(s))  # with the ties of the k-th
-                    found = at + lo, s[at, column], names[column]
-                    best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                best = _first(k, *best)
-            if best is not None and len(best[0]):
-                yield pd.DataFrame({"q": ids[best[0]], "c": best[2], "score": best[1]})
+                for n, part in batch.groupby(batch["v"].map(len)):
+                    if n not in shared.value:
+                        continue
+                    ids, q = shared.value[n]
+                    vectors = np.array(part["v"].tolist(), dtype=np.float64).T
+                    names = np.array(part["c"].tolist())
+                    own = np.array([places[n].get(c, -1) for c in part["c"]]) if without_self else np.empty(0)
+                    for lo in range(0, len(ids), SLICE):
+                        s = q[lo : lo + SLICE] @ vectors
+                        if without_self:
+                            here = np.flatnonzero((own >= lo) & (own < lo + len(s)))
+                            s[own[here] - lo, here] = -np.inf
+                        floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                        at, column = np.nonzero((s >= floor[:, None]) & np.isfinite(s))  # with the ties of the k-th
+                        found = at + lo, s[at, column], names[column]
+                        best[n] = found if n not in best else tuple(np.concatenate(x) for x in zip(best[n], found, strict=True))
+                    best[n] = _first(k, *best[n])
+            for n, (row, s, c) in best.items():
+                yield pd.DataFrame({"q": shared.value[n][0][row], "c": c, "score": s})
 
         part = spread(rows).mapInPandas(score, f"q {q_kind}, c {c_kind}, score double")
+        if blocks > 1:
+            part = cut(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("c").alias(key), "score", "rank")

@@ -13,11 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, handed to Spark; a folder of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``, handed to Spark.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster, whose executors would not share it, this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

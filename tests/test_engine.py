@@ -1,5 +1,6 @@
 import json
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import clean_text, cleaned, document_id, fenced_json, id_list, is_blank, stripped, tokens_lower
-from quillspark.functions.vectors import dot, hashed_vector, l2_normalize
-from quillspark.operators import chunking, detection, experiment, judging, quality, retrieval
+from quillspark.functions.vectors import dot, hashed_vectors, l2_normalize, text_prefix
+from quillspark import sinks
+from quillspark.operators import chunking, detection, experiment, gates, judging, quality, retrieval
 from quillspark.plans import rag
 from quillspark.sources import datasets, files
 from quillspark.streaming import incremental
@@ -35,18 +37,23 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [r.u for r in df.select(l2_normalize(F.col("v")).alias("u")).collect()] == [[pytest.approx(0.6), pytest.approx(0.8)], [0.0, 0.0]]
     assert df.select(dot(F.col("v"), F.col("v")).alias("d")).first().d == 25.0
-    assert math.isclose(float((hashed_vector("hello", 64) ** 2).sum()), 1.0, rel_tol=1e-5) and hashed_vector("", 8).sum() == 0
+    one, none = hashed_vectors(["hello", ""], 64)
+    assert math.isclose(float((one**2).sum()), 1.0, rel_tol=1e-5) and none.sum() == 0 and (hashed_vectors(["x", "hello"], 64)[1] == one).all()
+    assert (text_prefix("e5-base", True), text_prefix("e5-base", False), text_prefix("other", True)) == ("query: ", "passage: ", "")
 
 
 def test_top_k_ties_blocks_and_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [0.0, 1.0]), (5, None), (6, [1.0])]
     corpus = spark.createDataFrame(rows, "id bigint, embedding array<float>")
     queries = spark.createDataFrame([(1, [0.5, 0.5]), (9, [0.0, 2.0])], "query_id bigint, embedding array<float>")
-    expect = [(1, 2, 1), (1, 3, 2), (9, 2, 1), (9, 3, 2)]
+    hits = lambda **kw: sorted((r.query_id, r.id, r["rank"]) for r in retrieval.top_k(queries, corpus, 2, **kw).collect())
     for block in (1, 10):
-        assert sorted((r.query_id, r.id, r["rank"]) for r in retrieval.top_k(queries, corpus, 2, block=block).collect()) == expect
+        assert hits(block=block, without_self=True) == [(1, 2, 1), (1, 3, 2), (9, 2, 1), (9, 3, 2)]
+        assert hits(block=block) == [(1, 1, 1), (1, 2, 2), (9, 2, 1), (9, 3, 2)]  # a row of the same key in another table is a row
     assert retrieval.top_k(queries, corpus.limit(0), 2).count() == 0 and retrieval.top_k(queries.limit(0), corpus, 2).count() == 0
-    assert retrieval.top_k(queries, corpus, 50).count() == 3 + 4
+    assert retrieval.top_k(queries, corpus, 50).count() == 4 + 4
+    ragged = queries.union(spark.createDataFrame([(7, [2.0]), (8, [1.0, 1.0, 1.0])], queries.schema))
+    assert {(r.query_id, r.id) for r in retrieval.top_k(ragged, corpus, 1).collect()} == {(1, 1), (9, 2), (7, 6)}
 
 
 @settings(max_examples=80, deadline=None)
@@ -81,6 +88,9 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "z.zip").write_bytes(b"PK")
     (tmp_path / ".hidden.txt").write_text("no")
     (tmp_path / "p.pdf").write_bytes(b"%PDF-1.4\nstream\nBT (Hello \\(x\\)) Tj ET\nendstream")
+    (tmp_path / "t.pdf").write_bytes(b"%PDF-1.4\n/Title (Of the meta)\nstream\nBT (One) Tj ET\nendstream\nstream\nbroken\nendstream")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "deep.txt").write_text("not looked at")
     scanned = files.scan_documents(spark, str(tmp_path))
     loaded = files.load_files(scanned).cache()
     docs = {(r.filename, r.title): r for r in files.documents(loaded).collect()}
@@ -90,9 +100,10 @@ def test_loaders(spark, tmp_path):
     assert docs["b.csv", "b Row 3"].text == "Topic: X\nCategory: Y" and ("b.csv", "b Row 2") not in docs
     assert docs["c.json", "A"].text == "A\n\nbody" and docs["c.json", "A"].metadata["channel"] == "web"
     assert docs["c.json", "c #2"].text == '{\n"x": 1\n}' and docs["c.json", "c Item 3"].text == "plain"
-    assert docs["p.pdf", "Hello (x)"].document_type == "pdf"
+    assert docs["c.json", "c #2"].metadata == {"x": "1", "index": "1"} and len({d.document_id for d in docs.values()}) == len(docs)
+    assert docs["p.pdf", "Hello (x)"].document_type == "pdf" and docs["t.pdf", "Of the meta"].metadata["extracted_pages"] == "1" and not any(f == "deep.txt" for f, _ in docs)
     assert {r.path.rsplit("/", 1)[1] for r in files.ingest_failures(loaded).collect()} == {"bad.json", "z.zip"}
-    assert quality.corpus_manifest(scanned).first().num_source_documents == 7
+    assert quality.corpus_manifest(scanned).first().num_source_documents == 8
 
 
 def test_datasets(spark, tmp_path):
@@ -101,6 +112,19 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"question_id": "q1"}, {"question_id": "q2"}]')
     (tmp_path / "q.jsonl").write_text('{"question_id": "q1"}\n\n{"question_id": "q2"}\n')
     assert datasets.load_queries(spark, str(tmp_path / "q.json")).count() == datasets.load_queries(spark, str(tmp_path / "q.jsonl")).count() == 2
+    (tmp_path / "lines.json").write_text("".join(f'{{"question_id": "q{i}"}}\n' for i in range(5)))
+    assert sorted(r.question_id for r in datasets.load_queries(spark, str(tmp_path / "lines.json")).collect()) == [f"q{i}" for i in range(5)]
+    (tmp_path / "pretty.json").write_text('{\n  "question_id": "q1"\n}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        datasets.load_queries(spark, str(tmp_path / "pretty.json")).collect()
+    (tmp_path / "sheet.csv").write_text('question_id,reviewer_1_comments,reviewer_1_decision\nq1,"two\nlines",\n')
+    sheet = datasets.read_review_sheet(spark, str(tmp_path / "sheet.csv")).first()
+    assert (sheet.reviewer_1_comments, sheet.reviewer_1_decision) == ("two\nlines", "")
+    with pytest.raises(FileNotFoundError):
+        datasets.load_index(spark, str(tmp_path / "none"))
+    stored = spark.createDataFrame([(1, "e", "q", '["a"]'), (2, "e", "p", "broken"), (3, "f", "q", None)], "id int, experiment_id string, question_id string, retrieved_document_ids string")
+    assert [(r.id, r.retrieved_document_ids) for r in datasets.scan_results(stored).collect()] == [(2, []), (1, ["a"]), (3, [])]
+    assert datasets.scan_results(stored, "f").count() == 1
     with pytest.raises(FileNotFoundError):
         datasets.load_queries(spark, str(tmp_path / "none.json"))
     with pytest.raises(ValueError):
@@ -133,7 +157,7 @@ def test_normalization_routes(spark):
 def test_judge_replies(spark):
     cases = {
         '{"faithfulness_score": 0.72, "explanation": "ok"}': (0.72, True, "ok"), '{"faithfulness_score": 1.5}': (1.0, False, judging.NO_EXPLANATION), '{"faithfulness_score": -0.3, "explanation": null}': (0.0, True, judging.NO_EXPLANATION),
-        '```json\n{"faithfulness_score": 0.8}\n```': (0.8, False, judging.NO_EXPLANATION), '{"faithfulness_score": "0.9"}': (0.9, False, judging.NO_EXPLANATION),
+        '```json\n{"faithfulness_score": 0.8}\n```': (0.8, False, judging.NO_EXPLANATION), '{"faithfulness_score": NaN}': (1.0, False, judging.NO_EXPLANATION), '{"faithfulness_score": "0.9"}': (0.9, False, judging.NO_EXPLANATION),
     }
     none = ["", "  ", "nonsense", '{"score": 1}', '{"faithfulness_score": "high"}']
     cut = '{"faithfulness_score": 0.4, "explanation": "the ans'
@@ -168,8 +192,95 @@ def test_rag_end_to_end(spark):
     def broken(a, b):
         raise TimeoutError("no reply")
 
-    failed = rag.answer(asked, rag.build_index(chunks), generate=broken).filter("query_id = '1'").first()
-    assert failed.generated_answer is None and "no reply" in failed.error
+    quick = rag.Retry(2, 0.0)
+    failed = rag.answer(asked, rag.build_index(chunks), generate=broken, generator_retry=quick).filter("query_id = '1'").first()
+    assert failed.generated_answer is None and "no reply" in failed.error and failed.faithfulness_score is None and failed.hallucination_flag is None
+    unjudged = rag.answer(asked, rag.build_index(chunks), judge=broken, judge_retry=quick).filter("query_id = '1'").first()
+    assert unjudged.generated_answer and unjudged.hallucination_flag is None and unjudged.faithfulness_explanation.startswith("Judge unavailable: ")
+
+
+def test_retries_wait_longer_each_time():
+    waits, calls = [], []
+
+    def flaky(a, b):
+        calls.append(a)
+        if len(calls) < 3:
+            raise RuntimeError("503 from the service")
+        return "ok"
+
+    assert rag.called(flaky, "a", "b", rag.Retry(4, 2.0, sleep=waits.append)) == ("ok", None, 3) and waits == [2.0, 4.0]
+
+    def wrong(a, b):
+        raise ValueError("bad request")
+
+    assert rag.called(wrong, "a", "b", rag.Retry(4, 2.0, sleep=waits.append))[2] == 1
+    assert rag.called(wrong, "a", "b", rag.Retry(3, 2.0, only_transient=False, sleep=waits.append)) == (None, "ValueError: bad request", 3) and waits == [2.0, 4.0, 2.0, 4.0]
+
+
+def test_chat_and_own_detector(spark):
+    chunks = spark.createDataFrame([(f"d{i}_c0", f"d{i}", f"The library fee of year {i} is Rs. {i}00") for i in range(8)], "chunk_id string, document_id string, chunk_text string")
+    rows = [("a", "mera library fee", True, 2), ("b", "library fee", None, None), ("c", "library fee", True, 21), ("d", " ", True, 1), ("e", "mera library fee", False, 1)]
+    asked = spark.createDataFrame(rows, "request_id string, query string, mitigation_enabled boolean, top_k int")
+    got = {r.request_id: r for r in rag.chat(asked, rag.build_index(chunks), normalizer=detection.content_words).collect()}
+    assert len(got["a"].retrieved_document_ids) == 2 and len(got["b"].retrieved_document_ids) == 5 and (got["a"].normalized_query, got["e"].normalized_query) == ("library fee", None)
+    assert got["c"].error == "top_k must be from 1 to 20" and got["d"].error == "query must not be blank" and got["c"].answer == "" and got["d"].faithfulness_score is None
+    none = lambda q: F.struct(F.lit(False).alias("is_code_mixed"), F.array(F.lit("English")).alias("languages"), F.lit(1.0).alias("confidence"))
+    assert {r.is_code_mixed for r in rag.answer(asked, rag.build_index(chunks), "request_id", detector=none).collect()} == {False}
+
+
+def test_gates_of_files(spark, tmp_path):
+    land = tmp_path / "in"
+    land.mkdir()
+    (land / "a.txt").write_text("one")
+    chunks = spark.createDataFrame([("c1", "text"), ("c2", " ")], "chunk_id string, chunk_text string")
+    parts = {"chunks": str(tmp_path / "chunks")}
+    chunks.coalesce(1).write.json(parts["chunks"])
+    data, manifest = str(tmp_path / "q.jsonl"), str(tmp_path / "manifest.json")
+    checks = lambda: [r.check for r in gates.file_preflight(spark, data, manifest, parts).collect()]
+    assert checks() == ["dataset missing"]
+    Path(data).write_text("{}")
+    assert checks() == ["manifest missing"]
+    Path(manifest).write_text("{")
+    assert checks() == ["manifest unreadable"]
+    Path(manifest).write_text("{}")
+    assert checks() == ["manifest without corpus_hash"]
+    gates.write_manifest(spark, str(land), parts, manifest)
+    assert checks() == []
+    chunks.limit(1).write.mode("overwrite").json(parts["chunks"])
+    assert checks() == ["part differs from manifest"]
+    parts["index"] = str(tmp_path / "none")
+    assert "part missing" in checks()
+    found = gates.corpus_gates(chunks, chunks.limit(1))
+    assert {r.gate: r.status for r in found.collect()} == {"empty chunks": "FAIL", "index size": "FAIL"}
+    assert gates.write_preflight_report(found, str(tmp_path / "p.md")) == "FAIL" and "index size" in (tmp_path / "p.md").read_text()
+    with pytest.raises(PermissionError):
+        gates.guard_target("/x/Pilot.db", ("pilot",))
+    digest = gates.release_snapshot(spark, str(land), {}, str(tmp_path / "release"))
+    assert (tmp_path / "release" / "manifest.sha256").read_text().split()[0] == digest and (tmp_path / "release" / "documents" / "a.txt").exists()
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a"]), (2, None)], "id int, ids array<string>")
+    sinks.export_json(df.orderBy("id"), str(tmp_path / "x.json"))
+    assert json.loads((tmp_path / "x.json").read_text()) == [{"id": 1, "ids": ["a"]}, {"id": 2, "ids": None}]
+    sinks.export_csv(df.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    with pytest.raises(ValueError):
+        sinks.few_rows(df, 1)
+    vectors = spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<double>")
+    chunks = spark.createDataFrame([("a", "d", "t"), ("b", "d", "t")], "chunk_id string, document_id string, chunk_text string")
+    assert rag.index_of(chunks.limit(1), vectors).count() == 1
+    with pytest.raises(ValueError):
+        rag.index_of(chunks, vectors)
+
+
+def test_own_reader(spark):
+    files.register_reader(".md", lambda data: iter([files.Part("text", data.decode().lstrip("# "))]))
+    try:
+        scanned = spark.createDataFrame([("p/x.md", "x.md", ".md", bytearray(b"# Head\nbody"))], "path string, filename string, extension string, content binary")
+        assert [(r.title, r.text) for r in files.documents(files.load_files(scanned)).collect()] == [("Head", "Head\nbody")]
+    finally:
+        del files.READERS[".md"]
 
 
 def test_quality(spark):
@@ -179,6 +290,8 @@ def test_quality(spark):
     assert found == {("mock row", "SMOKE-1"), ("blank tamil_english", "q2"), ("no expected documents", "q2"), ("expected document not indexed", "SMOKE-1:d9")}
     assert {r.question_id: r.evidence for r in quality.gold_evidence(queries, chunks).collect()} == {"q1": "first part | other", "q2": quality.NO_EVIDENCE, "SMOKE-1": quality.NO_EVIDENCE}
     assert [tuple(r) for r in quality.duplicate_queries(queries).collect()] == [("english", "a", 2)]
+    with pytest.raises(KeyError):
+        quality.apply_review(queries, spark.createDataFrame([("none", "Tamil", "t")], "question_id string, language_variant string, final_approved_query_text string"))
     one, two = (quality.corpus_hash(c, "chunk_id", "chunk_text").first().corpus_hash for c in (chunks, chunks.orderBy("chunk_text").union(chunks)))
     assert one == two
 
