@@ -34,7 +34,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "q
 
     Queries are the small side: their number is checked and they are broadcast in blocks of at most ``block``; each block
     meets every row of the corpus as one matrix product per Arrow batch, and a task keeps k rows a query, so what is
-    shuffled grows with queries x tasks, not with pairs.  Several blocks run one after the other, each written before
+    shuffled grows with queries x tasks, not with pairs.  Products are taken in single precision; whatever may be among
+    the best within its error is scored again in double precision.  Several blocks run one after the other, each written before
     the next is broadcast.  Null vectors match nothing, others only vectors of their own length; fewer than k rows give
     fewer hits; ``without_self`` says that queries are rows of the corpus and leaves out each one's own row, by key.
     """
@@ -60,17 +61,20 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, query_key: str = "q
                     if n not in shared.value:
                         continue
                     ids, q = shared.value[n]
-                    vectors = np.array(part["v"].tolist(), dtype=np.float64).T
-                    names = np.array(part["c"].tolist())
+                    vectors = np.array(part["v"].tolist(), dtype=np.float64)
+                    singles, names = vectors.T.astype(np.float32), np.array(part["c"].tolist())
+                    # twice the error bound of an inner product in single precision
+                    slack = np.linalg.norm(q, axis=1) * np.linalg.norm(vectors, axis=1).max() * (n + 4) * 2.4e-7
                     own = np.array([places[n].get(c, -1) for c in part["c"]]) if without_self else np.empty(0)
                     for lo in range(0, len(ids), SLICE):
-                        s = q[lo : lo + SLICE] @ vectors
+                        s = q[lo : lo + SLICE].astype(np.float32) @ singles
                         if without_self:
                             here = np.flatnonzero((own >= lo) & (own < lo + len(s)))
                             s[own[here] - lo, here] = -np.inf
                         floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                        at, column = np.nonzero((s >= floor[:, None]) & np.isfinite(s))  # with the ties of the k-th
-                        found = at + lo, s[at, column], names[column]
+                        near = (floor - slack[lo : lo + SLICE])[:, None]
+                        at, column = np.nonzero((s >= near) & np.isfinite(s))  # the k-th's ties and all that may be as good
+                        found = at + lo, np.einsum("ij,ij->i", q[at + lo], vectors[column]), names[column]
                         best[n] = found if n not in best else tuple(np.concatenate(x) for x in zip(best[n], found, strict=True))
                     best[n] = _first(k, *best[n])
             for n, (row, s, c) in best.items():

@@ -108,20 +108,24 @@ def _provider(call: Callable[[str, str], str], retry: Retry) -> Callable[[Column
     return run
 
 
-def retrieve(queries: DataFrame, index: DataFrame, key: str, query: str, k: int, model: str = Settings.embedding_model, encode: Encode = hashed_vectors) -> DataFrame:
-    """key, hits: the best chunks of each question, best first; blank questions have none.
+def search(texts: DataFrame, index: DataFrame, k: int, model: str = Settings.embedding_model, encode: Encode = hashed_vectors) -> DataFrame:
+    """query, hits: the best chunks for each distinct non-blank ``query``, best first.
 
     ``index``: chunk_id, document_id, chunk_text, embedding.  Equal questions are embedded and searched once; texts
     are fetched for the chunks that were hit only, once each, after the search.
     """
     dim = int(index.sparkSession.conf.get("spark.quillspark.embedding_dim", None) or Settings.embedding_dim)
-    named = queries.select(F.col(key).alias("query_id"), F.col(query).alias("query")).filter(F.trim("query") != "")
-    asked = named.select("query").distinct().withColumn("embedding", embedder(dim, text_prefix(model, True), encode)(F.col("query")))
+    asked = texts.select("query").filter(F.trim("query") != "").distinct().withColumn("embedding", embedder(dim, text_prefix(model, True), encode)(F.col("query")))
     hits = cut(top_k(asked, index, k, query_key="query", key="chunk_id"))
     wanted = hits.select("chunk_id").distinct()
     texts = index.select("chunk_id", "document_id", F.col("chunk_text").alias("text")).join(wanted, "chunk_id", "left_semi")
-    listed = hits.join(texts, "chunk_id").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_id", "text", "score"))).alias("hits"))
-    return named.join(listed, "query").select(F.col("query_id").alias(key), "hits")
+    return hits.join(texts, "chunk_id").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_id", "text", "score"))).alias("hits"))
+
+
+def retrieve(queries: DataFrame, index: DataFrame, key: str, query: str, k: int, model: str = Settings.embedding_model, encode: Encode = hashed_vectors) -> DataFrame:
+    """key, hits: the best chunks of each question, best first; blank questions have none."""
+    named = queries.select(F.col(key).alias("query_id"), F.col(query).alias("query"))
+    return named.join(search(named, index, k, model, encode), "query").select(F.col("query_id").alias(key), "hits")
 
 
 def build_index(chunks: DataFrame, dim: int = Settings.embedding_dim, model: str = Settings.embedding_model, encode: Encode = hashed_vectors) -> DataFrame:
@@ -164,9 +168,10 @@ def answer(
     """
     options = options or Settings()
     on = F.lit(options.mitigation_enabled) if mitigation is None else mitigation
-    routed = normalize(queries, query, normalizer, mixed_only, detector).withColumn("used_query", routed_query(F.col(query), on, F.col("normalized_query"), F.col("normalization_applied"), F.col("error_fallback")))
-    found = retrieve(routed.select(key, "used_query"), index, key, "used_query", options.top_k, options.embedding_model, encode)
-    rows = routed.join(found, key, "left")
+    # written, so that the normalizer, a service as a rule, is called once a question
+    routed = cut(normalize(queries, query, normalizer, mixed_only, detector).withColumn("used_query", routed_query(F.col(query), on, F.col("normalized_query"), F.col("normalization_applied"), F.col("error_fallback"))))
+    found = search(routed.select(F.col("used_query").alias("query")), index, options.top_k, options.embedding_model, encode)
+    rows = routed.join(found.withColumnRenamed("query", "used_query"), "used_query", "left")
     if hits is not None:
         rows = rows.withColumn("hits", F.slice("hits", 1, F.coalesce(hits, F.lit(options.top_k))))
     rows = rows.withColumn("context", F.coalesce(build_context(F.transform("hits", lambda h: h["text"])), F.lit("")))
