@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillspark.llm import annotators
 from quillspark.llm.annotators import DECISIONS, consensus, disputed, krippendorff, reliability, review_labels
 
 LABELS = "item string, who string, decision string, score int, kind string, label string"
@@ -46,3 +47,28 @@ def test_sheet_cases(spark):
     assert sorted((r["item"], r.who, r.decision, r.score) for r in labels.collect()) == [("q|v", "REV-1", "REJECT", 1), ("q|v", "REV-2", "REJECT", 1)]
     assert [tuple(r) for r in disputed(spark.createDataFrame(rows, schema)).collect()] == [("item", "q|v", "REJECT")]
     assert disputed(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_joins_give_the_same_fit(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"i{k}", f"w{rng.randrange(6)}", rng.choice(DECISIONS) if rng.random() < 0.4 else DECISIONS[k % 3], rng.choice([None, 1, 3, 5])) for k in range(120) for _ in range(4)]
+    one = consensus(_labels(spark, rows))
+    monkeypatch.setattr(annotators, "SMALL_ANNOTATORS", 0)
+    monkeypatch.setattr(annotators, "ROUNDS", one.rounds)
+    two = consensus(_labels(spark, rows))
+    assert one.converged and one.rounds > 2
+    a, b = ({r["item"]: (r.verdict, r.p_revise, r.n_decisions) for r in f.items.collect()} for f in (one, two))
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-3) and a[k][2] == b[k][2] for k in a)
+    assert {(r.reviewer, r.unreliable) for r in reliability(one).collect()} == {(r.reviewer, r.unreliable) for r in reliability(two).collect()}
+
+
+def test_few_decisions_that_tell_nothing_are_flagged(spark):
+    rng = random.Random(6)
+    kinds = ["ACCEPT"] * 6 + ["REVISE"] * 3 + ["REJECT"]
+    rows = [(f"i{k}", f"good{g}", kinds[k % 10], None) for k in range(200) for g in range(3)]
+    rows += [(f"i{k}", "contrary", "REVISE", None) for k in range(0, 50, 10)]  # five items that are to be accepted
+    rows += [(f"i{k}", "always", "ACCEPT", None) for k in range(20)]
+    rows += [(f"i{k}", "random", rng.choice(DECISIONS), None) for k in range(100, 130)]
+    rows += [(f"i{k}", "fair", kinds[k % 10] if k % 3 else rng.choice(DECISIONS), None) for k in range(150, 190)]
+    got = {r.reviewer: r.unreliable for r in reliability(consensus(_labels(spark, rows))).collect()}
+    assert {w for w, bad in got.items() if bad} == {"contrary", "always", "random"}
