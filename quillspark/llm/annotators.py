@@ -63,7 +63,8 @@ def annotator_id(raw: Column) -> Column:
 def review_labels(sheet: DataFrame) -> DataFrame:
     """(item, who, decision, score) of a review sheet; exact repeats of a row count once.
 
-    Rows without question or variant are dropped; a label without an annotator counts as one by ''.
+    Rows without question or variant are dropped; a label without an annotator counts as one by ''.  Repeats are told by
+    128 bits of hashes over all columns, so that only labels are shuffled, not comments and queries.
     """
     item = F.concat("question_id", F.lit("|"), "language_variant")
     labels = [
@@ -74,7 +75,9 @@ def review_labels(sheet: DataFrame) -> DataFrame:
         )
         for n in (1, 2)
     ]
-    return sheet.distinct().select(item.alias("item"), F.explode(F.array(*labels)).alias("x")).select("item", "x.*").filter("item is not null and (decision is not null or score is not null)")
+    whole = [F.struct(F.xxhash64(*sheet.columns).alias("a"), F.xxhash64(F.lit(1), *sheet.columns).alias("b")).alias("row")]
+    rows = sheet.select(item.alias("item"), F.filter(F.array(*labels), lambda x: x["decision"].isNotNull() | x["score"].isNotNull()).alias("labels"), *whole)
+    return rows.filter("item is not null and size(labels) > 0").distinct().select("item", F.explode("labels").alias("x")).select("item", "x.*")
 
 
 @dataclass
@@ -106,7 +109,7 @@ def consensus(labels: DataFrame) -> Consensus:
     REJECT; an empty table gives empty results; other columns are not read.  Rounds end when the variational bound
     hardly grows; not to reach that within ``ROUNDS`` warns.
     """
-    long = _long(labels)
+    long = cut(_long(labels))
     annotators = cut(long.select("who", "kind", "label").distinct())
     n = annotators.count()
     fit = _by_items(long, annotators, n) if n <= SMALL_ANNOTATORS else _by_joins(long)
