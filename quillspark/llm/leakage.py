@@ -4,24 +4,28 @@ Winnowing keeps, of every window of k-gram hashes, the least one, in the items a
 of ``K + WINDOW - 1`` equal words leaves a common fingerprint.  With a window of one every word pair is kept, as changes
 and foreign sentences together may leave no longer runs.  Of a passage part of n words with c changes and b sentence
 ends inside, n - c words are left in at most c + 1 + b runs within sentences, so at least n - 2 c - 1 - b pairs: no
-fewer than ``PAIRS - b`` among ``REACH`` words.  What has them is extended: local alignments by words decide whether 15
-words of the passage stand there in order with at most a fifth changed, dropped or added.  Whole sentences of the
-document between the passage's sentences cost score, but are no change.  The alignments are heuristic at the very bound.
-
-The items are the small side.  Their size is checked: blocks of at most ``BLOCK_BYTES`` are broadcast, one after the
-other, so each block costs one pass over the documents and no shuffle; every block meets every document.
+fewer than ``PAIRS - b`` among ``REACH`` words.  Therefore a document that has so many has one of the rarest of them:
+only those are looked up, the common pairs are never (see :class:`LeakFinder`).  What has enough pairs is extended in
+two exact steps: longest common subsequences of all windows of a passage at once drop what can't be a part, then the
+fewest changes of an alignment decide whether 15 words of the passage stand there in order with at most a fifth
+changed, dropped or added.  Whole sentences of the document between the passage's sentences are no change.
+
+The items are the small side.  Their size is checked: one block of at most ``BLOCK_BYTES`` is indexed once and
+broadcast.  More blocks take one pass over the documents that keeps those with a rare pair of any item, by a bitmap of
+fixed size; only these are met by the blocks, one after the other.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import re as stdlib_re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import regex as re
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,55 +39,66 @@ MIN_WORDS, MAX_CHANGED = 15, 0.2
 PAIRS, MIN_PAIRS = 8, 2
 #: Passage words among which so many pairs must begin.
 REACH = 20
-#: Of 15 consecutive words of a passage part, so many must occur at all (a changed part of more words has one word of slack).
-MIN_PRESENT = 11
-#: Score that going on after foreign text costs.
-JUMP = 3.0
-#: Words of the passage that a part beside foreign sentences has: fewer may stand in any text.
+#: Words of the passage that a part beside foreign sentences has at least: single words stand in any text.
 MIN_PART = 2
-#: Scores of a change and of a jump, one alignment each: the high ones for parts beside like text, the low ones for changes soon after the start and short sentences.
-PENALTIES = ((3.0, JUMP), (1.0, JUMP), (0.4, JUMP), (0.4, 0.8))
+#: A part of at least 15 words, a fifth of them changed at most, holds a window of 15, 20 or 25 words of which four fifths are left.
+WINDOWS = ((15, 12), (20, 16), (25, 20))
+#: Of a window of 25 words of which 20 are left, 10 are left of some 15 at the least; so, too, of one of 20 words.
+LEAST_COMMON = 10
+#: Of the pairs needed, so many are looked up: more name fewer items in vain, fewer leave out more of the common pairs.
+PROBES = 4
+#: Windows' starts of a passage whose subsequences are found together.
+LANES = 128
 #: Cells that one step of the alignments holds.
-CELLS = 16_384
-#: Most bytes of passages broadcast at once.
-BLOCK_BYTES = 32 << 20
+CELLS = 1 << 20
+#: Most bytes of passages broadcast at once, and bits of the map of all items' rare pairs.
+BLOCK_BYTES, MAP_BITS = 32 << 20, 1 << 27
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>|\[\d+\]|&(?:[a-zA-Z]+|#\d+);")
+_MARKUP = re.compile(r"<[^<>]+>|\[\d+\]|&(?:[a-zA-Z]+|#\d+);")
 _SPLIT_WORD = re.compile(r"(?<=\p{L})[-­]\s*\n\s*(?=\p{Ll})")
-_WORD = re.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
+_WORD = re.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:'\p{L}+)?")
+#: The same for plain text in ASCII.
+_ASCII_WORD = stdlib_re.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z]+(?:'[a-z]+)?")
+_GROUPED = re.compile(r"(?<=\p{N}),(?=\p{N})")
 _SENTENCE_END = re.compile(r"[.!?;:।]+(?=\s|$)|\n")
 _BREAK = re.compile(r"[.!?;:।…\n]")
+_FAR = np.int16(1 << 12)
 
 
 def _plain(text: str) -> str:
-    text = _MARKUP.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
-    return _SPLIT_WORD.sub("", text).lower()
+    if "<" in text or "[" in text or "&" in text:
+        text = _MARKUP.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
+    if "\n" in text:
+        text = _SPLIT_WORD.sub("", text)
+    if "," in text:
+        text = _GROUPED.sub("", text)
+    return text.lower().replace("’", "'")
 
 
-def _word(w: str) -> str:
-    return w.replace(",", "").replace("’", "'") if w[0].isdigit() else w
+def words_of(text: str) -> list[str]:
+    """Words in lower case; layout, punctuation, commas in numbers and markup dropped."""
+    return _words(_plain(text))
 
 
-def words_of(text: str) -> list[str]:
-    """Words in lower case; layout, punctuation and markup dropped."""
-    return [_word(w) for w in _WORD.findall(_plain(text))]
+def _words(plain: str) -> list[str]:
+    return (_ASCII_WORD if plain.isascii() else _WORD).findall(plain)
 
 
-def _words_and_breaks(text: str) -> tuple[list[str], np.ndarray]:
-    """:func:`words_of`, and after which of them a sentence may end; in a text that shows no ends, after any."""
-    text = _plain(text)
-    found = list(_WORD.finditer(text))
-    stops = np.array([m.start() for m in _BREAK.finditer(text)], dtype=np.int64)
-    after = np.searchsorted(stops, [m.end() for m in found])
-    before = np.searchsorted(stops, [*(m.start() for m in found[1:]), len(text)][: len(found)])
+def _breaks(plain: str) -> np.ndarray:
+    """After which of the words a sentence may end; in a text that shows no ends, after any."""
+    spans = [m.span() for m in _WORD.finditer(plain)]
+    stops = np.array([m.start() for m in _BREAK.finditer(plain)], dtype=np.int64)
+    after = np.searchsorted(stops, [b for _, b in spans])
+    before = np.searchsorted(stops, [*(a for a, _ in spans[1:]), len(plain)][: len(spans)])
     breaks = before > after
     if not breaks[:-1].any():
         breaks[:] = True
-    return [_word(m[0]) for m in found], breaks
+    return breaks
 
 
 def _ids(words: list[str]) -> np.ndarray:
-    return np.array([crc32(w.encode()) for w in words], dtype=np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in words], dtype=np.uint64)
 
 
 def _kgrams(ids: np.ndarray, k: int) -> np.ndarray:
@@ -105,142 +120,262 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class _Item:
+    """A passage: its words, the ends of its sentences, its word pairs within sentences with their places."""
+
     def __init__(self, key: object, passage: str) -> None:
         self.key = key
-        self.ids = []
-        self.ends = set()
+        ids, ends = [], set()
         for sentence in _SENTENCE_END.split(passage):
-            self.ids += _ids(words_of(sentence)).tolist()
-            self.ends.add(len(self.ids) - 1)
-        self.ids = np.array(self.ids, dtype=np.uint64)
-
-
-def contains(pairs: list[tuple[np.ndarray, np.ndarray, _Item]], penalty: float, jump_cost: float = JUMP) -> np.ndarray:
-    """Of each (document, its sentence ends, item): are ``MIN_WORDS`` words of the item there in order, few enough of them changed?
-
-    Local alignments of all pairs at once, with 1 a match and ``-penalty`` a change; steps go along the passages' words,
-    columns are the documents'.  Each cell carries the words and changes of its best path.  After a sentence of the
-    passage, a path may go on at any later place of the document: without a change if whole sentences are passed over,
-    with one otherwise.
+            ids += _ids(words_of(sentence)).tolist()
+            ends.add(len(ids) - 1)
+        self.ids = np.array(ids, dtype=np.uint64)
+        self.end = np.isin(np.arange(len(ids)), list(ends))
+        self.places = np.flatnonzero(~self.end[:-1]) if len(ids) else np.empty(0, np.int64)  # no pair over a sentence end: foreign text may stand there
+        self.pairs = _kgrams(self.ids, K)[self.places]
+        self.needed = self._needed()
+        self._words = np.unique(self.ids)
+        self._lanes: dict[int, list[tuple[dict[int, int], int, list[tuple[int, int]]]]] = {}
+
+    def _needed(self) -> np.ndarray:
+        """How many pairs are asked for among the ``REACH`` words from each pair's place."""
+        ends = np.concatenate(([0], np.cumsum(self.end)))
+        at = lambda x: ends[np.clip(x, 0, len(self.end))]
+        # a part may begin half a reach before its first pair
+        return np.maximum(MIN_PAIRS, PAIRS - (at(self.places + REACH) - at(self.places - REACH // 2)))
+
+    def rare(self, common: np.ndarray) -> np.ndarray:
+        """Which pairs are looked up, by how common each is: of ``n`` pairs within reach of which ``t`` are needed, all but the ``t - PROBES`` most common.
+
+        A part then has ``PROBES`` of them, or all that are needed if those are fewer.
+        """
+        keep = np.zeros(len(self.pairs), bool)
+        until = np.searchsorted(self.places, self.places + REACH)
+        for k, (stop, t) in enumerate(zip(until.tolist(), self.needed.tolist(), strict=True)):
+            rarest = np.argsort(common[k:stop], kind="stable")[: max(0, stop - k - max(0, t - PROBES))]
+            keep[k + rarest] = True
+        return keep
+
+    def lanes(self, length: int) -> list[tuple[dict[int, int], int, list[tuple[int, int]]]]:
+        """For every ``LANES`` windows of ``length`` words: word to bits, all bits, and (first bit, start) of each window."""
+        if length not in self._lanes:
+            groups = []
+            for first in range(0, len(self.ids) - length + 1, LANES):
+                masks: dict[int, int] = {}
+                windows = [((length + 1) * k, start) for k, start in enumerate(range(first, min(first + LANES, len(self.ids) - length + 1)))]  # a spare bit takes the carry
+                for bit, start in windows:
+                    for j, w in enumerate(self.ids[start : start + length].tolist()):
+                        masks[w] = masks.get(w, 0) | 1 << (bit + j)
+                groups.append((masks, sum(((1 << length) - 1) << bit for bit, _ in windows), windows))
+            self._lanes[length] = groups
+        return self._lanes[length]
+
+    def may_be_in(self, vocabulary: np.ndarray) -> bool:
+        """Has some window enough words among sorted distinct ones, in whatever order?"""
+        there = np.concatenate(([0], np.cumsum(vocabulary[np.minimum(np.searchsorted(vocabulary, self.ids), len(vocabulary) - 1)] == self.ids)))
+        return any((there[length:] - there[:-length] >= least).any() for length, least in WINDOWS)
+
+    def likely_starts(self, words: np.ndarray) -> list[int]:
+        """Starts of the windows that share enough words with ``words`` in order, the fullest first; none means there is no part.
+
+        Longest common subsequences by bits, many windows in one number.
+        """
+        words = words[self._words[np.minimum(np.searchsorted(self._words, words), len(self._words) - 1)] == words]
+        there = np.concatenate(([0], np.cumsum(np.isin(self.ids, words))))
+        known, found = words.tolist(), []
+        for length, least in WINDOWS:
+            if not (there[length:] - there[:-length] >= least).any():
+                continue
+            most = 0
+            for masks, every, windows in self.lanes(length):
+                left = every
+                for w in known:
+                    if both := left & masks.get(w, 0):
+                        left = ((left + both) | (left - both)) & every
+                for bit, start in windows:
+                    common = length - ((left >> bit) & ((1 << length) - 1)).bit_count()
+                    most = max(most, common)
+                    if common >= least:
+                        found.append((common / length, -start))
+            if most < LEAST_COMMON:  # then no longer window has enough either
+                break
+        return [-s for _, s in sorted(found, reverse=True)]
+
+
+Pair = tuple[np.ndarray, np.ndarray, _Item]  # part of a document, its sentence ends, item
+
+
+def contains(pairs: list[Pair], starts: list[list[int]]) -> np.ndarray:
+    """Is a part of the item there that begins at one of the passage's ``starts``?  One answer a pair, exact.
+
+    Fewest changes of alignments that begin with a word that is there, all starts of all pairs at once; steps go along
+    the passages' words, columns are the documents'.  A part of w words that ends in a word that is there may have
+    ``MAX_CHANGED`` w changes.  After a sentence of the passage an alignment goes on at any later place: without a
+    change if whole sentences of the document are passed over, with one otherwise, and with at least ``MIN_PART`` words
+    of the passage on either side.
     """
-    p, n, m = len(pairs), max(len(d) for d, _, _ in pairs), max(len(i.ids) for _, _, i in pairs)
-    docs, passages, ends, breaks = np.zeros((p, n), np.uint64), np.ones((p, m), np.uint64), np.zeros((p, m), bool), np.zeros((p, n), bool)
-    for r, (doc, stops, item) in enumerate(pairs):
-        docs[r, : len(doc)], passages[r, : len(item.ids)], breaks[r, : len(doc)] = doc, item.ids, stops
-        ends[r, [e for e in item.ends if e >= 0]] = True
+    owner = np.repeat(np.arange(len(pairs)), [len(s) for s in starts])
+    begin = np.array([a for some in starts for a in some], dtype=np.int64)
+    found = np.zeros(len(pairs), bool)
+    if not len(begin):
+        return found
+    n, m = max(len(d) for d, _, _ in pairs), max(len(i.ids) for _, _, i in pairs)
+    docs, breaks = np.zeros((len(pairs), n), np.uint64), np.zeros((len(pairs), n), bool)
+    passages, ends = np.ones((len(pairs), m + 1), np.uint64), np.zeros((len(pairs), m + 1), bool)
     lengths = np.array([len(i.ids) for _, _, i in pairs])
-    at = np.arange(n)[None, :]
-    score, words, changes, part = (np.zeros((p, n + 1), np.float32) for _ in range(4))  # part: words since the last jump
-    found = np.zeros(p, bool)
-
-    def furthest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Running maximum and the place it comes from."""
-        top = np.maximum.accumulate(values, axis=1)
-        return top, np.maximum.accumulate(np.where(values >= top, at, 0), axis=1)
-
-    for i in range(m):
-        equal = docs == passages[:, i, None]
-        best = score[:, :-1] + np.where(equal, np.float32(1), np.float32(-penalty))
-        above = score[:, 1:] - np.float32(penalty)
-        over = above > best
-        best = np.where(over, above, best)
-        w = np.where(over, words[:, 1:], words[:, :-1]) + 1
-        c = np.where(over, changes[:, 1:], changes[:, :-1]) + (over | ~equal)
-        own = np.where(over, part[:, 1:], part[:, :-1]) + 1
-        top, source = furthest(best + np.float32(penalty) * at)  # words added in the document
-        best = top - np.float32(penalty) * at
-        whole = equal & ~over & (source == at)  # the path ends in a word that is there
-        w, c = np.take_along_axis(w, source, 1), np.take_along_axis(c, source, 1) + (at - source)
-        own = np.take_along_axis(own, source, 1)
-        if i + 1 >= MIN_WORDS:
-            found |= (whole & (best > 0.01) & (own >= MIN_PART) & (w >= MIN_WORDS) & (c <= MAX_CHANGED * w + 1e-4)).any(axis=1) & (i < lengths)
-        if ends[:, i].any():
-            stays, w0, c0, own0 = best, w, c, own
-            for free, cost in ((False, jump_cost + 1), (True, jump_cost)):
-                top, source = furthest(np.where(breaks & (own0 >= MIN_PART), stays, np.float32(-1)) if free else stays)
-                jump = (top - cost > best) & ends[:, i, None] & (breaks | (not free)) & (source < at)
-                best = np.where(jump, top - np.float32(cost), best)
-                w, c = np.where(jump, np.take_along_axis(w0, source, 1), w), np.where(jump, np.take_along_axis(c0, source, 1) + (not free), c)
-                own = np.where(jump, 0 if free else np.take_along_axis(own0, source, 1), own)
-        live = best > 0.01
-        score[:, 1:], words[:, 1:], changes[:, 1:], part[:, 1:] = (np.where(live, x, 0) for x in (best, w, c, own))
+    for r, (doc, stops, item) in enumerate(pairs):
+        docs[r, : len(doc)], breaks[r, : len(doc)], passages[r, : len(item.ids)], ends[r, : len(item.ids)] = doc, stops, item.ids, item.end
+    at = np.arange(n, dtype=np.int16) if n < 1 << 14 else np.arange(n, dtype=np.int32)
+    few, there = np.full((len(owner), n), _FAR, at.dtype), docs[owner]
+    few[there == passages[owner, begin][:, None]] = 0
+    few = np.minimum.accumulate(few - at, axis=1) + at
+    since = np.zeros(len(owner), np.int64)  # words since the last sentence end
+    stayed, jumped = few, np.zeros(len(owner), bool)  # before a jump just made
+    for step in range(1, m):
+        live = (begin + step < lengths[owner]) & ~found[owner] & (few.min(axis=1) <= MAX_CHANGED * lengths[owner])
+        if not live.any():
+            break
+        if not live.all():
+            owner, begin, few, there, since, stayed, jumped = (x[live] for x in (owner, begin, few, there, since, stayed, jumped))
+        i = begin + step
+        equal = there == passages[owner, i][:, None]
+        if step + 1 >= MIN_WORDS:
+            # a jump just made leaves one word after it: too few, so the part must have gone on without it
+            last = np.where(jumped[:, None], stayed, few)[:, :-1]
+            done = (equal[:, 1:] & (last <= MAX_CHANGED * (step + 1) + 1e-6)).any(axis=1)
+            found[owner[done]] = True
+        changed = few + at.dtype.type(1)
+        diagonal = few[:, :-1] + ~equal[:, 1:]
+        changed[:, 1:] = np.minimum(changed[:, 1:], diagonal)
+        few = np.minimum.accumulate(changed - at, axis=1) + at  # words added in the document
+        since += 1
+        stop = ends[owner, i]
+        jumped = stop & (since + 1 >= MIN_PART) & (i + 1 < lengths[owner])
+        stayed = few
+        if jumped.any():
+            best = np.minimum.accumulate(few, axis=1)
+            whole = np.minimum.accumulate(np.where(breaks[owner], few, _FAR), axis=1)
+            over = np.minimum(best[:, :-1] + at.dtype.type(1), np.where(breaks[owner][:, 1:], whole[:, :-1], _FAR))
+            few = few.copy()
+            few[:, 1:] = np.where(jumped[:, None], np.minimum(few[:, 1:], over), few[:, 1:])
+        since[stop] = -1
+        few = np.minimum(few, _FAR)
     return found
 
 
 class LeakFinder:
-    """The items of one block, with the places of their word pairs by hash."""
+    """The items of one block with their rare pairs by hash; built once, then broadcast.
+
+    A pair is the rarer the fewer places it has in the block.  Of the pairs that a part must have in common with a
+    document, only the rarest have postings; all of an item's pairs are counted for the items that these name.
+    """
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self._items = [x for k, p in items if len((x := _Item(k, p)).ids) >= MIN_WORDS]
-        # All items one after the other, so far apart that no window meets two.
-        self._starts = np.cumsum([0, *(len(x.ids) + 2 * REACH for x in self._items)])
-        ends = np.zeros(self._starts[-1] + 2 * REACH, np.int64)
-        hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for start, item in zip(self._starts, self._items):
-            stops = np.isin(np.arange(len(item.ids)), list(item.ends))
-            ends[start : start + len(item.ids) - 1] = stops[:-1]
-            inside = np.flatnonzero(~stops[:-1])  # no pair over a sentence end: foreign text may stand there
-            hashes.append(_kgrams(item.ids, K)[inside])
-            places.append(start + inside)
-        self._ends = np.concatenate((np.zeros(REACH + 1, np.int64), np.cumsum(ends)))  # at x: ends before place x - REACH
-        hashes, places = np.concatenate(hashes), np.concatenate(places)
-        order = np.argsort(hashes, kind="stable")
-        self._prints, self._first = np.unique(hashes[order], return_index=True)
+        pairs = np.concatenate([np.empty(0, np.uint64), *(x.pairs for x in self._items)])
+        _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        common = counts[inverse]
+        # all items one after the other, so far apart that no reach meets two
+        self._starts = np.cumsum([0, *(len(x.ids) + REACH for x in self._items)])
+        places = np.concatenate([np.empty(0, np.int64), *(a + x.places for a, x in zip(self._starts, self._items))])
+        self._needed = np.zeros(self._starts[-1] + 1, np.int16)
+        self._needed[places] = np.concatenate([np.empty(0, np.int64), *(np.minimum(PROBES, x.needed) for x in self._items)])
+        keep, start = np.zeros(len(pairs), bool), 0
+        for x in self._items:
+            keep[start : start + len(x.pairs)] = x.rare(common[start : start + len(x.pairs)])
+            start += len(x.pairs)
+        order = np.argsort(pairs[keep], kind="stable")
+        self._places = places[keep][order]
+        self.prints, self._first = np.unique(pairs[keep][order], return_index=True)
         self._first = np.append(self._first, len(order))
-        self._places = places[order]
 
-    def _candidates(self, text: str) -> list[tuple[np.ndarray, np.ndarray, _Item]]:
-        """(part of the document, its sentence ends, item) of the items that may be in ``text``."""
-        words, breaks = _words_and_breaks(text)
-        ids = _ids(words)
+    def _named(self, grams: np.ndarray) -> np.ndarray:
+        """Items with enough rare pairs within reach among sorted distinct ``grams``."""
+        if not len(grams) or not len(self.prints):
+            return np.empty(0, np.int64)
+        known = np.minimum(np.searchsorted(self.prints, grams), len(self.prints) - 1)
+        known = known[self.prints[known] == grams]
+        counts = self._first[known + 1] - self._first[known]
+        places = np.sort(self._places[np.arange(counts.sum()) + np.repeat(self._first[known] - np.cumsum(counts) + counts, counts)])
+        near = np.searchsorted(places, places + REACH) - np.arange(len(places))
+        return np.unique(np.searchsorted(self._starts, places[near >= self._needed[places]], side="right") - 1)
+
+    def _candidates(self, text: str) -> list[tuple[Pair, list[int]]]:
+        """(part of the document, its sentence ends, item) of the items that may be in ``text``, with likely starts."""
+        plain = _plain(text)
+        ids = _ids(_words(plain))
         grams = _kgrams(ids, K)
-        if not len(grams) or not len(self._prints):
-            return []
-        known = np.minimum(np.searchsorted(self._prints, grams), len(self._prints) - 1)
-        at = np.flatnonzero(self._prints[known] == grams)
-        known, counts = known[at], self._first[known[at] + 1] - self._first[known[at]]
-        # every place of an item that has a pair of the document, and the pair's place there
-        rows = np.repeat(np.arange(len(at)), counts)
-        places = self._places[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self._first[known][rows]]
-        distinct = np.unique(places)
-        near = np.searchsorted(distinct, distinct + REACH) - np.arange(len(distinct))
-        ends = self._ends[distinct + 2 * REACH] - self._ends[distinct + REACH // 2]
-        some = np.unique(np.searchsorted(self._starts, distinct[near >= np.maximum(MIN_PAIRS, PAIRS - ends)], side="right") - 1)
-        if not len(some):
-            return []
-        owner, where = np.searchsorted(self._starts, places, side="right") - 1, at[rows]
-        out = []
-        for i in some.tolist():
-            item, mine = self._items[i], where[owner == i]
-            # outside the pairs' reach in the document nothing can add to a path
-            part = slice(max(0, mine.min() - REACH), mine.max() + K + REACH)
-            there = np.concatenate(([0], np.cumsum(np.isin(item.ids, ids[part]))))
-            if (there[MIN_WORDS:] - there[:-MIN_WORDS]).max() >= MIN_PRESENT:
-                out.append((ids[part], breaks[part], item))
+        distinct, breaks, out = np.unique(grams), None, []
+        named = self._named(distinct).tolist()
+        if named:
+            vocabulary = np.unique(ids)
+            at = np.searchsorted(distinct, grams)
+            first, last = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+            first[at[::-1]], last[at] = np.arange(len(grams))[::-1], np.arange(len(grams))
+        for i in named:
+            item = self._items[i]
+            if not item.may_be_in(vocabulary):
+                continue
+            same = np.minimum(np.searchsorted(distinct, item.pairs), len(distinct) - 1)
+            there = distinct[same] == item.pairs
+            places = item.places[there]
+            near = np.searchsorted(places, places + REACH) - np.arange(len(places))
+            if not (near >= item.needed[there]).any():
+                continue
+            # outside the pairs' reach in the document nothing can add to a part
+            part = slice(max(0, int(first[same[there]].min()) - REACH), int(last[same[there]].max()) + K + REACH)
+            if starts := item.likely_starts(ids[part]):
+                breaks = _breaks(plain) if breaks is None else breaks
+                out.append(((ids[part], breaks[part], item), starts))
         return out
 
     def find(self, texts: list[str]) -> list[list[object]]:
         """For each text the keys of the items that it contains."""
         found: list[list[object]] = [[] for _ in texts]
-        open_ = [(k, *x) for k, text in enumerate(texts) for x in self._candidates(text)]
-        for penalty, jump_cost in PENALTIES:
-            open_.sort(key=lambda x: len(x[1]))
-            left, start = [], 0
-            while start < len(open_):  # pairs of like length, of a bounded number of cells
-                stop = start + 1
-                while stop < len(open_) and (stop - start + 1) * len(open_[stop][1]) <= CELLS:
-                    stop += 1
-                some = open_[start:stop]
-                start = stop
-                for x, yes in zip(some, contains([x[1:] for x in some], penalty, jump_cost), strict=True):
-                    if yes:
-                        found[x[0]].append(x[3].key)
-                    else:
-                        left.append(x)
+        open_ = [(k, pair, starts) for k, text in enumerate(texts) for pair, starts in self._candidates(text)]
+        # the fullest window's start nearly always decides; where it doesn't, every start is tried
+        for first in (True, False):
+            todo = [(k, p, starts[:1] if first else list(range(len(p[2].ids) - MIN_WORDS + 1))) for k, p, starts in open_]
+            order = sorted(range(len(todo)), key=lambda x: len(todo[x][1][0]))
+            left, block, rows = [], [], 0
+            for x in [*order, None]:
+                if block and (x is None or (rows + len(todo[x][2])) * len(todo[x][1][0]) > CELLS):
+                    for y, yes in zip(block, contains([todo[b][1] for b in block], [todo[b][2] for b in block]), strict=True):
+                        if yes:
+                            found[todo[y][0]].append(todo[y][1][2].key)
+                        else:
+                            left.append(open_[y])
+                    block, rows = [], 0
+                if x is not None:
+                    block.append(x)
+                    rows += len(todo[x][2])
             open_ = left
         return found
 
 
+def _with_rare_pairs(corpus: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """The documents with a rare pair of any block's items: one pass, by a bitmap whose size doesn't grow.
+
+    ``known`` has blocks; each sets the bits of its items' rare pairs in turn, so no more than one block is held.
+    """
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for b in range(known.agg(F.max("block")).first()[0] + 1):
+        finder = LeakFinder([(r.item, r.passage) for r in known.filter(F.col("block") == b).select("item", "passage").toLocalIterator()])
+        at = (finder.prints >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    shared = corpus.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = shared.value
+        for batch in batches:
+            keep = []
+            for text in batch["text"]:
+                at = (_kgrams(_ids(words_of(text)), K) >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
+                keep.append(bool((some[at >> 3] >> (at & 7).astype(np.uint8) & 1).any()))
+            yield batch[keep]
+
+    return cut(spread(corpus).mapInPandas(run, f"doc {kind}, text string"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_key, item_key) of each document that contains a passage of an item, fully or in part.
 
@@ -252,20 +387,23 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
     known = items.select(F.col(item_key).alias("item"), F.col(passage).alias("passage")).filter("item is not null and passage is not null").distinct()
     total = known.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    if blocks > 1:
-        known = cut(known.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))))
     corpus = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    if blocks > 1:
+        known = cut(known.withColumn("block", F.pmod(F.xxhash64("item", "passage"), F.lit(blocks))))
+        corpus = _with_rare_pairs(corpus, known, kinds[0])
     out = None
     for b in range(blocks):
         block = known.filter(F.col("block") == b) if blocks > 1 else known
-        shared = spark.sparkContext.broadcast([(r.item, r.passage) for r in block.select("item", "passage").toLocalIterator()])
+        shared = spark.sparkContext.broadcast(LeakFinder([(r.item, r.passage) for r in block.select("item", "passage").toLocalIterator()]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            finder = LeakFinder(shared.value)
             for batch in batches:
-                rows = [(d, i) for d, some in zip(batch["doc"], finder.find(batch["text"].tolist()), strict=True) for i in some]
+                rows = [(d, i) for d, some in zip(batch["doc"], shared.value.find(batch["text"].tolist()), strict=True) for i in some]
                 yield pd.DataFrame(rows, columns=["doc", "item"])
 
         part = spread(corpus).mapInPandas(run, f"doc {kinds[0]}, item {kinds[1]}")
+        if blocks > 1:  # one block after the other: no two are held at once
+            part = cut(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))

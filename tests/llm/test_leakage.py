@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import leakage
-from quillspark.llm.leakage import LeakFinder, leaks, winnowed, words_of
+from quillspark.llm.leakage import LeakFinder, contains, leaks, winnowed, words_of
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("ran", "lim", "tok")]
 DOCS = "doc_id bigint, text string, item_id bigint, passage string, doc string"
@@ -103,3 +103,48 @@ def test_runs_share_a_fingerprint(shared):
         a = rng.sample(WORDS, 20) + run + rng.sample(WORDS, 20)
         b = rng.sample(WORDS, 20) + run + rng.sample(WORDS, 20)
         assert grams(a) & grams(b)
+
+
+def test_alignments_against_every_way(monkeypatch):
+    """Fewest changes by plain recursion over every start and end."""
+    rng = random.Random(12)
+
+    def brute(doc, passage):
+        for a in range(len(passage) - 14):
+            for j0 in (j for j, w in enumerate(doc) if w == passage[a]):
+                best = {j0: 0}
+                for i in range(a + 1, len(passage)):
+                    grown = {}
+                    for j, c in best.items():
+                        for k in range(j + 1, min(len(doc), j + 8)):  # k - j - 1 words added
+                            cost = c + (k - j - 1) + (doc[k] != passage[i])
+                            if doc[k] == passage[i] and i - a + 1 >= 15 and cost <= 0.2 * (i - a + 1) + 1e-9:
+                                return True
+                            grown[k] = min(grown.get(k, 99), cost)
+                        grown[j] = min(grown.get(j, 99), c + 1)  # the passage's word dropped
+                    best = {k: c for k, c in grown.items() if c <= 0.2 * len(passage)}
+        return False
+
+    yes = 0
+    for _ in range(150):
+        words = rng.sample(WORDS, 22)
+        doc = [w for x in words for w in rng.choices([[x], ["zzz"], [], [x, "yyy"]], [8, 1, 1, 1])[0]]
+        expect = brute(doc, words)
+        yes += expect
+        assert _finds(" ".join(words), " ".join(doc)) <= expect
+        item = leakage._Item(1, " ".join(words))
+        ids = leakage._ids(doc)
+        assert contains([(ids, np.ones(len(doc), bool), item)], [list(range(8))])[0] == expect
+    assert 20 < yes < 130
+
+
+def test_long_passages_and_rare_pairs():
+    rng = random.Random(13)
+    passage = _passage(rng, 700)
+    words = words_of(passage)
+    assert _finds(passage, " ".join(words[500:520])) and not _finds(passage, " ".join(words[500:512]))
+    common = [f"of the fee for {a} in {b} is due" for a, b in zip(WORDS, WORDS[1:], strict=False)][:60]
+    items = [(k, " ".join(common[k : k + 3])) for k in range(50)]
+    finder = LeakFinder(items)
+    found = finder.find([p for _, p in items])
+    assert all(k in some for (k, _), some in zip(items, found, strict=True))
