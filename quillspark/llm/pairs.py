@@ -4,21 +4,22 @@ Shortened versions show when responses are sorted: what a response breaks off is
 texts that happen to differ in a name or an amount would never be neighbours, so the closing unit of each response
 (its last sentence or its list) is sorted with names, codes and digits masked: all beginnings of a complete unit
 stand right before it.  A unit that also occurs complete is whole, with or without its full stop.  Where sorting
-knows no longer version, the last two words decide: they must close some complete unit of the corpus.  Lengths at
-which one generator's responses pile up mark a length limit.  Copy, refusal, error and language rules follow.
+knows no longer version, its ending decides: how often its last words end a unit at all, as a share of their
+occurrences, and whether its last word only begins a known one, which sorting the words tells.  Lengths at which one
+generator's responses pile up mark a length limit.  Copy, refusal, error and language rules follow; the language is
+told by characters (:mod:`quillspark.llm.tongues`).
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import regex as re
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.tongues import Tongues, words_of
 from quillspark.llm.unify import plain_text
 from quillspark.tables import cut, spread
 
@@ -39,31 +40,20 @@ REFUSAL = (
     r"|\b(?:context|passages?|sources?|(?:supplied|retrieved|given|provided) text|excerpts?|material)\b.*\b(?:does not|do not|don't|doesn't|lacks?|unrelated|insufficient|silent|nothing|impossible|not mention(?:ed)?|not contain|not possible)\b"
     r"|\bno (?:answer|relevant [a-z]+|information)\b.*\b(?:derived|found|given|available)\b|\bnothing relevant\b|\binsufficient (?:detail|information|context)"
     r"|\b(?:cannot|can't|can not|not) be (?:answered|determined)\b|\bno idea\b|\boutside (?:what i|my|the scope)|\bbeyond my\b"
-    r"|\bas an? (?:ai|assistant|language model)\b|\bi(?:'m| am) (?:only|just|merely) an?\b|\bright for me\b|\b(?:i|something) .*\b(?:refuse|decline)\b|\bnot (?:able|allowed|permitted) to (?:answer|help|discuss)\b"
+    r"|\bas an? (?:ai|assistant|language model)\b|\bi(?:'m| am) (?:only|just|merely) an?\b|\bnot (?:be )?(?:right|appropriate|proper|possible|suitable|safe)\b[^.]*\bfor me\b|\b(?:i|something) .*\b(?:refuse|decline)\b|\bnot (?:able|allowed|permitted) to (?:answer|help|discuss)\b"
 )
 
-# Function words that English text doesn't have.
-FOREIGN_WORDS = {
-    "hi": "hai hain hoga hogi hoge hota hoti hote ho ki ke ka ko se mein aur nahi nahin liye baad kar karke karo karein karna karte karta karenge kiya gaya gayi gaye jata jati jate jayega jayegi jayenge jaye jaiye jao rakhiye rakhein dena dene deni diya dijiye padta padti padega padegi paas pehle phir upar andar milti milta milte milega sirf wapas wala wale wali likha likhi hua hui hue kya kyun kaise kab kahan kitna kitni apna apne apni aapka aapke aap mera yeh woh agar dikhana zaroori lekin toh bhi abhi jab tak saath wahan yahan hi sakte sakta sakti chahiye purana naya aayega aane ruk dekar lautane sambhal baare saaf dinon din",
-    "ta": "irukku irukka irundhaa irundha illa illai venum vendum vendaam pannunga pannanum pannalam panna pannuvanga panniduvanga sollunga sollirukku seyyanum seyya seyyalam aagum aagidum aagalana aana vandhu vandhaa vanganum vaanga vaangalam varum varaikkum mudiyum mudiyaadhu mudiyuma mattum mattumdhaan dhaan pathi pola kudukkanum kudunga kuduthaa kuduthutu kitta naal naalla naalukku mela kizha ulla kaasu thirumba appuram apram munnadi pinnadi enna eppadi epdi eppo enga evlo evvalavu yaar andha indha unga ungalukku ungal enga namma neenga oru rendu moonu rombha konjam kuda kooda endha edhavadhu katta kattanum pottu pottirukku irukkanum podhum venaam illana theriyala",
-    "fr": "le la les une et est sont pour dans du des au aux avec sans qui que ne pas sur cette cet ce votre vous après avant même doit reste faut où être ou frais par plus tout",
-    "de": "der die das den dem des und ist sind nicht für mit ein eine einen einer wird werden sie ihr bei nach von zu zur zum über auf aus auch oder wenn dass noch nur gelten während beträgt",
-    "pt": "o os as uma um é são não para por com sem em da do das dos na no nas nos que após sua seu você ser está ou pelo pela multa até",
-    "es": "el los las una un es son no para por con sin en del de la que después su usted ser está o plazo hasta y al hábiles",
-}
-AMBIGUOUS = set("a an as at die das do du des for he hi in is me no or on par per plus the to um tout con la es de y o sin no en ki ka ho".split())
-ENGLISH_WORDS = "the of is are to for and with within by be can may you your must has have been it this that from at an no not only when after before under any needs need takes applies adds per early but one two three first up out will if while pay pays once who which on in as or yes"
-
-#: A unit that makes up so many whole responses and begins nothing longer is a terse answer.
-MIN_TERSE = 3
-#: Length limit: so many responses of a generator's greatest length, so many times the mean of as many lengths before it.
+# Brackets; one left open breaks off.
+BRACKETS = ("()", "[]", "{}")
+#: Nats by which another language must be likelier than English.
+FOREIGN_MARGIN = 2.0
+#: Last words that end a unit in a lesser share of their occurrences are no ending; the share of the shorter context counts as so many occurrences.
+ENDING_SHARE, BACK_OFF = 0.01, 1.0
+#: Length limit: so many responses of a generator have a length, so many times as many as either side of it has on average, over so many lengths.
 MIN_SPIKE, SPIKE_FACTOR, SPIKE_REACH = 20, 5.0, 10
+#: Share that those at a limit have of all that reach it.
+LIMIT_SHARE = 0.2
 
-
-
-_FOREIGN = [frozenset(w.split()) - AMBIGUOUS for w in FOREIGN_WORDS.values()]
-_ANY_FOREIGN = frozenset().union(*_FOREIGN)
-_ENGLISH = frozenset(ENGLISH_WORDS.split())
 _ERROR = re.compile(ERROR_TEXT, re.I)
 _REFUSAL = re.compile(REFUSAL)
 _APOLOGY = re.compile(r"\W*(?:(?:i'm |i am |we are |we're )?sorry|apologies|my apologies|unfortunately|regrettably)\W*")
@@ -72,11 +62,12 @@ _QUOTED = re.compile("\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^
 _ASKED = re.compile(r"\s*(?:(?:the )?(?:user'?s? )?(?:original )?(?:question|query|you asked|q)(?: was| is)?\s*[:\-]\s*)", re.I)
 _CLOSED = re.compile(r"[.!?।。…؟]['\")\]”’»*]*$")
 _CUT_LOOK = re.compile(r"(?:…|\.\.\.)['\"”’)]*$|(?:^|\n)\s*\d{1,2}[.)]$")
-_DANGLING = re.compile(r"[,;:(\[–—-]$|(?:^|\n)\s*[-*•]$|(?:^|\s)(?:a|an|the|and|or|of|to|with|for|by|in|on|at|from|under|within|into|than|as|but|is|are|was|has|have|be|been|must|may|can|which|that|rs\.?)$", re.I)
+_DANGLING = re.compile(r"[,;:(\[–—-]$|(?:^|\n)\s*[-*•]$")
 _ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])(?:\s|$)")
 _SENTENCE = re.compile(r"(?<=[.!?।。]['\")”’]?)(?<!\b(?:Rs|No|Mr|Ms|Dr)\.) +(?=[\p{Lu}\p{Lo}\"“'])")
+_LETTER, _NATIVE = re.compile(r"\p{L}"), re.compile(r"(?!\p{Latin})\p{L}")
+_NAME = re.compile(r"\p{Lu}[\p{L}'’]+")
 _NOT_LETTERS = re.compile(r"[^\p{L}\p{N}\p{M}]+")
-_NOT_WORDS = re.compile(r"[^\p{L}\p{M}']+")
 _MASKS = [(re.compile(x), y) for x, y in ((r"Rs\.\s*", "rs "), (r"\d", "9"), (r"\b\p{Lu}{2}-(?=9|$)", "@-"), (r"(?<=[\p{Ll}9%,;:.@] )\p{Lu}[\p{L}'’]*(?:[ -]\p{Lu}[\p{L}'’]*)*(?= )", "@"), (r"\s+", " "), (r"[.!?।。]['\")\]”’]*$", ""))]
 
 
@@ -124,32 +115,20 @@ def _is_error(answer: str, letters: str, error: str | None) -> bool:
     return len(key) > 8 and letters.endswith(key) and len(letters) - len(key) < 40
 
 
-def _is_foreign(body: str) -> bool:
-    """Not English, quotations aside: mostly in another script, or with another language's function words."""
-    words = _NOT_WORDS.sub(" ", _QUOTED.sub(" ", body).lower()).split()
-    latin = native = 0
-    for w in words:
-        if w.isascii() or "LATIN" in _script_of(w[0]):
-            latin += len(w)
-        else:
-            native += len(w)
-    if native > latin:
+def _is_foreign(body: str, tongues: Tongues | None) -> bool:
+    """Not English, quotations aside: mostly in another script, or likelier another language by its characters."""
+    said = _QUOTED.sub(" ", body)
+    native = len(_NATIVE.findall(said))
+    if native and 2 * native > len(_LETTER.findall(said)):
         return True
-    if not any(w in _ANY_FOREIGN or not w.isascii() for w in words):
-        return False
-    foreign = max(sum(w in some for w in words) for some in _FOREIGN)
-    english = sum(w in _ENGLISH for w in words)
-    accents = sum(not w.isascii() for w in words)
-    return (foreign >= 2 and foreign >= 0.12 * len(words) and 2 * foreign >= english) or (foreign >= 1 and foreign + accents >= 2 and english == 0)
+    return tongues is not None and tongues.english_margin(words_of(said)) < -FOREIGN_MARGIN
 
 
-@lru_cache(maxsize=1 << 12)
-def _script_of(ch: str) -> str:
-    return unicodedata.name(ch, "")
+def judge(prompt: str | None, other: str | None, raw: str | None, error: str | None, tongues: Tongues | None = None) -> tuple[str | None, str]:
+    """(defect that shows in this row alone, or None; the response without a repeated question before it).
 
-
-def judge(prompt: str | None, other: str | None, raw: str | None, error: str | None) -> tuple[str | None, str]:
-    """(defect that shows in this row alone, or None; the response without a repeated question before it)."""
+    Without ``tongues`` only another script tells another language.
+    """
     answer = (plain_text(raw) or "").replace("’", "'").replace("‘", "'").strip()
     if _is_empty(raw, answer):
         return "empty", ""
@@ -172,33 +151,32 @@ def judge(prompt: str | None, other: str | None, raw: str | None, error: str | N
     parts = [u.lower() for u in units_of(body)[:2]]
     if _REFUSAL.search(parts[0]) or len(parts) > 1 and _APOLOGY.fullmatch(parts[0]) and _REFUSAL.search(parts[1]):
         return "refusal", ""
-    return ("other_language", "") if _is_foreign(body) else (None, body)
+    return ("other_language", "") if _is_foreign(body, tongues) else (None, body)
 
 
-_ROW = "id {key}, generator string, defect string, size int, cut_look boolean, unit string, alone boolean, dangling boolean, whole array<string>"
+_ROW = "id {key}, generator string, defect string, size int, cut_look boolean, unit string, dangling boolean, whole array<string>, names array<string>"
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judged(batches: Iterator[pd.DataFrame], tongues: Tongues | None) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for p, q, a, e in zip(batch["p"], batch["q"], batch["a"], batch["e"], strict=True):
-            defect, body = judge(p, q, a, e)
-            unit, cut_look, dangling, whole = None, False, False, None
-            alone = False
+            defect, body = judge(p, q, a, e, tongues)
+            unit, cut_look, dangling, whole, names = None, False, False, None, None
             if defect is None:
                 text = body.strip()
                 parts = units_of(text)
                 closed = bool(_CLOSED.search(text))
                 cut_look = bool(_CUT_LOOK.search(text))
                 keys = [masked(u) for u in parts]
-                alone = len(parts) == 1
                 if closed or cut_look:
                     whole = keys[:-1] if cut_look else keys
                 else:
-                    unit, dangling = keys[-1], bool(_DANGLING.search(text))
+                    unit, dangling = keys[-1], bool(_DANGLING.search(text)) or any(parts[-1].count(a) > parts[-1].count(b) for a, b in BRACKETS)
                     whole = keys if _ITEM.match(parts[-1]) and not dangling else keys[:-1]
-            rows.append((defect, len(body), cut_look, unit, alone, dangling, whole))
-        out = pd.DataFrame(rows, columns=["defect", "size", "cut_look", "unit", "alone", "dangling", "whole"])
+                names = list({n for u in parts[: len(parts) - (unit is not None)] for n in _NAME.findall(u)})
+            rows.append((defect, len(a or ""), cut_look, unit, dangling, whole, names))
+        out = pd.DataFrame(rows, columns=["defect", "size", "cut_look", "unit", "dangling", "whole", "names"])
         out.insert(0, "id", batch["id"].to_numpy())
         out.insert(1, "generator", batch["generator"].to_numpy())
         yield out
@@ -234,36 +212,86 @@ def _beginnings(keys: DataFrame) -> DataFrame:
     return ordered.mapInPandas(scan, "unit string, shortened boolean")
 
 
-def _truncated(rows: DataFrame) -> DataFrame:
-    """(id) of the rows of :func:`_judged` whose response breaks off."""
-    item = r"^(?:[-*•]|9+[.)])(?: |$)"
-    complete = cut(rows.select(F.explode("whole").alias("unit")).groupBy("unit").agg(F.lit(True).alias("complete")))
+def _endings(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of units (unit, n): how often each pair of words, and each word, occurs, and how often it ends a unit.
+
+    Units are counted before they are taken into words, so what is spread out is one row a distinct unit's word.
+    """
+    words = _last_words(F.col("unit"))
+    long = units.select("n", words.alias("w")).select("n", F.size("w").alias("m"), F.posexplode("w").alias("at", "word"), F.col("w").alias("w"))
+    pairs = long.select("n", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("before"), "word", (F.col("at") == F.col("m") - 1).alias("last"))
+    count = [F.sum("n").alias("seen"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends")]
+    by_pair = cut(pairs.groupBy("before", "word").agg(*count))
+    return by_pair, by_pair.groupBy("word").agg(F.sum("seen").alias("word_seen"), F.sum("ends").alias("word_ends"))
+
+
+def _last_words(unit: Column) -> Column:
+    return F.split(F.regexp_replace(unit, "[,;:]", ""), " ")
+
+
+def _broken(complete: DataFrame, open_units: DataFrame, names: DataFrame) -> DataFrame:
+    """(unit, why) of the open units (unit, n) that break off: ``shortened``, ``part of a word`` or ``no ending``.
+
+    ``complete``: unit, n; ``names``: the words that masking hides.
+    """
     # A list never counts as complete by itself: only a longer one can tell.
-    as_whole = complete.filter(~F.col("unit").rlike(item))
-    openers = rows.filter("unit is not null").select("id", "unit", "alone", "dangling", "generator", "size")
-    open_units = openers.groupBy("unit").agg(F.sum(F.col("alone").cast("int")).alias("alone"))
+    as_whole = complete.filter(~F.col("unit").rlike(_LIST))
     unknown = cut(open_units.join(as_whole.select("unit"), "unit", "left_anti"))
-    beginnings = _beginnings(complete.unionByName(unknown.select("unit", F.lit(False).alias("complete")))).join(unknown, "unit")
-
-    words = F.split(F.regexp_replace("unit", "[,;:]", ""), " ")
-    pair = F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2))
-    items = complete.filter(F.col("unit").rlike(item)).select(F.explode(F.split("unit", r" (?=(?:-|9+[.)]) )")).alias("unit"))
-    closing = as_whole.select(pair.alias("pair")).distinct().unionByName(items.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TERSE).select("pair"))
-    judged = (
-        beginnings.withColumn("pair", pair)
-        .join(closing.distinct().withColumn("closes", F.lit(True)), "pair", "left")
-        .filter(F.col("shortened") | (F.col("closes").isNull() & (F.col("alone") < MIN_TERSE) & ((F.size(words) > 3) | (F.col("alone") == 0))))
-        .select("unit", F.lit(True).alias("broken"))
-    )
+    shortened = _beginnings(complete.select("unit", F.lit(True).alias("complete")).unionByName(unknown.select("unit", F.lit(False).alias("complete"))))
+
+    items = lambda df, stop: df.filter(F.col("unit").rlike(_LIST)).select(F.explode(F.slice(F.split("unit", _NEXT_ITEM), 1, stop)).alias("unit"), "n")
+    closed_items = items(complete, F.greatest(F.size(F.split("unit", _NEXT_ITEM)) - 1, F.lit(1)))
+    known = as_whole.select("unit", "n").unionByName(closed_items).unionByName(open_units.select("unit", "n"))
+    by_pair, by_word = _endings(known.groupBy("unit").agg(F.sum("n").alias("n")))
+    total = by_word.agg(F.sum("word_ends").alias("e"), F.sum("word_seen").alias("s")).first()
+    prior = (total.e or 0) / (total.s or 1)
+
+    last = _last_words(F.col("unit"))
+    open_last = shortened.join(unknown, "unit").select("unit", "n", "shortened", F.element_at(last, -1).alias("word"), F.when(F.size(last) > 1, F.get(last, F.size(last) - 2)).otherwise("").alias("before"))
+    # words that end open units only may be parts of words
+    only_open = open_last.groupBy("word").agg(F.sum("n").alias("open_ends"))
+    words = by_word.join(only_open, "word", "left").select("word", (F.col("word_seen") > F.coalesce("open_ends", F.lit(0))).alias("complete"))
+    words = words.unionByName(names.select("word", F.lit(True).alias("complete"))).groupBy("word").agg(F.bool_or("complete").alias("complete"))
+    # a number may begin any other
+    partial = _beginnings(words.filter(F.col("word").rlike(r"\p{L}$")).select(F.col("word").alias("unit"), "complete")).filter("shortened").select(F.col("unit").alias("word"), F.lit(True).alias("partial"))
+
+    judged = open_last.join(by_pair, ["before", "word"], "left").join(by_word, "word", "left").join(partial, "word", "left")
+    # one occurrence, the unit's own, doesn't count
+    share = lambda ends, seen, shorter: (F.greatest(ends - 1, F.lit(0)) + BACK_OFF * shorter) / (F.greatest(seen - 1, F.lit(0)) + BACK_OFF)
+    by_one = share(F.col("word_ends"), F.col("word_seen"), F.lit(prior))
+    by_two = share(F.col("ends"), F.col("seen"), by_one)
+    why = F.when(F.col("shortened"), "shortened").when(F.col("partial"), "part of a word").when(by_two < ENDING_SHARE, "no ending")
+    return judged.select("unit", why.alias("why")).filter("why is not null")
+
+
+#: How a masked list begins, and where its next item does.
+_LIST, _NEXT_ITEM = r"^(?:[-*•]|9+[.)])(?: |$)", r" (?=(?:[-*•]|9+[.)]) )"
+
+
+def length_limits(rows: DataFrame) -> DataFrame:
+    """(generator, size) at which a generator's responses pile up: many more than at the lengths before and after it.
+
+    A limit cuts off what would be longer: of the responses of that length most are open, and they are no small part
+    of those that reach it.  Longer ones, of runs under another limit, may well be there.
+    """
+    lengths = rows.filter("defect is null").groupBy("generator", "size").agg(F.count("*").alias("n"), F.count("unit").alias("open"))
+    at = Window.partitionBy("generator").orderBy("size")
+    near = lambda a, b: F.coalesce(F.sum("n").over(at.rangeBetween(a, b)), F.lit(0)) / SPIKE_REACH
+    beside = F.greatest(near(-SPIKE_REACH, -1), near(1, SPIKE_REACH))
+    reach = F.sum("n").over(at.rowsBetween(0, Window.unboundedFollowing))
+    seen = lengths.withColumn("beside", beside).withColumn("reach", reach)
+    return seen.filter((F.col("n") >= MIN_SPIKE) & (F.col("n") > SPIKE_FACTOR * F.col("beside")) & (2 * F.col("open") > F.col("n")) & (F.col("n") > LIMIT_SHARE * F.col("reach"))).select("generator", "size")
 
-    at = Window.partitionBy("generator").orderBy("size").rangeBetween(-SPIKE_REACH, -1)
-    lengths = rows.filter("defect is null").groupBy("generator", "size").agg(F.count("*").alias("n"))
-    near = lengths.withColumn("near", F.coalesce(F.sum("n").over(at), F.lit(0)) / SPIKE_REACH)
-    longest = lengths.groupBy("generator").agg(F.max("size").alias("size"))
-    limits = near.join(longest, ["generator", "size"]).filter((F.col("n") >= MIN_SPIKE) & (F.col("n") > SPIKE_FACTOR * F.col("near"))).select("generator", "size", F.lit(True).alias("at_limit"))
 
-    open_rows = openers.join(judged, "unit", "left").join(limits, ["generator", "size"], "left").filter("dangling or broken or at_limit").select("id")
-    return open_rows.unionByName(rows.filter("cut_look").select("id"))
+def _truncated(rows: DataFrame) -> DataFrame:
+    """(id, why) of the rows of :func:`_judged` whose response breaks off."""
+    complete = cut(rows.select(F.explode("whole").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
+    openers = rows.filter("unit is not null").select("id", "unit", "dangling", "generator", "size")
+    broken = _broken(complete, openers.groupBy("unit").agg(F.count("*").alias("n")), rows.select(F.explode("names").alias("word")).distinct())
+    limits = length_limits(rows).withColumn("at_limit", F.lit(True))
+    why = F.coalesce("why", F.when(F.col("dangling"), "open bracket or mark"), F.when(F.col("at_limit"), "length limit"))
+    open_rows = openers.join(broken, "unit", "left").join(limits, ["generator", "size"], "left").select("id", why.alias("why")).filter("why is not null")
+    return open_rows.unionByName(rows.filter("cut_look").select("id", F.lit("ellipsis").alias("why")))
 
 
 def defective_pairs(
@@ -274,14 +302,21 @@ def defective_pairs(
     response: str = "generated_answer",
     error: str = "error",
     generator: str = "generator_model",
+    tongues: Tongues | None = None,
+    with_reason: bool = False,
 ) -> DataFrame:
     """(key, defect) of each row whose response is no proper answer; one defect a row.
 
+    ``tongues`` tells languages by characters; without it only another script does.  ``with_reason`` adds ``why`` a
+    response counts as truncated, null for other defects.
+
     Defects, the first that holds: ``empty``, ``error_text``, ``copied_question``, ``refusal``, ``other_language``,
     ``truncated``.  A null or empty response is ``empty`` whatever the other columns hold; null prompts or errors just
     make no copy or error; repeated rows come out once; an empty table gives no rows; other columns are not read.
     """
     base = df.select(F.col(key).alias("id"), F.coalesce(F.col(generator), F.lit("")).alias("generator"), F.col(prompt).alias("p"), F.col(other_prompt).alias("q"), F.col(response).alias("a"), F.col(error).alias("e"))
-    rows = cut(spread(base).mapInPandas(_judged, _ROW.format(key=df.schema[key].dataType.simpleString())))
-    short = _truncated(rows).select("id", F.lit("truncated").alias("defect"))
-    return rows.filter("defect is not null").select("id", "defect").unionByName(short).select(F.col("id").alias(key), "defect").distinct()
+    shared = df.sparkSession.sparkContext.broadcast(tongues)  # a model of a bounded sample
+    rows = cut(spread(base).mapInPandas(lambda batches: _judged(batches, shared.value), _ROW.format(key=df.schema[key].dataType.simpleString())))
+    alone = rows.filter("defect is not null").select("id", "defect", F.lit(None).cast("string").alias("why"))
+    out = alone.unionByName(_truncated(rows).select("id", F.lit("truncated").alias("defect"), "why")).select(F.col("id").alias(key), "defect", "why")
+    return out.groupBy(key, "defect").agg(F.min("why").alias("why")) if with_reason else out.select(key, "defect").distinct()

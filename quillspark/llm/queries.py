@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import annotators, languages, leakage, mojibake, packing, pairs, splitting, unify
+from quillspark.llm import annotators, languages, leakage, mojibake, packing, pairs, splitting, tongues, unify
 from quillspark.tables import table
 
 QUERY_FIELDS = ["original_query", "normalized_query"]
@@ -44,7 +45,13 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective runs of experiment_results with their defect."""
-    return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"))
+    return pairs.defective_pairs(table(spark, sf_dir, "experiment_results"), tongues=tongues.sampled(table(spark, sf_dir, "documents")))
+
+
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs have which defect, and by what a truncated response was told."""
+    found = pairs.defective_pairs(table(spark, sf_dir, "experiment_results"), tongues=tongues.sampled(table(spark, sf_dir, "documents")), with_reason=True)
+    return found.groupBy("defect", "why").agg(F.count("*").alias("n"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,31 @@
 import pytest
 
-from quillspark.llm.pairs import defective_pairs, judge, masked, units_of
+from pyspark.sql import functions as F
+
+from quillspark.llm import tongues
+from quillspark.llm.pairs import _judged, defective_pairs, judge, length_limits, masked, units_of
 
 SCHEMA = "id bigint, original_query string, normalized_query string, generated_answer string, error string, generator_model string, unit string, defect string"
 
+TEXTS = {
+    "en": "The fee is Rs. 500 and it is collected every month. The warden waives the charge when members apply together. A request for the room goes through the portal and needs an address proof. It is Rs. 500 per day. If the branch is closed, the help desk decides, so the amount remains payable. Sorry for the delay in your case, which is refunded.",
+    "hi-en": "Sirf naye members hi plan mein jud sakte hain. Customers ko fee har mahine deni hoti hai aur scheme ke liye address proof zaroori hai. Room ke liye portal par request karein.",
+    "de": "Die Gebühr beträgt 500 Euro und wird monatlich fällig. Der Antrag wird über das Portal gestellt und benötigt einen Nachweis. Wenn die Filiale geschlossen ist, entscheidet die Zentrale jährlich.",
+    "fr": "Les frais sont prélevés chaque mois. La demande passe par le portail et le dépôt est remboursé après le délai de grâce.",
+}
+MODEL = tongues.learn([(t, lang) for lang, t in TEXTS.items()])
+
+
+def test_languages_by_characters(spark):
+    for text, lang in ((TEXTS["en"], True), ("The warden collects the charge for the room.", True), ("Der Nachweis wird jährlich benötigt.", False), ("Naye customers ke liye fee zaroori hai.", False), ("El plazo de la devolución es de 5 días hábiles.", False)):
+        assert (MODEL.english_margin(tongues.words_of(text)) > 0) == lang, text
+    assert MODEL.english_margin([]) == 0 == tongues.learn([]).english_margin(["la"])
+    assert tongues.words_of("the Tara Max plan AB-12 isn’t new") == ["the", "plan", "isn't", "new"]
+    rows = [(i, t * (1 if i % 2 else 900), lang, "x") for i, (lang, t) in enumerate(list(TEXTS.items()) * 3)] + [(90, None, "en", "x"), (91, "x", None, "x"), (None, "y", "fr", "x")]
+    fitted = tongues.sampled(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, h string"), sample=2)
+    assert set(fitted.names) <= {*TEXTS, "*"} and all(c.total() <= 4 * tongues.SAMPLE_WORDS + 100 for c in fitted.words)
+    assert tongues.sampled(spark.createDataFrame([], "doc_id bigint, text string, lang string")).english_margin(["a"]) == 0
+
 
 @pytest.mark.parametrize(
     ("answer", "error", "defect"),
@@ -18,7 +40,7 @@ SCHEMA = "id bigint, original_query string, normalized_query string, generated_a
     ],
 )
 def test_single_rows(answer, error, defect):
-    assert judge("How much is the fee?", None, answer, error)[0] == defect
+    assert judge("How much is the fee?", None, answer, error, MODEL)[0] == defect
 
 
 def test_units_and_masks():
@@ -30,7 +52,7 @@ def test_truncation_by_neighbours(spark):
     whole = [f"Contact the warden in {p} with reference AB-{n}." for p in ("Oldtown", "Newtown", "Midtown") for n in (1234, 5678)]
     whole += [f"The fee is Rs. {n},000" + ("." if n % 2 else "") for n in range(1, 9)]
     lists = [f"- a slip\n- a form\n- a fee of Rs. {n}" for n in (100, 200, 300, 400)]
-    cut = ["Contact the warden in", "Contact the warden in Oldtown with refer", "The fee is", "- a slip\n- a fo", "Wait for the letter and …", "Bring the slip,"]
+    cut = ["Contact the warden in", "Contact the warden in Oldtown with refer", "The fee is", "- a slip\n- a fo", "Wait for the letter and …", "Bring the slip,", "Go to Oldt", "The fee is Rs. 3,000 (see the"]
     rows = [(i, "q?", None, a, None, "g", None, None) for i, a in enumerate(whole + lists + cut + [None])]
     rows.append(rows[-1])
     found = {r.id: r.defect for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -42,3 +64,28 @@ def test_empty_and_long(spark):
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     long = "The fee is Rs. 5. " * 20_000
     assert defective_pairs(spark.createDataFrame([(1, None, None, long, None, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_terse_answers_whatever_their_number(spark):
+    whole = [f"The {x} of day scholars and {y} is kept by the warden in {z}." for x in ("fee", "card", "slip") for y in ("minors", "traders", "guests") for z in ("Oldtown", "Newtown")]
+    whole += ["Not for guests.", "This is for minors.", "Cards are for day scholars."]
+    for copies in (1, 2, 3, 9):
+        terse = ["Not applicable to day scholars", "Yes"] * copies
+        broken = ["The fee of day scholars and minors is kept by", "The slip of day scholars and traders is"] * copies
+        rows = [(i, "q?", None, a, None, "g", None, None) for i, a in enumerate(whole + terse + broken)]
+        found = {r.id for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert found == set(range(len(whole) + len(terse), len(rows))), copies
+
+
+def test_limits_at_any_length(spark):
+    words = "the warden keeps the card of the guest and the slip for the room in the office near the gate until the letter of the month has come and the desk has seen it".split()
+    texts = [" ".join(words[k % 7 :] + words[: k % 7])[:100] + "." for k in range(30)]
+    at_limit = [(" ".join(words[k % 11 :] * 3))[:200] for k in range(80)]
+    longer = ["The warden keeps " + " ".join(words) + " " + " ".join(words) + "."]
+    judged = lambda some: spark.createDataFrame([(i, "g", None, None, a, None) for i, a in enumerate(some)], "id bigint, generator string, p string, q string, a string, e string").mapInPandas(lambda b: _judged(b, None), ROW)
+    ROW = "id bigint, generator string, defect string, size int, cut_look boolean, unit string, dangling boolean, whole array<string>, names array<string>"  # noqa: N806
+    for some in (at_limit, at_limit + longer, texts + at_limit + longer * 5):
+        assert [tuple(r) for r in length_limits(judged(some)).collect()] == [("g", 200)]
+    assert length_limits(judged(texts + ["Rs. 5,125 per day"] * 60 + longer * 400)).count() == 0
+    reasons = defective_pairs(spark.createDataFrame([(i, "q", None, a, None, "g", None, None) for i, a in enumerate(at_limit)], SCHEMA), with_reason=True)
+    assert reasons.filter(F.col("why").isNull()).count() == 0 and reasons.count() > 70
