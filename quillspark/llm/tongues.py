@@ -15,7 +15,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents sampled a language, and words taken of each, spread over its whole length.
+#: Documents sampled a language, and words taken of each, spread over its whole length (at most twice as many).
 SAMPLE, SAMPLE_WORDS = 400, 300
 #: Characters that a character depends on, and the weight of the shorter context in each step.
 ORDER, BACK_OFF = 3, 2.0
@@ -75,8 +75,7 @@ def learn(rows: list[tuple[str, str]]) -> Tongues:
     """From (text, language) rows."""
     counts: dict[str, Counter[str]] = {}
     for text, lang in sorted(rows):
-        words = words_of(text)
-        counts.setdefault(lang, Counter()).update(words[:: max(1, len(words) // SAMPLE_WORDS)])
+        counts.setdefault(lang, Counter()).update(words_of(text))
     names = sorted(x for x in counts if counts[x])
     pooled = sum((counts[x] for x in names if x != ENGLISH), Counter())
     chains = []
@@ -104,7 +103,11 @@ def sampled(corpus: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         return learn([])
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
     chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    pieces = F.split("text", r"\s+")
-    step = F.greatest(F.lit(1), F.floor(F.size(pieces) / SAMPLE_WORDS).cast("int"))
-    some = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / step).cast("int")), lambda i: F.get(pieces, i * step))
-    return learn([(r[0], r[1]) for r in chosen.select(F.array_join(some, " "), "lang").collect()])
+    spread_out = F.pandas_udf(lambda texts: texts.map(_some_words), "string")
+    return learn([(r[0], r[1]) for r in chosen.select(spread_out("text"), "lang").collect()])
+
+
+def _some_words(text: str) -> str:
+    """At most twice ``SAMPLE_WORDS`` words, at equal distances; short texts are left as they are."""
+    words = text.split()
+    return text if len(words) <= SAMPLE_WORDS else " ".join(words[:: len(words) // SAMPLE_WORDS])
