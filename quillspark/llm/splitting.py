@@ -8,6 +8,7 @@ query over the permissible lengths, whatever they are; the next piece starts ``o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,12 @@ LIMIT, OVERLAP = 500, 100
 NONE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 # Characters that close a clause or a sentence, in the scripts met here.
 CLAUSE_MARKS, SENTENCE_MARKS, CLOSERS = ",;:–—،、", ".!?।॥。？！…", "\"'”’)]}»"
-#: Chunks of a document that are held together; a document of any number of chunks is spread over such buckets.
-BUCKET = 512
+#: Characters indexed at once, and how far back the mark before a boundary may stand.
+BLOCK, LOOK_BACK = 1 << 16, 8
+#: Pieces handed on at once.
+ROWS = 2000
+#: Chunks of a document, by their index, that are ordered together; characters of a text that are stored together, and parts up to which the JVM cuts a text.
+BUCKET, PART, JVM_PARTS = 512, 8192, 16
 
 _BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
@@ -54,7 +59,8 @@ class RangeMax:
 
     def __init__(self, strengths: np.ndarray, longest: int) -> None:
         n = len(strengths)
-        keys = strengths.astype(np.int64) * (n + 1) + np.arange(n)
+        kind = np.int32 if (PARAGRAPH + 1) * (n + 1) < 1 << 31 else np.int64
+        keys = strengths.astype(kind) * kind(n + 1) + np.arange(n, dtype=kind)
         self._n, self._rows = n + 1, [keys]
         width = 1
         while 2 * width <= min(longest, n):
@@ -70,20 +76,49 @@ class RangeMax:
         return strength, at
 
 
+class Splitter:
+    """The index over a text's boundaries, of one block of the text at a time: its memory doesn't grow with the text."""
+
+    def __init__(self, text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> None:
+        self.text, self.limit, self.overlap = text, limit, overlap
+        self._block = max(block, 2 * limit)
+        self._from = self._until = 0
+
+    def strongest(self, lo: int, hi: int) -> tuple[int, int]:
+        """(strength, position) of the strongest boundary in lo..hi-1, at most ``limit`` places; the last of equals."""
+        if not self._from <= lo < hi <= self._until:
+            self._from, self._until = lo, min(len(self.text), lo + self._block)
+            before = max(0, lo - LOOK_BACK)
+            self._table = RangeMax(boundary_strengths(self.text[before : self._until])[lo - before :], self.limit)
+        strength, at = self._table.query(lo - self._from, hi - self._from)
+        return strength, at + self._from
+
+    def cut(self, start: int) -> int:
+        """End of the piece that begins at ``start``."""
+        if len(self.text) - start <= self.limit:
+            return len(self.text)
+        strength, at = self.strongest(start + self.overlap, start + self.limit)
+        return at + 1 if strength > NONE else start + self.limit
+
+    def permits(self, start: int, end: int) -> bool:
+        """May a piece that begins at ``start`` end at ``end``, short of the text's end: at a boundary, or anywhere if its window has none?"""
+        lo, hi = start + self.overlap, min(start + self.limit, len(self.text))
+        return lo >= hi or self.strongest(lo, hi)[0] == NONE or self.strongest(end - 1, end)[0] > NONE
+
+    def __iter__(self) -> Iterator[tuple[int, int, str]]:
+        """(start, end, stripped text) of the pieces, one after the other; '' has none."""
+        start, n = 0, len(self.text)
+        while n:
+            end = self.cut(start)
+            yield start, end, self.text[start:end].strip()
+            if end == n:
+                return
+            start = end - self.overlap
+
+
 def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, stripped text) of the pieces of ``text``; '' has none."""
-    n = len(text)
-    if n <= limit:
-        return [(0, n, text.strip())] if text else []
-    table = RangeMax(boundary_strengths(text), limit - overlap)
-    out, start = [], 0
-    while n - start > limit:
-        strength, at = table.query(start + overlap, start + limit)
-        end = at + 1 if strength > NONE else start + limit
-        out.append((start, end, text[start:end].strip()))
-        start = end - overlap
-    out.append((start, n, text[start:].strip()))
-    return out
+    return list(Splitter(text, limit, overlap))
 
 
 def _check(limit: int, overlap: int) -> None:
@@ -92,79 +127,95 @@ def _check(limit: int, overlap: int) -> None:
 
 
 def _latest(docs: DataFrame, key: str, text: str, stamp: str | None) -> DataFrame:
-    """One row a document: the text ingested last."""
-    newest = F.max_by(F.coalesce(text, F.lit("")), F.struct(F.col(stamp) if stamp else F.lit(0), F.coalesce(text, F.lit(""))))
-    return docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("document")).agg(newest.alias("text"))
+    """One row a document: the text ingested last, of several the greatest."""
+    newest = F.max(F.struct(F.col(stamp) if stamp else F.lit(0), F.coalesce(text, F.lit("")).alias("text")))
+    return docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("document")).agg(newest.alias("x")).select("document", "x.text")
 
 
 def split_documents(docs: DataFrame, key: str = "document_id", text: str = "text", stamp: str | None = "ingestion_timestamp", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """key, chunk_index, chunk_text, char_start, char_end: the pieces of every document's whole text.
 
     A document ingested several times is cut once, in its latest text; rows without a key are dropped; null and empty
-    texts have no pieces; a text of any length streams piece by piece; an empty table gives no rows; other columns,
-    whatever their names, are not read.
+    texts have no pieces; of a text of any length, one block is indexed and ``ROWS`` pieces are held at a time; an empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     _check(limit, overlap)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, piece, a, b) for d, t in zip(batch["document"], batch["text"], strict=True) for i, (a, b, piece) in enumerate(pieces_of(t, limit, overlap))]
-            yield pd.DataFrame(rows, columns=["document", "chunk_index", "chunk_text", "char_start", "char_end"])
+            made = ((d, i, piece, a, b) for d, t in zip(batch["document"], batch["text"], strict=True) for i, (a, b, piece) in enumerate(Splitter(t, limit, overlap)))
+            while some := list(islice(made, ROWS)):
+                yield pd.DataFrame(some, columns=["document", "chunk_index", "chunk_text", "char_start", "char_end"])
 
     return _latest(docs, key, text, stamp).mapInPandas(run, f"document {kind}, chunk_index int, chunk_text string, char_start int, char_end int").withColumnRenamed("document", key)
 
 
+def _parts(texts: DataFrame, limit: int) -> DataFrame:
+    """document, part, n, piece: every text in parts of ``PART`` characters, each with ``limit`` more; n is the text's length.
+
+    Texts of few parts are cut in the JVM, whose ``substring`` counts from the text's beginning; longer ones in Python.
+    """
+    kind = texts.schema["document"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cut = ((d, k, len(t), t[k * PART : (k + 1) * PART + limit]) for d, t in zip(batch["document"], batch["text"], strict=True) for k in range(-(-len(t) // PART)))
+            while some := list(islice(cut, ROWS // 8)):
+                yield pd.DataFrame(some, columns=["document", "part", "n", "piece"])
+
+    size = F.length("text")
+    one = texts.filter(size <= PART).select("document", F.lit(0).alias("part"), size.alias("n"), F.col("text").alias("piece"))
+    few = texts.filter((size > PART) & (size <= JVM_PARTS * PART)).select("document", "text", size.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / PART).cast("int"))).alias("part"))
+    few = few.select("document", "part", "n", F.substring("text", F.col("part") * PART + 1, F.lit(PART + limit)).alias("piece"))
+    return one.unionByName(few).unionByName(texts.filter(size > JVM_PARTS * PART).mapInPandas(run, f"document {kind}, part int, n int, piece string"))
+
+
 def audit_chunks(chunks: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """document_id, chunk_index of each stored chunk that isn't a valid piece; index -1 for a document without chunks.
 
-    The cut of a chunk is compared with the strongest boundary that the sparse table finds in its permissible range.
+    The end of a chunk is held against the splitter's index over the boundaries of its permissible range.  Texts are
+    shuffled once, in parts; a chunk meets the part in which it begins and takes its own 500 characters from it.
     Exact repeats of a chunk count once; a chunk with a null, or of an unknown document, is not valid; several chunks
     of one index follow each other by their start; rows without a document id are dropped; empty tables give no
     rows, or -1 for every document; other columns are not read.
     """
     _check(limit, overlap)
-    part = F.floor(F.coalesce("chunk_index", F.lit(0)) / BUCKET)
     stored = chunks.filter("document_id is not null").select("document_id", "chunk_index", "chunk_text", "char_start", "char_end").distinct()
-    # Long documents are spread over buckets; a bucket needs no more of the others than the end before it and the last index.
-    held = stored.groupBy("document_id", part.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "char_start", "char_end", "chunk_text"))).alias("held"))
-    order = Window.partitionBy("document_id").orderBy("bucket")
-    edges = held.select("document_id", "bucket", F.element_at("held", -1)["char_end"].alias("end")).select("document_id", "bucket", F.lag("end").over(order).alias("before"), F.lag("bucket").over(order).isNull().alias("first"), F.lead("bucket").over(order).isNull().alias("last"))
-    texts = _latest(docs, "document_id", "text", "ingestion_timestamp").withColumnRenamed("document", "document_id")
-    rows = texts.join(held.join(edges, ["document_id", "bucket"]), "document_id", "full")
-
-    def faults(text: str | None, held: list[dict], before: float | None, first: bool, last: bool) -> list[int | None]:
-        if text is None:
-            return [c["chunk_index"] for c in held]
-        table = strengths = None
-        out = []
-        for k, c in enumerate(held):
-            a, b, piece = c["char_start"], c["char_end"], c["chunk_text"]
-            previous = before if k == 0 else held[k - 1]["char_end"]
-            opening = first and k == 0
-            good = a is not None and b is not None and piece is not None and c["chunk_index"] is not None
-            good = good and 0 <= a < b <= len(text) and b - a <= limit and len(piece) <= limit and piece == text[a:b].strip()
-            good = good and (a == 0 if opening else previous is not None and a == previous - overlap)
-            good = good and (not (last and k == len(held) - 1) or b == len(text))
-            if good and b != len(text):
-                if table is None:
-                    strengths = boundary_strengths(text)
-                    table = RangeMax(strengths, limit - overlap)
-                lo, hi = a + overlap, min(a + limit, len(text))
-                good = lo >= hi or table.query(lo, hi)[0] == NONE or strengths[b - 1] > NONE
-            if not good:
-                out.append(c["chunk_index"])
-        return out
+    stored = stored.withColumn("bucket", F.floor(F.coalesce("chunk_index", F.lit(0)) / BUCKET))
+    # Long documents are spread over buckets; a bucket needs no more of the others than the end before it.
+    inside = Window.partitionBy("document_id", "bucket").orderBy(F.col("chunk_index").asc_nulls_first(), F.col("char_start").asc_nulls_first(), F.col("char_end").asc_nulls_first(), F.col("chunk_text").asc_nulls_first())
+    ordered = stored.withColumn("rank", F.row_number().over(inside)).withColumn("previous", F.lag("char_end").over(inside)).withColumn("following", F.lead("bucket").over(inside))
+    at = Window.partitionBy("document_id").orderBy("bucket")
+    ends = ordered.filter("following is null").select("document_id", "bucket", "char_end")
+    edges = ends.select("document_id", "bucket", F.lag("char_end").over(at).alias("before"), F.lag("bucket").over(at).isNull().alias("first"), F.lead("bucket").over(at).isNull().alias("last"))
+    opens, closes = (F.col("rank") == 1) & F.col("first"), F.col("following").isNull() & F.col("last")
+    rows = ordered.join(edges, ["document_id", "bucket"]).withColumn("previous", F.when(F.col("rank") == 1, F.col("before")).otherwise(F.col("previous")))
+    rows = rows.select("document_id", "chunk_index", "chunk_text", "char_start", "char_end", "previous", opens.alias("opens"), closes.alias("closes"), F.floor(F.coalesce("char_start", F.lit(-1)) / PART).cast("int").alias("part"))
+
+    texts = _latest(docs, "document_id", "text", "ingestion_timestamp")
+    parts = _parts(texts, limit).withColumnRenamed("document", "document_id")
+    own = F.substring("piece", F.col("char_start") - F.col("part") * PART + 1, F.lit(limit))
+    met = rows.join(parts, ["document_id", "part"], "left").select("document_id", "chunk_index", "chunk_text", "char_start", "char_end", "previous", "opens", "closes", "n", own.alias("own"))
+
+    def good(text: str | None, a: float, b: float, own_text: str | None, n: float, previous: float, opens: bool, closes: bool) -> bool:
+        if text is None or own_text is None or a != a or b != b:
+            return False
+        a, b, n = int(a), int(b), int(n)
+        if not (0 <= a < b <= n and b - a <= limit and len(text) <= limit and text == own_text[: b - a].strip()):
+            return False
+        if a != (0 if opens else previous - overlap) or closes and b != n:
+            return False
+        return b == n or Splitter(own_text, limit, overlap).permits(0, b - a)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for d, t, h, before, first, last in zip(batch["document_id"], batch["text"], batch["held"], batch["before"], batch["first"], batch["last"], strict=True):
-                if h is None:
-                    found.append((d, -1))
-                else:
-                    found += [(d, i) for i in faults(t, h, None if pd.isna(before) else int(before), bool(first), bool(last))]
-            yield pd.DataFrame({"document_id": [f[0] for f in found], "chunk_index": pd.array([f[1] for f in found], dtype="Int32")})
+            columns = (batch[c] for c in ("chunk_text", "char_start", "char_end", "own", "n", "previous", "opens", "closes"))
+            numbered = batch["chunk_index"].notna()
+            keep = [not (known and good(*row)) for known, row in zip(numbered, zip(*columns, strict=True), strict=True)]
+            out = batch.loc[keep, ["document_id", "chunk_index"]]
+            yield out.assign(chunk_index=out["chunk_index"].astype("Int32"))
 
     kind = docs.schema["document_id"].dataType.simpleString()
-    return rows.select("document_id", "text", "held", "before", "first", "last").mapInPandas(run, f"document_id {kind}, chunk_index int")
+    bare = texts.select(F.col("document").alias("document_id")).join(stored.select("document_id"), "document_id", "left_anti").select("document_id", F.lit(-1).alias("chunk_index"))
+    return met.mapInPandas(run, f"document_id {kind}, chunk_index int").unionByName(bare)
