@@ -100,9 +100,12 @@ class Splitter:
         strength, at = self.strongest(start + self.overlap, start + self.limit)
         return at + 1 if strength > NONE else start + self.limit
 
-    def permits(self, start: int, end: int) -> bool:
-        """May a piece that begins at ``start`` end at ``end``, short of the text's end: at a boundary, or anywhere if its window has none?"""
-        lo, hi = start + self.overlap, min(start + self.limit, len(self.text))
+    def permits(self, start: int, end: int, until: int | None = None) -> bool:
+        """May a piece that begins at ``start`` end at ``end``, short of the text's end: at a boundary, or anywhere if its window has none?
+
+        ``until``: where the text that ``start`` belongs to ends, if that is before the end of all text.
+        """
+        lo, hi = start + self.overlap, min(start + self.limit, len(self.text) if until is None else until)
         return lo >= hi or self.strongest(lo, hi)[0] == NONE or self.strongest(end - 1, end)[0] > NONE
 
     def __iter__(self) -> Iterator[tuple[int, int, str]]:
@@ -198,22 +201,27 @@ def audit_chunks(chunks: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap
     own = F.substring("piece", F.col("char_start") - F.col("part") * PART + 1, F.lit(limit))
     met = rows.join(parts, ["document_id", "part"], "left").select("document_id", "chunk_index", "chunk_text", "char_start", "char_end", "previous", "opens", "closes", "n", own.alias("own"))
 
-    def good(text: str | None, a: float, b: float, own_text: str | None, n: float, previous: float, opens: bool, closes: bool) -> bool:
+    def in_place(text: str | None, a: float, b: float, own_text: str | None, n: float, previous: float, opens: bool, closes: bool) -> bool:
         if text is None or own_text is None or a != a or b != b:
             return False
-        a, b, n = int(a), int(b), int(n)
+        a, b = int(a), int(b)
         if not (0 <= a < b <= n and b - a <= limit and len(text) <= limit and text == own_text[: b - a].strip()):
             return False
-        if a != (0 if opens else previous - overlap) or closes and b != n:
-            return False
-        return b == n or Splitter(own_text, limit, overlap).permits(0, b - a)
+        return a == (0 if opens else previous - overlap) and (not closes or b == n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        apart = "x" * LOOK_BACK
         for batch in batches:
             columns = (batch[c] for c in ("chunk_text", "char_start", "char_end", "own", "n", "previous", "opens", "closes"))
-            numbered = batch["chunk_index"].notna()
-            keep = [not (known and good(*row)) for known, row in zip(numbered, zip(*columns, strict=True), strict=True)]
-            out = batch.loc[keep, ["document_id", "chunk_index"]]
+            good = [known and in_place(*row) for known, row in zip(batch["chunk_index"].notna(), zip(*columns, strict=True), strict=True)]
+            # one index over the own texts of all chunks of the batch
+            asked = [k for k, (fine, b, n) in enumerate(zip(good, batch["char_end"], batch["n"], strict=True)) if fine and b != n]
+            texts = batch["own"].to_numpy()[asked]
+            splitter, at = Splitter(apart.join(texts), limit, overlap), 0
+            for k, text, size in zip(asked, texts, (batch["char_end"] - batch["char_start"]).to_numpy()[asked], strict=True):
+                good[k] = splitter.permits(at, at + int(size), at + len(text))
+                at += len(text) + LOOK_BACK
+            out = batch.loc[[not fine for fine in good], ["document_id", "chunk_index"]]
             yield out.assign(chunk_index=out["chunk_index"].astype("Int32"))
 
     kind = docs.schema["document_id"].dataType.simpleString()
