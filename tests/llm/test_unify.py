@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.unify import disguised_values, equal_looking, is_disguised, plain_text, unify_values
+from quillspark.llm.unify import LOOKALIKES, WITHIN_WORDS, disguised_values, equal_looking, is_disguised, plain_text, unify_values
 
 SCHEMA = "id bigint, original_query string, normalized_query string, value string, field string"
 
@@ -19,6 +19,14 @@ def test_true_words_of_other_scripts_stay():
         assert plain_text(text) == text and not is_disguised(text)
 
 
+def test_probes_of_many_scripts():
+    for odd, plain in (("Ꭲicket", "Ticket"), ("ⲟpen", "open"), ("ꓐank", "Bank"), ("Ьank", "bank"), ("ωeb", "web"), ("ѵan", "van"), ("Ꮪave", "Save"), ("тown", "town"), ("ɑccount", "account"), ("ոame", "name"), ("pаcкet", "packet"), ("ɡoʟd", "gold")):
+        assert plain_text(f"my {odd} here") == f"my {plain} here" and is_disguised(odd)
+    for true in ("тест", "loanக்கு", "東京タワー駅", "한국어와漢字", "yarın", "5 µm", "naïve", "тон", "Straße", "the word мир here"):
+        assert plain_text(true) == true and not is_disguised(true), true
+    assert sum(map(len, [*LOOKALIKES.values(), *WITHIN_WORDS.values()])) <= 200
+
+
 def test_borrowed_letters_go_to_the_words_script():
     assert plain_text("the 'Рaдугa' tariff") == "the 'Радуга' tariff"
     assert plain_text("lоаn іѕ") == "loan is"
