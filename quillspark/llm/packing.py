@@ -2,8 +2,8 @@
 
 Best-fit decreasing: texts from long to short, each into the open container with the least room that still holds it.
 A segment tree over remaining capacities finds that container in logarithmic time.  Texts are packed in groups of a
-bounded number of items, by a hash of their key, so any number of groups runs side by side; what each group leaves
-badly filled is packed once more across groups.
+bounded number of items, by a hash, so any number of groups runs side by side; the items of the containers that each
+group leaves badly filled are taken out and packed once more across groups.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ CAPACITY = 2048
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer takes text apart before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Items packed by one task.
-GROUP = 20_000
+#: Items packed by one task, and the most bytes of a vocabulary that are broadcast.
+GROUP, VOCABULARY_BYTES = 20_000, 64 << 20
 #: A container under this share is packed again with those of other groups.
 WELL_FILLED = 0.98
 
@@ -91,7 +91,10 @@ def best_fit_decreasing(sizes: list[int], capacity: int = CAPACITY) -> list[int]
 def token_items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """key, part, token_start, token_end: one item a text, several for a text of more than ``capacity`` tokens."""
     with open(f"{tokenizers}/{vocabulary}", "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: the file's size, under 2 MB
+        ranks = f.read(VOCABULARY_BYTES + 1)
+    if len(ranks) > VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY_BYTES} bytes: {vocabulary}")
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,37 +109,40 @@ def token_items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
     return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(run, f"key {kind}, part int, token_start bigint, token_end bigint")
 
 
-def _packed(items: DataFrame, count: int, capacity: int, columns: str) -> DataFrame:
-    """``items`` (with ``size`` and the columns named) packed in groups: adds grp, bin."""
+def _packed(items: DataFrame, count: int, capacity: int) -> DataFrame:
+    """``items`` (row, size) packed in groups by the hash of their row number: row, size, grp, bin."""
     groups = max(1, math.ceil(count / GROUP))
-    names = [c.split(" ")[0] for c in columns.split(", ")]
-    salted = items.withColumn("grp", F.pmod(F.xxhash64(*names[:2]), F.lit(groups)))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", *names[:2]], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["size", "row"], ascending=[False, True], kind="stable")
         rows["bin"] = best_fit_decreasing(rows["size"].tolist(), capacity)
-        return rows[[*names, "size", "grp", "bin"]]
+        return rows[["row", "size", "grp", "bin"]]
 
-    return salted.groupBy("grp").applyInPandas(pack, f"{columns}, size bigint, grp bigint, bin bigint")
+    return items.select("row", "size", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp")).groupBy("grp").applyInPandas(pack, "row bigint, size bigint, grp bigint, bin bigint")
 
 
 def containers(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """key, part, token_start, token_end, container: the place of every text, or of each part of an oversized one.
 
     A text is split only if it alone exceeds ``capacity``, into full parts and a rest.  Null and empty texts are items
-    of no tokens; equal keys are items of their own; ties in size go by key; an empty table gives no rows; other
-    columns are not read.
+    of no tokens; equal and null keys are items of their own; ties in size go by the order of the rows; an empty table
+    gives no rows; other columns are not read.
     """
     if capacity <= 0:
         raise ValueError(f"capacity must be positive: {capacity}")
-    kind = df.schema[key].dataType.simpleString()
-    items = cut(token_items(df, key, text, capacity, tokenizers, vocabulary, pattern).withColumn("size", F.col("token_end") - F.col("token_start")))
-    first = cut(_packed(items, items.count(), capacity, f"key {kind}, part int, token_start bigint, token_end bigint"))
-    loose = first.groupBy("grp", "bin").agg(F.sum("size").alias("size")).filter(F.col("size") < WELL_FILLED * capacity)
-    again = _packed(loose.withColumnsRenamed({"grp": "old_grp", "bin": "old_bin"}), loose.count(), capacity, "old_grp bigint, old_bin bigint")
-    moved = again.select(F.col("old_grp").alias("grp"), F.col("old_bin").alias("bin"), F.concat(F.lit("r"), F.col("grp"), F.lit("-"), F.col("bin")).alias("moved"))
-    own = F.concat(F.lit("g"), F.col("grp"), F.lit("-"), F.col("bin"))
-    return first.join(moved, ["grp", "bin"], "left").select(F.col("key").alias(key), "part", "token_start", "token_end", F.coalesce("moved", own).alias("container"))
+    made = token_items(df, key, text, capacity, tokenizers, vocabulary, pattern).withColumn("size", F.col("token_end") - F.col("token_start"))
+    items = cut(made.withColumn("row", F.monotonically_increasing_id()))  # written: numbers stay as they are
+    placed = lambda rows, mark: rows.select("row", F.concat(F.lit(mark), F.col("grp"), F.lit("-"), F.col("bin")).alias("container"))
+    n = items.count()
+    first = _packed(items, n, capacity)
+    if n <= GROUP:  # one group: nothing to mend across groups
+        places = placed(first, "g")
+    else:
+        first = cut(first)
+        loose = first.groupBy("grp", "bin").agg(F.sum("size").alias("held")).filter(F.col("held") < WELL_FILLED * capacity).select("grp", "bin")
+        again = cut(first.join(loose, ["grp", "bin"], "left_semi").select("row", "size"))
+        places = placed(first.join(loose, ["grp", "bin"], "left_anti"), "g").unionByName(placed(_packed(again, again.count(), capacity), "r"))
+    return items.join(places, "row").select(F.col("key").alias(key), "part", "token_start", "token_end", "container")
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

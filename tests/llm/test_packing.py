@@ -65,7 +65,23 @@ def test_every_text_has_its_place(spark):
 
 @needs_vocabulary
 def test_groups_are_merged(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "word " * (1 + i * 7 % 97), 0, 0, 0, 0, "x") for i in range(1200)], SCHEMA)
+    one = fill(containers(df, capacity=256), 256).first()
+    monkeypatch.setattr(packing, "GROUP", 200)
+    six = fill(containers(df, capacity=256), 256).first()
+    assert six.tokens == one.tokens and one.containers <= six.containers <= one.containers + 2
+
+
+@needs_vocabulary
+def test_null_keys_are_spread_and_vocabularies_bounded(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 10)
-    df = spark.createDataFrame([(i, "word " * (1 + i % 37), 0, 0, 0, 0, "x") for i in range(200)], SCHEMA)
-    stats = fill(containers(df, capacity=256), 256).first()
-    assert stats.containers <= stats.fewest + 3
+    df = spark.createDataFrame([(None, "word " * (1 + i % 37), 0, 0, 0, 0, "x") for i in range(120)], SCHEMA)
+    rows = containers(df, capacity=64).collect()
+    assert len(rows) == 120 and all(r.doc_id is None for r in rows)
+    used: dict[str, int] = {}
+    for r in rows:
+        used[r.container] = used.get(r.container, 0) + r.token_end - r.token_start
+    assert max(used.values()) <= 64 and len({c.split("-")[0] for c in used}) > 3
+    monkeypatch.setattr(packing, "VOCABULARY_BYTES", 10)
+    with pytest.raises(ValueError):
+        containers(df)
