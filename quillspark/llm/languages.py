@@ -107,6 +107,25 @@ def _marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, allow
     return gamma, expected
 
 
+def _log_total(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, labels: list[int]) -> np.ndarray:
+    """Logarithm of the total weight of the paths through ``labels`` alone."""
+    s, m = scores[:, :, labels], moves[np.ix_(labels, labels)]
+    a = s[:, 0]
+    for i in range(1, s.shape[1]):
+        x = a[:, :, None] + m[None]
+        top = x.max(axis=1)
+        a = np.where((i < lengths)[:, None], np.log(np.exp(x - top[:, None]).sum(axis=1)) + top + s[:, i], a)
+    top = a.max(axis=1)
+    return np.log(np.exp(a - top[:, None]).sum(axis=1)) + top
+
+
+def _posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """(B, K): probability that all words are English, that some are Tamil and none Hindi, that some are Hindi and none Tamil."""
+    every = _log_total(scores, lengths, moves, list(range(_K)))
+    english, *mixes = (np.exp(np.minimum(0.0, _log_total(scores, lengths, moves, labels) - every)) for labels in ([0], [0, 1], [0, 2]))
+    return np.stack([english, *(np.maximum(0.0, x - english) for x in mixes)], axis=1)
+
+
 def _words(sentence: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(sentence)]
 
@@ -132,7 +151,11 @@ class Tagger:
         return s
 
     def sentences(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
-        """(sentence, language, confidence) of each sentence of each text."""
+        """(sentence, language, confidence) of each sentence of each text.
+
+        The confidence is the model's posterior of the language: the share of all paths that has words of it, and
+        English ones, but none of the other; of a sentence wholly in one native script, which leaves no choice, 1.
+        """
         out: list[list[tuple[str, str, float]]] = [[] for _ in texts]
         work = []
         for k, text in enumerate(texts):
@@ -151,10 +174,13 @@ class Tagger:
             scores = np.zeros((len(some), some[-1][0], _K))
             for row, x in enumerate(some):
                 scores[row, : x[0]] = [self._score(w) for w in x[4]]
-            gamma, _ = _marginals(scores, np.array([x[0] for x in some]), self.moves)
+            lengths = np.array([x[0] for x in some])
+            gamma, _ = _marginals(scores, lengths, self.moves)
+            sure = _posteriors(scores, lengths, self.moves)
             for row, x in enumerate(some):
                 english = sum(self.lexicon.get(w) == f"lexicon {ENGLISH}" for w in x[4])
-                found[x[1]] = _language(x[3], gamma[row, : x[0]], english)
+                language = _language(x[3], gamma[row, : x[0]], english)
+                found[x[1]] = language, float(sure[row, LABELS.index(language)]) if language in LABELS else 1.0
         for _, place, k, sentence, _ in sorted(work, key=lambda x: x[1]):
             out[k].append((sentence, *found[place]))
         return out
@@ -173,21 +199,21 @@ class Tagger:
         return out
 
 
-def _language(sentence: str, gamma: np.ndarray, english: int) -> tuple[str, float]:
-    """Language of a sentence and confidence, from the marginals of its words.
+def _language(sentence: str, gamma: np.ndarray, english: int) -> str:
+    """Language of a sentence, from the marginals of its words.
 
     ``english``: its words that only English texts have.  They outweigh fewer words of another language, such as an
-    abbreviation that looks like one.
+    abbreviation that looks like one; the confidence, which is the posterior of the language, is low then.
     """
     script = _native(sentence)
     if script and not re.search(r"\p{IsLatin}", _CODE.sub(" ", sentence)):
-        return script, 1.0
+        return script
     most, total = gamma.max(axis=0), gamma.sum(axis=0)
     mix = 1 if script == TAMIL else 2 if script == HINDI else 1 + int(total[2] > total[1])
     share = total[mix] / (total[mix] + english) if english else 1.0
     if script is None and (most[1:].max() < 0.5 or share < 0.45):
-        return ENGLISH, float(max(1 - most[1:].max(), 1 - share))
-    return LABELS[mix], max(0.5, float(most[mix] * share * total[mix] / max(total[1] + total[2], 1e-9)))
+        return ENGLISH
+    return LABELS[mix]
 
 
 def _with_lexicon(word: str, lexicon: dict[str, str]) -> list[str]:
@@ -294,15 +320,18 @@ def train(rows: list[tuple[str, str]]) -> Tagger:
 
 
 def training_rows(runs: DataFrame, questions: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts: of the runs by label, of the questions by column."""
+    """A sample of labelled texts bounded by ``sample``: of the runs by label, of the questions by column; texts of many words are left out.
+
+    So many characters hold more than ``MAX_WORDS`` words that the fit would leave the text out.
+    """
     long = questions.select(F.coalesce(F.col("question_id").cast("string"), F.lit("")).alias("k"), F.explode(F.array(*(F.struct(F.col(c).alias("text"), F.lit(c).alias("label")) for c in LABELS))).alias("x")).select("k", "x.text", "x.label", F.lit("question").alias("source"))
-    rows = long.unionByName(runs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("original_query").alias("text"), F.col("language").alias("label"), F.lit("run").alias("source"))).filter(F.col("label").isin(*LABELS) & F.col("text").isNotNull())
+    rows = long.unionByName(runs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("original_query").alias("text"), F.col("language").alias("label"), F.lit("run").alias("source"))).filter(F.col("label").isin(*LABELS) & F.col("text").isNotNull() & (F.length("text") <= 20 * MAX_WORDS))
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("source", "label").count().collect()}
     if not counts:
         return []
     share = F.create_map(*(x for (s, y), n in counts.items() for x in (F.lit(f"{s} {y}"), F.lit(min(1.0, sample / n)))))
     chosen = rows.filter(F.pmod(F.xxhash64("k", "source"), F.lit(1_000_003)) < share[F.concat_ws(" ", "source", "label")] * 1_000_003)
-    return [(r[1], r[2]) for r in sorted(chosen.select("k", "text", "label").limit(2 * sample * len(counts)).collect())]
+    return [(r[1], r[2]) for r in sorted(chosen.select("k", "text", "label").collect())]
 
 
 def _of_text(segments: list[tuple[str, float, str]]) -> tuple[str, float]:
