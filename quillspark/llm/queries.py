@@ -40,7 +40,7 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Krippendorff's alpha of decisions and of scores."""
-    return annotators.krippendorff(annotators.review_labels(table(spark, sf_dir, "human_query_review_sheet")))
+    return annotators.krippendorff(annotators.review_labels(table(spark, sf_dir, "human_query_review_sheet"))).withColumn("alpha", F.round("alpha", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +117,30 @@ select document_id, -1 from d where document_id not in (select document_id from
 """
 
 
+P2_AGREEMENT = r"""
+with s as (select distinct * from human_query_review_sheet),
+l as (
+  select question_id || '|' || language_variant as item, unnest([reviewer_1_decision, reviewer_2_decision]) as d, upper(trim(unnest([reviewer_1_semantic_preservation_1to5, reviewer_2_semantic_preservation_1to5]))) as r from s),
+u as (
+  select item, case when k in ('ACCEPT', 'ACCEPTED') then 1 when k in ('REVISE', 'REVISED') then 2 when k in ('REJECT', 'REJECTED') then 3 end as decision,
+    case r when 'ONE' then 1 when 'TWO' then 2 when 'THREE' then 3 when 'FOUR' then 4 when 'FIVE' then 5 else try_cast(regexp_extract(r, '^([1-5])(?:\.0+)?(?:\s*/\s*5)?$', 1) as int) end as score
+  from (select *, regexp_replace(upper(d), '[^A-Z]', '', 'g') as k from l) where item is not null),
+v as (select 'decision' as kind, item, decision as v from u where decision is not null union all select 'score', item, score from u where score is not null),
+n as (select kind, item, v, count(*) as c from v group by all),
+m as (select kind, item, sum(c) as m from n group by all having sum(c) > 1),
+seen as (
+  select a.kind, sum(a.c * b.c * case when a.kind = 'decision' then 1.0 else (a.v - b.v) ** 2 end / (m.m - 1)) as x
+  from m join n a using (kind, item) join n b on b.kind = a.kind and b.item = a.item and b.v <> a.v group by 1),
+t as (select n.kind, v, sum(c) as c from n join m using (kind, item) group by all),
+expected as (select a.kind, sum(a.c * b.c * case when a.kind = 'decision' then 1.0 else (a.v - b.v) ** 2 end) as x from t a join t b on a.kind = b.kind and a.v <> b.v group by 1)
+select kind, round(1 - seen.x / (expected.x / (count_m.n - 1)), 6) as alpha, count_m.items as n_items, count_m.n::bigint as n_labels
+from (select kind, count(*) as items, sum(m) as n from m group by 1) count_m join seen using (kind) join expected using (kind)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p4_found": P4_FOUND, "p2_agreement": P2_AGREEMENT}
