@@ -116,10 +116,13 @@ def main(argv: list[str] | None = None) -> None:
             found = gates.file_preflight(spark, a.queries, a.manifest, parts).unionByName(found)
         found = cut(found)
         found.show(100, truncate=False)
+        checks = found.groupBy(F.col("check").alias("gate")).agg(F.lit("FAIL").alias("status"), F.count("*").cast("string").alias("finding"))
+        if a.chunks:
+            checks = checks.unionByName(gates.corpus_gates(datasets.read_chunks(spark, a.chunks), index))
+        checks = cut(checks)
         if a.report:
-            checks = found.groupBy(F.col("check").alias("gate")).agg(F.lit("FAIL").alias("status"), F.count("*").cast("string").alias("finding"))
-            gates.write_preflight_report(checks.unionByName(gates.corpus_gates(datasets.read_chunks(spark, a.chunks), index)) if a.chunks else checks, a.report)
-        if not found.isEmpty():
+            gates.write_preflight_report(checks, a.report)
+        if gates.verdict(checks).first().verdict != "PASS":
             raise SystemExit(1)
     elif a.job == "manifest":
         print(gates.write_manifest(spark, a.folder, {"chunks": a.chunks, "index": a.index}, a.manifest)["corpus_hash"])
