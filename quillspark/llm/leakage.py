@@ -52,7 +52,7 @@ LANES = 128
 #: Cells that one step of the alignments holds.
 CELLS = 1 << 20
 #: Most bytes of passages broadcast at once, and bits of the map of all items' rare pairs.
-BLOCK_BYTES, MAP_BITS = 32 << 20, 1 << 27
+BLOCK_BYTES, MAP_BITS = 8 << 20, 1 << 27
 
 _MARKUP = re.compile(r"<[^<>]+>|\[\d+\]|&(?:[a-zA-Z]+|#\d+);")
 _SPLIT_WORD = re.compile(r"(?<=\p{L})[-­]\s*\n\s*(?=\p{Ll})")
