@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.functions.stats import benjamini_hochberg
 from quillspark.functions.vectors import l2_normalize
+from quillspark import sinks
 from quillspark.operators import analytics as an
 from quillspark.operators import chunking, detection, gates, judging, quality, retrieval
 from quillspark.operators import experiment as ex
 from quillspark.plans import generation, rag
 from quillspark.sources import datasets, files
 from quillspark.streaming import incremental
-from quillspark.tables import cut, table
+from quillspark.tables import checkpoint_dir, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -781,6 +783,83 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("document_id", "ingestion_timestamp", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("lines"))
 
 
+# --- written and read again ------------------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid4().hex}/{name}"
+
+
+@_query("select document_id, ingestion_timestamp, filename, title, text, metadata['domain'] as domain from source_documents")
+def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as JSON lines, read again."""
+    path = _place(spark, "documents")
+    sinks.write_jsonl(_docs(spark, sf), path)
+    return datasets.read_jsonl(spark, path).select("document_id", "ingestion_timestamp", "filename", "title", "text", F.col("metadata")["domain"].alias("domain"))
+
+
+@_query("select question_id, domain, english, tamil_english, hindi_english, category, expected_document_ids, difficulty from query_records")
+def query_dataset_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The query dataset as JSON lines under a .json name, loaded again: no line is lost."""
+    path = _place(spark, "queries.json")
+    sinks.export_json_lines(_asked(spark, sf), path)
+    return datasets.load_queries(spark, path).select("question_id", "domain", "english", "tamil_english", "hindi_english", "category", "expected_document_ids", "difficulty")
+
+
+@_query("select question_id, domain, english, category, list_filter(coalesce(expected_document_ids, []), lambda x: x <> '') as expected_document_ids from query_records")
+def query_dataset_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The query dataset as CSV with ids separated by commas, loaded again."""
+    path = _place(spark, "queries.csv")
+    sinks.export_csv(_asked(spark, sf).withColumn("expected_document_ids", F.concat_ws(" , ", "expected_document_ids")), path)
+    return datasets.load_queries(spark, path).select("question_id", "domain", "english", "category", "expected_document_ids")
+
+
+@_query("select " + ", ".join(f"coalesce({c}, '') as {c}" for c in ("question_id", "language_variant", "code_mixed_query", *quality.REVIEW_FIELDS)) + " from human_query_review_sheet")
+def review_sheet_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The review sheet as CSV, scanned again; empty cells are ''."""
+    path = _place(spark, "sheet")
+    sinks.export_csv(_sheet(spark, sf), path)
+    return datasets.read_review_sheet(spark, path).select("question_id", "language_variant", "code_mixed_query", *quality.REVIEW_FIELDS)
+
+
+@_query("select id, run_id, generated_answer, error, coalesce(retrieved_document_ids, []) as retrieved_document_ids from experiment_results where generated_answer <> ''")
+def results_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs with an answer exported as CSV, lists as JSON, and scanned again."""
+    path = _place(spark, "results")
+    sinks.export_csv(_runs(spark, sf).filter("generated_answer <> ''"), path)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return datasets.scan_results(raw).select(F.col("id").cast("bigint").alias("id"), "run_id", "generated_answer", "error", "retrieved_document_ids")
+
+
+@_query("select distinct chunk_id, document_id, chunk_text from (select *, row_number() over (partition by chunk_id order by chunk_text) as k from chunks) where k = 1")
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of all chunks, each once, saved and loaded again."""
+    path = _place(spark, "index")
+    once = _chunks(spark, sf).groupBy("chunk_id").agg(F.min(F.struct("chunk_text", "document_id")).alias("c")).select("chunk_id", "c.*")
+    sinks.write_index(rag.build_index(once), path)
+    return datasets.load_index(spark, path).select("chunk_id", "document_id", "chunk_text")
+
+
+@_query("select condition_name, case when language = 'english' then 3 else 5 end::int as top_k from (select unnest(['english', 'tamil_english', 'hindi_english']) as language), (select unnest(['baseline', 'mitigated']) as side), lateral (select language || '_' || side as condition_name) x")
+def insert_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """All six configurations inserted where the English ones are stored with another k: those stay."""
+    made = ex.configs(spark)
+    stored = made.filter("language = 'english'").select("experiment_id", F.lit(3).alias("top_k"))
+    return stored.unionByName(ex.insert_or_ignore(made, stored, "experiment_id")).withColumnRenamed("experiment_id", "condition_name")
+
+
+@_query("select run_id, count(*)::bigint as n from (select distinct run_id from experiment_results) group by 1")
+def append_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs as a stream appended once each, and once more: nothing is added."""
+    path = _place(spark, "stored")
+    schema = _runs(spark, sf).schema
+    for k in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/experiment_result[s].parquet")  # a pattern: file or folder
+        incremental.append_new_runs(stream, path, _place(spark, f"log{k}")).awaitTermination()
+    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions in three languages answered over the chunk corpus and judged."""
     return _answered(spark, sf_dir)

@@ -70,11 +70,11 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; lists and maps as JSON; an empty table writes nothing."""
+    """CSV with header; lists and maps as JSON; blanks at the ends stay; an empty table writes nothing."""
     if df.isEmpty():
         return
     flat = [F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_json(df: DataFrame, path: str) -> None:
