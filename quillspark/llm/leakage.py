@@ -45,8 +45,12 @@ MIN_PART = 2
 WINDOWS = ((15, 12), (20, 16), (25, 20))
 #: Of a window of 25 words of which 20 are left, 10 are left of some 15 at the least; so, too, of one of 20 words.
 LEAST_COMMON = 10
+#: Words of the document within which pairs of one of the passage's sentences stand: as many as within reach, and some added.
+CLOSE = REACH + 6
 #: Of the pairs needed, so many are looked up: more name fewer items in vain, fewer leave out more of the common pairs.
 PROBES = 4
+#: A part of 36 words or more, cut after 18, has a part in one of the pieces: its changes are few enough there, too.
+LONGEST = 35
 #: Windows' starts of a passage whose subsequences are found together.
 LANES = 128
 #: Cells that one step of the alignments holds.
@@ -132,16 +136,23 @@ class _Item:
         self.end = np.isin(np.arange(len(ids)), list(ends))
         self.places = np.flatnonzero(~self.end[:-1]) if len(ids) else np.empty(0, np.int64)  # no pair over a sentence end: foreign text may stand there
         self.pairs = _kgrams(self.ids, K)[self.places]
-        self.needed = self._needed()
+        self.needed, self.close = self._needed()
+        self.pairs_sorted = np.unique(self.pairs)
         self._words = np.unique(self.ids)
         self._lanes: dict[int, list[tuple[dict[int, int], int, list[tuple[int, int]]]]] = {}
 
-    def _needed(self) -> np.ndarray:
-        """How many pairs are asked for among the ``REACH`` words from each pair's place."""
+    def _needed(self) -> tuple[np.ndarray, int]:
+        """How many pairs are asked for among the ``REACH`` words from each pair's place, and how many close together wherever a part is.
+
+        With b sentence ends inside, the pairs lie in b + 1 places of the document: the most at one place are no fewer
+        than their share.
+        """
         ends = np.concatenate(([0], np.cumsum(self.end)))
         at = lambda x: ends[np.clip(x, 0, len(self.end))]
         # a part may begin half a reach before its first pair
-        return np.maximum(MIN_PAIRS, PAIRS - (at(self.places + REACH) - at(self.places - REACH // 2)))
+        inside = at(self.places + REACH) - at(self.places - REACH // 2)
+        share = -(-np.maximum(1, PAIRS - inside) // (inside + 1))
+        return np.maximum(MIN_PAIRS, PAIRS - inside), int(share.min(initial=1 << 30))
 
     def rare(self, common: np.ndarray) -> np.ndarray:
         """Which pairs are looked up, by how common each is: of ``n`` pairs within reach of which ``t`` are needed, all but the ``t - PROBES`` most common.
@@ -201,7 +212,7 @@ class _Item:
         return [-s for _, s in sorted(found, reverse=True)]
 
 
-Pair = tuple[np.ndarray, np.ndarray, _Item]  # part of a document, its sentence ends, item
+Pair = tuple[np.ndarray, np.ndarray, _Item]  # a document's words, its sentence ends, item
 
 
 def contains(pairs: list[Pair], starts: list[list[int]]) -> np.ndarray:
@@ -230,8 +241,8 @@ def contains(pairs: list[Pair], starts: list[list[int]]) -> np.ndarray:
     few = np.minimum.accumulate(few - at, axis=1) + at
     since = np.zeros(len(owner), np.int64)  # words since the last sentence end
     stayed, jumped = few, np.zeros(len(owner), bool)  # before a jump just made
-    for step in range(1, m):
-        live = (begin + step < lengths[owner]) & ~found[owner] & (few.min(axis=1) <= MAX_CHANGED * lengths[owner])
+    for step in range(1, min(m, LONGEST)):
+        live = (begin + step < lengths[owner]) & ~found[owner] & (few.min(axis=1) <= MAX_CHANGED * np.minimum(lengths[owner] - begin, LONGEST))
         if not live.any():
             break
         if not live.all():
@@ -262,6 +273,14 @@ def contains(pairs: list[Pair], starts: list[list[int]]) -> np.ndarray:
     return found
 
 
+def _contained(pairs: list[Pair], starts: list[list[int]]) -> np.ndarray:
+    """:func:`contains`; of a pair too large for ``CELLS``, some starts at a time."""
+    step = max(1, CELLS // len(pairs[0][0]))
+    if len(pairs) > 1 or len(starts[0]) <= step:
+        return contains(pairs, starts)
+    return np.array([any(contains(pairs, [starts[0][i : i + step]])[0] for i in range(0, len(starts[0]), step))])
+
+
 class LeakFinder:
     """The items of one block with their rare pairs by hash; built once, then broadcast.
 
@@ -300,32 +319,29 @@ class LeakFinder:
         return np.unique(np.searchsorted(self._starts, places[near >= self._needed[places]], side="right") - 1)
 
     def _candidates(self, text: str) -> list[tuple[Pair, list[int]]]:
-        """(part of the document, its sentence ends, item) of the items that may be in ``text``, with likely starts."""
+        """(the document's words, its sentence ends, item) of the items that may be in ``text``, with likely starts."""
         plain = _plain(text)
         ids = _ids(_words(plain))
         grams = _kgrams(ids, K)
         distinct, breaks, out = np.unique(grams), None, []
         named = self._named(distinct).tolist()
-        if named:
-            vocabulary = np.unique(ids)
-            at = np.searchsorted(distinct, grams)
-            first, last = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-            first[at[::-1]], last[at] = np.arange(len(grams))[::-1], np.arange(len(grams))
+        vocabulary = np.unique(ids) if named else ids
         for i in named:
             item = self._items[i]
             if not item.may_be_in(vocabulary):
                 continue
-            same = np.minimum(np.searchsorted(distinct, item.pairs), len(distinct) - 1)
-            there = distinct[same] == item.pairs
+            there = distinct[np.minimum(np.searchsorted(distinct, item.pairs), len(distinct) - 1)] == item.pairs
             places = item.places[there]
             near = np.searchsorted(places, places + REACH) - np.arange(len(places))
             if not (near >= item.needed[there]).any():
                 continue
-            # outside the pairs' reach in the document nothing can add to a part
-            part = slice(max(0, int(first[same[there]].min()) - REACH), int(last[same[there]].max()) + K + REACH)
-            if starts := item.likely_starts(ids[part]):
+            # foreign text of any length may stand between a part's sentences, but some of its pairs stand close together
+            where = np.flatnonzero(item.pairs_sorted[np.minimum(np.searchsorted(item.pairs_sorted, grams), len(item.pairs_sorted) - 1)] == grams)
+            if not (where[item.close - 1 :] - where[: len(where) - item.close + 1] < CLOSE).any():
+                continue
+            if starts := item.likely_starts(ids):
                 breaks = _breaks(plain) if breaks is None else breaks
-                out.append(((ids[part], breaks[part], item), starts))
+                out.append(((ids, breaks, item), starts))
         return out
 
     def find(self, texts: list[str]) -> list[list[object]]:
@@ -339,7 +355,7 @@ class LeakFinder:
             left, block, rows = [], [], 0
             for x in [*order, None]:
                 if block and (x is None or (rows + len(todo[x][2])) * len(todo[x][1][0]) > CELLS):
-                    for y, yes in zip(block, contains([todo[b][1] for b in block], [todo[b][2] for b in block]), strict=True):
+                    for y, yes in zip(block, _contained([todo[b][1] for b in block], [todo[b][2] for b in block]), strict=True):
                         if yes:
                             found[todo[y][0]].append(todo[y][1][2].key)
                         else:

@@ -148,3 +148,15 @@ def test_long_passages_and_rare_pairs():
     finder = LeakFinder(items)
     found = finder.find([p for _, p in items])
     assert all(k in some for (k, _), some in zip(items, found, strict=True))
+
+
+def test_foreign_text_of_any_length_between_changed_sentences():
+    rng = random.Random(14)
+    for _ in range(40):
+        words = rng.sample(WORDS, 24)
+        passage = ". ".join(" ".join(words[k : k + 6]) for k in range(0, 24, 6)) + "."
+        part = [w if k not in (2, 8, 13) else "zzz" for k, w in enumerate(words[:15])]
+        foreign = lambda: " ".join("q" + rng.choice(WORDS) for _ in range(rng.randint(5, 300)))
+        text = ". ".join([foreign(), " ".join(part[:6]), foreign(), " ".join(part[6:12]), foreign(), " ".join(part[12:]), foreign()]) + "."
+        assert _finds(passage, text)
+        assert not _finds(passage, text.replace(words[10], "yyy"))
