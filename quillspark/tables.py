@@ -21,7 +21,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             return known.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
