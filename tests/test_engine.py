@@ -3,6 +3,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,28 @@ def test_top_k_ties_blocks_and_odd_rows(spark):
     assert {(r.query_id, r.id) for r in retrieval.top_k(ragged, corpus, 1).collect()} == {(1, 1), (9, 2), (7, 6)}
 
 
+def test_top_k_equals_brute_force_over_many_rows(spark):
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-2, 3, (3000, 6)).astype(float), rng.integers(-2, 3, (700, 6)).astype(float)  # many ties
+    v[5, 0] = np.nan
+    corpus = spark.createDataFrame([(f"k{i}", x.tolist()) for i, x in enumerate(v)], "id string, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.top_k(queries, corpus, 7).collect()}
+    scores = q @ v.T
+    for i in range(len(q)):
+        best = sorted((-s, f"k{j}") for j, s in enumerate(scores[i]) if s == s)[:7]
+        assert [got[i, n + 1] for n in range(7)] == [(key, -s) for s, key in best]
+
+
+def test_few_scores_are_looked_at():
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(8192, 64)), rng.normal(size=(64, 64))
+    s = (v @ q.T).astype(np.float32)
+    floor = np.sort(s, axis=0)[-5]
+    row, at = retrieval._near(s, floor, np.zeros(64), 5)
+    assert len(row) == 5 * 64 and (s[row, at] >= floor[at]).all()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=300))
 def test_cuts_cover_the_text(text):
