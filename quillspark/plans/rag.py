@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import Settings
@@ -108,15 +108,37 @@ def _provider(call: Callable[[str, str], str], retry: Retry) -> Callable[[Column
     return run
 
 
+#: Equal vectors are searched as one where at most this share of the index is distinct.
+DISTINCT_SHARE = 0.8
+
+
+def _hits(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """query, chunk_id, score, rank: the best chunks of each question.
+
+    Chunks with equal vectors have equal scores, so the first of them by key stands for all, and a hit of it is one of
+    each of the k first.
+    """
+    vectors = index.filter("embedding is not null").select("chunk_id", "embedding", F.xxhash64("embedding").alias("h"))
+    rows, distinct = vectors.agg(F.count("*"), F.count_distinct("h")).first()
+    if distinct > DISTINCT_SHARE * rows:
+        return top_k(asked, index, k, query_key="query", key="chunk_id")
+    place = F.row_number().over(Window.partitionBy("h", "embedding").orderBy("chunk_id"))
+    alike = cut(vectors.withColumn("place", place).filter(F.col("place") <= k).groupBy("h", "embedding").agg(F.sort_array(F.collect_list("chunk_id")).alias("alike")).withColumn("chunk_id", F.col("alike")[0]))
+    hits = top_k(asked, alike, k, query_key="query", key="chunk_id").join(alike.select("chunk_id", "alike"), "chunk_id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id"))
+    return hits.select("query", F.explode("alike").alias("chunk_id"), "score").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def search(texts: DataFrame, index: DataFrame, k: int, model: str = Settings.embedding_model, encode: Encode = hashed_vectors) -> DataFrame:
     """query, hits: the best chunks for each distinct non-blank ``query``, best first.
 
-    ``index``: chunk_id, document_id, chunk_text, embedding.  Equal questions are embedded and searched once; texts
-    are fetched for the chunks that were hit only, once each, after the search.
+    ``index``: chunk_id (unique), document_id, chunk_text, embedding.  Equal questions are embedded and searched once,
+    and so are equal vectors where many are; texts are fetched for the chunks that were hit only, once each, after the
+    search.
     """
     dim = int(index.sparkSession.conf.get("spark.quillspark.embedding_dim", None) or Settings.embedding_dim)
     asked = texts.select("query").filter(F.trim("query") != "").distinct().withColumn("embedding", embedder(dim, text_prefix(model, True), encode)(F.col("query")))
-    hits = cut(top_k(asked, index, k, query_key="query", key="chunk_id"))
+    hits = cut(_hits(asked, index, k))
     wanted = hits.select("chunk_id").distinct()
     texts = index.select("chunk_id", "document_id", F.col("chunk_text").alias("text")).join(wanted, "chunk_id", "left_semi")
     return hits.join(texts, "chunk_id").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_id", "text", "score"))).alias("hits"))
@@ -195,12 +217,15 @@ def chat(requests: DataFrame, index: DataFrame, key: str = "request_id", query:
     """Interactive requests (key, query, mitigation_enabled, top_k) answered and judged, nothing stored.
 
     Only code-mixed questions are normalized.  ``top_k`` null is the setting's; outside 1 to ``MOST_HITS``, and for a
-    blank query, the row has an error and no answer.  Errors name their stage.
+    blank query, the row has an error and no answer.  No more hits are searched than the most that a valid request asks
+    for.  Errors name their stage.
     """
     options = options or Settings()
     bad = F.when(F.coalesce(F.trim(F.col(query)), F.lit("")) == "", "query must not be blank").when(~F.col("top_k").between(1, MOST_HITS), f"top_k must be from 1 to {MOST_HITS}")
     asked = requests.withColumn("_bad", bad).withColumn(query, F.when(F.col("_bad").isNull(), F.col(query)).otherwise(""))
-    made = answer(asked, index, key, query, F.coalesce("mitigation_enabled", F.lit(True)), replace(options, top_k=MOST_HITS), mixed_only=True, hits=F.coalesce("top_k", F.lit(options.top_k)), **providers)
+    wanted = F.coalesce("top_k", F.lit(options.top_k))
+    most = requests.filter(bad.isNull()).agg(F.max(wanted)).first()[0] or 1
+    made = answer(asked, index, key, query, F.coalesce("mitigation_enabled", F.lit(True)), replace(options, top_k=min(most, MOST_HITS)), mixed_only=True, hits=wanted, **providers)
     rows = made.drop(query).join(requests.select(key, query, "mitigation_enabled", bad.alias("_bad")), key)
     staged = F.coalesce("_bad", F.when(F.col("generated_answer").isNull(), F.concat(F.lit("Generation failed: "), "error")))
     return rows.select(

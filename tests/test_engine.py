@@ -79,6 +79,22 @@ def test_few_scores_are_looked_at():
     assert len(row) == 5 * 64 and (s[row, at] >= floor[at]).all()
 
 
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    texts = [("fees are due in June", 9), ("hostel rooms open in July", 2), ("the library is closed", 1)]
+    rows = [(f"d{n}_{t[:2]}{i}", "d", t) for n, (t, times) in enumerate(texts) for i in range(times)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_text string")
+    asked = spark.createDataFrame([("when are fees due",), ("rooms in July",)], "query string")
+    ids = lambda: {r.query: [h.chunk_id for h in r.hits] for r in rag.search(asked, rag.build_index(chunks), 4).collect()}
+    sizes, plain = [], retrieval.top_k
+    monkeypatch.setattr(rag, "top_k", lambda queries, corpus, k, **kw: sizes.append((corpus.count(), k)) or plain(queries, corpus, k, **kw))
+    once = ids()
+    monkeypatch.setattr(rag, "DISTINCT_SHARE", 0.0)
+    assert ids() == once and sizes == [(3, 4), (12, 4)] and once["when are fees due"] == [f"d0_fe{i}" for i in range(4)]
+    requests = spark.createDataFrame([("a", "fees", True, 3), ("b", "rooms", True, 99), ("c", " ", True, 9)], "request_id string, query string, mitigation_enabled boolean, top_k int")
+    assert {r.request_id: len(r.retrieved_document_ids or []) for r in rag.chat(requests, rag.build_index(chunks)).collect()} == {"a": 3, "b": 0, "c": 0}
+    assert sizes[2:] == [(12, 3)]  # as many hits as a valid request wants
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=300))
 def test_cuts_cover_the_text(text):
