@@ -17,11 +17,11 @@ from zlib import crc32
 import pandas as pd
 import regex as re
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.unify import SUSPECT
-from quillspark.tables import spread
+from quillspark.tables import cut, spread
 
 # Single-byte encodings in which text is commonly misread.
 CODECS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "iso8859_2", "cp1254", "cp1253", "cp866", "iso8859_15")
@@ -30,14 +30,13 @@ ORIGINS = ("cp1252", "mac_roman", "cp437", "cp850")
 
 #: Bytes a step of a chain costs: reading as UTF-8 proves itself by its form, another single-byte encoding doesn't.
 STEP_COST, SWAP_COST = 1.0, 3.0
-#: Bytes for each character that the language's sample hardly has.
+#: Bytes for each character that the language hardly has.
 FOREIGN_COST = 3.0
 MAX_STEPS = 3
-#: Documents sampled per language for dictionary and alphabet (all statistics that need only a sample), and the most
-#: bytes of sentences taken from one of them, so that the sample is bounded in bytes as well.
-SAMPLE, SAMPLE_BYTES = 2000, 8_000
+#: The most bytes of sentences taken from a text by ``_some_sentences``.
+SAMPLE_BYTES = 8_000
 DICTIONARY_BYTES = 112_640
-#: A character is at home in a language if so large a share of its sampled sentences beyond ASCII have it.
+#: A character is at home in a language if so large a share of its sentences beyond ASCII have it.
 HOME_SHARE = 0.02
 
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?।…]['\"”’»]?(?=\s)\s*|\n+|$)")
@@ -244,7 +243,7 @@ def _some_sentences(text: str, most: int = SAMPLE_BYTES) -> str:
 
 
 def learn_languages(rows: list[tuple[str, str]], seed_bytes: int = DICTIONARY_BYTES) -> dict[str, Language]:
-    """Dictionaries and alphabets from sampled (text, language) rows; sentences that look garbled are left out."""
+    """Dictionaries and alphabets from (text, language) rows in memory; sentences that look garbled are left out."""
     sentences: dict[str, Counter[str]] = {}
     for text, lang in rows:
         sentences.setdefault(lang, Counter()).update({s for m in _SEGMENT.finditer(text) if (s := m[0]).strip() and not _LOST.search(s)})
@@ -269,19 +268,88 @@ def learn_languages(rows: list[tuple[str, str]], seed_bytes: int = DICTIONARY_BY
     return out
 
 
-def sampled_languages(df: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE) -> dict[str, Language]:
-    """Learns from about ``sample`` documents a language, chosen by the hash of their key, of at most ``SAMPLE_BYTES`` each.
+#: ``_SEGMENT``, ``_LOST`` and characters beyond ASCII for the JVM.
+_JVM_SEGMENT, _JVM_LOST, _JVM_BEYOND = r"""(?U)[^\n]*?(?:[.!?।…]['"”’»]?(?=\s)\s*|\n+|\z)""", r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]", r"[^\x{00}-\x{7F}]"
+#: Parts of a language's sentences that are ranked side by side.
+PARTS = 64
 
-    Languages are told by a label, of which there are few; the share taken of each is what its count makes of ``sample``.
-    """
-    counts = {r[0]: r[1] for r in df.filter(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
-    if not counts:
+
+def _counted(texts: DataFrame, beyond: bool) -> DataFrame:
+    """lang, s, n, chars: in how many documents each sentence stands, and its characters beyond ASCII; sentences with such, or without."""
+    every = F.regexp_extract_all("text", F.lit(_JVM_SEGMENT), F.lit(0))
+    wanted = F.array_distinct(F.filter(every, lambda s: (s.rlike(_JVM_BEYOND) if beyond else ~s.rlike(_JVM_BEYOND)) & s.rlike(r"(?U)\S") & ~s.rlike(_JVM_LOST)))
+    counted = texts.select("lang", F.explode(wanted).alias("s")).groupBy("lang", "s").agg(F.count("*").alias("n"))
+    return counted.withColumn("chars", F.array_distinct(F.regexp_extract_all("s", F.lit(_JVM_BEYOND), F.lit(0))))
+
+
+def _alphabets(counted: DataFrame) -> dict[str, frozenset[str]]:
+    """``_alphabet`` of each language."""
+    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
         return {}
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
-    chosen = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share[F.col(lang)] * 1_000_003)
-    bounded = F.pandas_udf(lambda texts: texts.map(_some_sentences), "string")
-    rows = chosen.select(F.xxhash64(F.col(key)).alias("h"), bounded(F.col(text)), lang).collect()
-    return learn_languages([(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])])
+    least = F.create_map(*(x for k, n in totals.items() for x in (F.lit(k), F.lit(max(2.0, HOME_SHARE * n)))))
+    chars = counted.select("lang", "n", F.explode("chars").alias("c")).groupBy("lang", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= least[F.col("lang")])
+    out: dict[str, set[str]] = {lang: set() for lang in totals}
+    for r in chars.collect():
+        out[r.lang].add(r.c)
+    return {lang: frozenset(some) for lang, some in out.items()}
+
+
+def _commonest(counted: DataFrame, most: int) -> dict[str, list[str]]:
+    """Sentences of each language, some twice ``most`` bytes, long ones last.
+
+    Sentences that differ in digits only are one form: first the commonest of each form, forms in most documents first,
+    then the second of each, and so on; ties by hash.
+    """
+    form = Window.partitionBy("lang", "form")
+    ranked = counted.select("lang", "s", "n", F.octet_length("s").alias("bytes"), F.xxhash64("s").alias("h"), F.regexp_replace("s", r"\p{Nd}+", "0").alias("form")).filter(F.col("bytes") <= most)
+    ranked = ranked.withColumn("nth", F.row_number().over(form.orderBy(F.desc("n"), "h", "s"))).withColumn("n", F.sum("n").over(form)).drop("form").withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # what is among the first of all is among the first of its part
+        order = Window.partitionBy(*by).orderBy(F.col("bytes") > most // 16, "nth", F.desc("n"), "h", "s").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).filter(F.col("before") < 2 * most).drop("before")
+    out: dict[str, list[str]] = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.bytes > most // 16, r.nth, -r.n, r.h, r.s)):
+        out.setdefault(r.lang, []).append(r.s)
+    return out
+
+
+def learned_languages(df: DataFrame, text: str, lang: str, seed_bytes: int = DICTIONARY_BYTES) -> dict[str, Language]:
+    """What :func:`learn_languages` learns, from every document: alphabets by counts over all sentences beyond ASCII.
+
+    A dictionary is bounded by its format, so it takes the commonest forms of sentences; ASCII sentences are counted only
+    in languages whose others don't fill it.  Languages are told by a label, of which there are few.
+    """
+    texts = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    names = [r.lang for r in texts.select("lang").distinct().collect()]
+    counted = cut(_counted(texts.filter(F.col("text").rlike(_JVM_BEYOND)), True))
+    homes = df.sparkSession.sparkContext.broadcast(_alphabets(counted))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # well-formed UTF-8 that gives characters at home in the language is a misreading, not text
+            changed = [any(_readings(r) for r in set(_RUN.findall(s))) for s in b["s"]]
+            misread = [c and any(all(c in homes.value[x] for c in read if c >= "\x80") for w in CODECS if _utf8_runs(w).search(s) and (read := _as_utf8(s, w)) != s) for s, x, c in zip(b["s"], b["lang"], changed, strict=True)]
+            yield b[[not m for m in misread]]
+
+    kept = cut(counted.mapInPandas(clean, "lang string, s string, n bigint, chars array<string>"))
+    home = _alphabets(kept)
+    pool = kept.limit(0)
+    if home:
+        at_home = F.create_map(*(x for k, some in home.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(some))).cast("array<string>"))))
+        pool = kept.filter(F.size(F.array_except("chars", at_home[F.col("lang")])) == 0)
+    first = _commonest(pool, seed_bytes)
+    short = [x for x in names if sum(len(s.encode()) for s in first.get(x, [])) < seed_bytes]
+    plain = _commonest(_counted(texts.filter(F.col("lang").isin(short)), False), seed_bytes) if short else {}
+    out = {}
+    for x in names:
+        data, size = [], 0
+        for s in [*first.get(x, []), *plain.get(x, [])]:  # the end of a dictionary is the cheapest to refer to
+            b = s.encode()
+            if size + len(b) <= seed_bytes:
+                data.append(b)
+                size += len(b)
+        out[x] = Language(b"".join(reversed(data)) or b" " * 8, home.get(x, frozenset()))
+    return out
 
 
 def restored_text(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", languages: dict[str, Language] | None = None) -> DataFrame:
@@ -291,7 +359,7 @@ def restored_text(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     texts give no row; an unrestorable text comes out as far restored as can be told, with ``garbled`` true; repeated
     rows stay repeated; an empty table gives no rows; other columns are not read.
     """
-    languages = sampled_languages(df, key, text, lang) if languages is None else languages
+    languages = learned_languages(df, text, lang) if languages is None else languages
     shared = df.sparkSession.sparkContext.broadcast(languages)
     kind = df.schema[key].dataType.simpleString()
 

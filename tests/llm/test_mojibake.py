@@ -74,3 +74,30 @@ def test_sample_is_bounded_in_bytes():
     # a sentence too long for the dictionary leaves room for the others
     learned = learn_languages([("é" * 300_000 + ". Le dépôt est fermé. Le dépôt est ici. La clé.", "fr")], 1000)["fr"]
     assert "dépôt".encode() in learned.dictionary
+
+
+def test_every_document_counts(spark):
+    from quillspark.llm.mojibake import learned_languages
+
+    # 6,000 documents with three sentences beyond ASCII each, and one with one: a share of 2 % is more than 360 of them
+    tails = ["œ"] * 361 + ["ø"] * 360 + ["é"] * 5279
+    rows = [(i, f"Dépôt numéro {i}. Le café est fermé. Voilà {c} {i}.\nPlain {i}.", "fr") for i, c in enumerate(tails)] + [(8999, "Le café est fermé. Non.", "fr"), (9000, "Only plain words. Again.", "en"), (9001, "no label é", None), (9002, None, "en")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    learned = learned_languages(texts, "text", "lang", 4000)
+    assert set(learned) == {"fr", "en"} and learned["fr"].alphabet == frozenset("éôàœ")
+    assert learned["en"].alphabet == frozenset() and b"Only plain words. " in learned["en"].dictionary
+    # the sentence of the most documents is the cheapest to refer to, none is in the dictionary twice, and it is filled
+    assert learned["fr"].dictionary.endswith("Le café est fermé. ".encode()) and learned["fr"].dictionary.count("Le café".encode()) == 1 and 3900 < len(learned["fr"].dictionary) <= 4000
+    assert learned_languages(texts.limit(0), "text", "lang") == {}
+
+
+def test_learning_by_spark_is_learning_in_memory(spark):
+    from quillspark.llm.mojibake import learned_languages
+
+    garbled = [(t.encode().decode("latin-1"), lang) for t, lang in _corpus()[:9]]
+    rows = [*_corpus(), *garbled, ("One. Two!  “Drei” zwei?\n\n  \nvier… fünf", "de"), ("A lost � one. Kept à.", "fr")]
+    there = learned_languages(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    here = learn_languages(rows)
+    assert there.keys() == here.keys()
+    for lang in here:
+        assert there[lang].alphabet == here[lang].alphabet and sorted(there[lang].dictionary) == sorted(here[lang].dictionary)
